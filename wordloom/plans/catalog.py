@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import learning_queries, match_queries, quality_queries, text_queries
+
 FLAGSHIP = "q_safe_replacements"
+_MODULES = (text_queries, match_queries, learning_queries, quality_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
