@@ -35,7 +35,8 @@ LICENSES = {
     "notice:GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "notice:CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# Lines that state an owner or a year; a wrapped line that starts with "copyright notice" is none.
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
