@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Up to so many ids (16 MB of longs) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def broadcast_if_few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids, hinted for broadcast if its count is within the bound."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 class Workspace:
     """A folder of stages that belong to one run of an operator."""
 
