@@ -76,7 +76,8 @@ def test_blocked_and_production_terms(spark):
 def test_terms_that_neighbours_make_unsafe(spark):
     cases = (("在地点点头", "地点", 1, True), ("得不得到了", "得到", 2, True), ("饭后来了", "后来", 1, True), ("大约三岁的样子", "样子", 5, True), ("她的样子", "样子", 2, False))
     for whole, term, start, unsafe in cases:
-        assert one(spark, context.is_unsafe_in_context(F.lit(whole), F.lit(term), F.lit(start))) is unsafe, whole
+        left, right = whole[max(0, start - 18) : start], whole[start + len(term) :][:2]
+        assert one(spark, context.is_unsafe_in_context(F.lit(term), F.lit(left), F.lit(right))) is unsafe, whole
 
 
 def test_boundaries_and_literal_replacement(spark):

@@ -55,15 +55,20 @@ def correction_key(zh: Column, sentence: Column) -> Column:
     return F.concat_ws(":", zh, fnv_hex(normalize_context(sentence, zh)))
 
 
-def is_unsafe_in_context(text: Column, term: Column, start: Column) -> Column:
-    """Terms that their neighbours show to be part of something else."""
-    before = F.when(start > 0, substr(text, start - 1, F.lit(1))).otherwise("")
-    after = substr(text, start + F.length(term), F.lit(2))
-    left = F.when(start > 0, substr(text, F.greatest(F.lit(0), start - 18), F.least(start, F.lit(18)))).otherwise("")
+def is_unsafe_in_context(term: Column, left: Column, right: Column) -> Column:
+    """Terms that their neighbours (18 characters before, 2 after) show to be part of something else."""
     number = "零一二三四五六七八九十百千万两几数\\d"
     unit = "本个岁米天年人页章件条只张册斤倍层排套种名位"
     amount = f"[{number}]+(?:[、至到\\-—~～]?[{number}]+)?(?:[{unit}]|公里|上下|左右|来|多|余|出头|出头些)?的\\z"
     guess = "(?:大概|大约|约有|差不多|上下|左右)[^，。！？；;]{0,10}的\\z"
     vague = "(?:不久|好久|刚刚|刚才|似乎|可能|估计|仿佛|看起来|像是)[^，。！？；;]{0,8}的\\z"
-    looks = (term == "样子") & (left.rlike(amount) | left.rlike(guess) | left.rlike(vague))
-    return ((term == "地点") & (after == "点头")) | ((term == "得到") & (before == "不") & after.startswith("了")) | ((term == "后来") & (before == "饭")) | looks
+    by_term = {
+        "地点": right.startswith("点头"),
+        "得到": left.endswith("不") & right.startswith("了"),
+        "后来": left.endswith("饭"),
+        "样子": left.rlike(amount) | left.rlike(guess) | left.rlike(vague),
+    }
+    unsafe = F.lit(False)
+    for word, sign in by_term.items():
+        unsafe = unsafe | ((term == word) & sign)
+    return F.coalesce(unsafe, F.lit(False))

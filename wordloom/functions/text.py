@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 HARD_BOUNDARY = r"[\s，。！？；：、“”‘’（）《》【】\-—…,.!?;:()\[\]{}\"']"
 FUNCTION_CHARS = "的地得了着过是在把被给对向从由和与或而但且这那哪每某不没很更最也又还都我你他她它们一二两三四五六七八九十几上下左右前后里外中来到会能要可说想看让用个些种样点大小多少已将正曾刚"
 WINDOW = 14
+#: Characters kept on either side of a match: enough for the window and for every guard.
+REACH = 18
 
 
 def substr(text: Column, start: Column, length: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.context import has_evidence, rule_matches
-from wordloom.functions.text import WINDOW, boundary_confidence
+from wordloom.functions.text import REACH, WINDOW, boundary_confidence
 
 
 def match_segments(segments: DataFrame, terms: DataFrame, term: str = "zh") -> DataFrame:
@@ -30,8 +30,8 @@ def ngrams(docs: DataFrame, keys: list[str], longest: int, shortest: int = 2, te
         each = each.join(starts.select(*keys, "start").distinct(), [*keys, "start"], "left_semi")
     sized = each.withColumn("n", F.explode(F.sequence(F.lit(shortest), F.lit(longest)))).where(F.col("start") + F.col("n") <= F.size("c"))
     cut = lambda first, n: F.array_join(F.slice("c", first + 1, n), "")
-    first, end = F.greatest(F.lit(0), F.col("start") - WINDOW), F.col("start") + F.col("n")
-    return sized.select(*keys, "start", end.alias("end"), cut(F.col("start"), F.col("n")).alias("text"), cut(first, F.col("start") - first).alias("left"), cut(end, F.lit(WINDOW)).alias("right"))
+    first, end = F.greatest(F.lit(0), F.col("start") - REACH), F.col("start") + F.col("n")
+    return sized.select(*keys, "start", end.alias("end"), cut(F.col("start"), F.col("n")).alias("text"), cut(first, F.col("start") - first).alias("left"), cut(end, F.lit(REACH)).alias("right"))
 
 
 def longest_matches(grams: DataFrame, terms: DataFrame, keys: list[str], term: str = "zh") -> DataFrame:
@@ -77,7 +77,7 @@ def containing(points: DataFrame, intervals: DataFrame, keys: list[str], value:
 
 def with_boundaries(matches: DataFrame) -> DataFrame:
     """Adds boundary_confidence and the local window to matches with their left and right context."""
-    left, right = F.coalesce("left", F.lit("")), F.coalesce("right", F.lit(""))
+    left, right = F.right(F.coalesce("left", F.lit("")), F.lit(WINDOW)), F.left(F.coalesce("right", F.lit("")), F.lit(WINDOW))
     size = F.length(left)
     window = F.struct(F.concat(left, "text", right).alias("text"), size.alias("targetStart"), (size + F.length("text")).alias("targetEnd"), left.alias("left"), right.alias("right"))
     edges = boundary_confidence(F.right(left, F.lit(1)), F.left(right, F.lit(1)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from wordloom.functions.text import WINDOW, count_cjk, substr, trim_all
+from wordloom.functions.text import REACH, count_cjk, substr, trim_all
 
 # Headings and sentence ends.
 NUMERALS = "零一二三四五六七八九十百千万\\d"
@@ -118,7 +118,7 @@ def chapters(docs: DataFrame, keys: list[str], text: str = "text", heading: str
     return with_heading.unionByName(plain)
 
 
-def words(docs: DataFrame, keys: list[str], text: str = "text", pattern: str = "[a-z]+", reach: int = WINDOW) -> DataFrame:
+def words(docs: DataFrame, keys: list[str], text: str = "text", pattern: str = "[a-z]+", reach: int = REACH) -> DataFrame:
     """Rows (keys, idx, text, start, end, left, right): a segmentation by pattern.
 
     Stands where a platform's word segmenter would; any table of these columns
