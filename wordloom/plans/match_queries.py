@@ -207,6 +207,29 @@ def q_quiz_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.quiz(shown, KEYS)
 
 
+def q_uncertain_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts worth scanning of the words of benchmark items."""
+    docs = low_docs(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
+    found = matching.uncertain_starts(structure.words(items, KEYS), derived_lexicon(docs), KEYS, 8, script="[a-z]")
+    return found.select(F.col("doc_id").alias("item_id"), "start")
+
+
+def q_match_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.operators.quality import diagnostics
+
+    _, chosen = _selected(spark, sf_dir)
+    return diagnostics(chosen)
+
+
+def q_sample_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 80 characters around every occurrence of each document's first word of three letters or more."""
+    docs = low_docs(spark, sf_dir)
+    first = docs.select("doc_id", F.regexp_extract("text", "[a-z]{3,}", 0).alias("term")).where("term <> ''")
+    found = structure.occurrences(docs, KEYS, first)
+    return found.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("start") - 80)).cast("long").alias("froms"), F.sum("end").alias("ends"))
+
+
 def q_candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = [table(spark, sf_dir, "part").select(candidate_id(F.col("p_brand"), F.col("p_type"), F.lit("noun")).alias("candidate_id")), table(spark, sf_dir, "part").where("p_size > 25").select(candidate_id(F.col("p_brand"), F.col("p_type"), F.lit("noun")).alias("candidate_id"))]
     blocked = table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_brand").alias("term")).distinct()
@@ -216,7 +239,7 @@ def q_candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     q_lexicon_dedup, q_lexicon_overrides, q_overlap_terms, q_token_match, q_blacklist_anti, q_longest_match, q_boundary_confidence, q_candidate_select, q_context_rules,
     q_category_for, q_interval_antijoin, q_asof_sentence, q_overlap_components, q_overlap_resolve, q_match_score, q_round_robin_rank, q_capped_pool, q_density_prefix,
-    q_safe_replacements, q_render_tokens, q_quiz_questions, q_candidate_ids,
+    q_safe_replacements, q_render_tokens, q_quiz_questions, q_uncertain_starts, q_match_diagnostics, q_sample_windows, q_candidate_ids,
 )}
 
 _HARD = r"[\s，。！？；：、“”‘’（）《》【】\-—…,.!?;:()\[\]{}\"'']"
@@ -268,6 +291,27 @@ r AS (SELECT doc_id, start, (start + q % 5 + 2)::INTEGER AS stop, text FROM l),
 f AS (SELECT *, CASE WHEN coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) <= start THEN 1 ELSE 0 END AS o FROM r),
 c AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY start, stop, text) - 1 AS component FROM f)
 SELECT doc_id, start, stop, text, component::BIGINT AS component, count(*) OVER (PARTITION BY doc_id, component)::BIGINT AS component_size FROM c
+""",
+    "q_overlap_resolve": """
+WITH RECURSIVE l AS (SELECT l_suppkey AS doc_id, (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) * 2)::INTEGER AS start, l_quantity::INTEGER AS q FROM lineitem),
+o AS (SELECT doc_id, start, start + q % 5 + 2 AS stop, 100 + q AS worth, row_number() OVER (PARTITION BY doc_id ORDER BY start + q % 5 + 2, start) AS k FROM l),
+p AS (SELECT a.doc_id, a.k, any_value(a.worth) AS worth, count(b.k) AS prior FROM o a LEFT JOIN o b ON a.doc_id = b.doc_id AND b.stop <= a.start GROUP BY 1, 2),
+r AS (SELECT doc_id, 0::BIGINT AS k, [0::BIGINT] AS best FROM p WHERE k = 1
+  UNION ALL SELECT p.doc_id, p.k, list_append(best, greatest(best[p.k], p.worth + best[p.prior + 1])) FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k + 1)
+SELECT doc_id, max_by(best[k + 1], k)::BIGINT AS worth FROM r GROUP BY doc_id
+""",
+    "q_uncertain_starts": f"""
+WITH {SQL_LOW}, {SQL_LEX}, t AS (SELECT DISTINCT zh FROM lex),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+|[^a-z]+') AS l FROM benchmark),
+w AS (SELECT item_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS k FROM i), s AS (SELECT item_id, w, sum(length(w)) OVER (PARTITION BY item_id ORDER BY k) - length(w) AS s FROM w)
+SELECT DISTINCT item_id, (s + d)::INTEGER AS start FROM (SELECT *, unnest(range(0, length(w))) AS d FROM s WHERE regexp_matches(w, '^[a-z]') AND length(w) <= 8 AND w NOT IN (SELECT zh FROM t))
+""",
+    "q_match_diagnostics": f"{_BASE}, {_EDGE}, {_SENSE} SELECT 'segment' AS source, reason, bc::INTEGER AS boundary_confidence, count(*)::BIGINT AS n, count(*)::BIGINT AS n_high FROM c GROUP BY 2, 3",
+    "q_sample_windows": f"""
+WITH {SQL_LOW}, f AS (SELECT doc_id, text, regexp_extract(text, '[a-z]{{3,}}') AS term FROM low WHERE regexp_matches(text, '[a-z]{{3,}}')),
+l AS (SELECT doc_id, term, string_split(text, term) AS l FROM f), p AS (SELECT doc_id, term, len(l) AS m, unnest(l) AS t, unnest(range(0, len(l))) AS k FROM l),
+s AS (SELECT doc_id, term, k, m, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) + k * length(term) AS s FROM p)
+SELECT doc_id, sum(greatest(0, s - 80))::BIGINT AS froms, sum(s + length(term))::BIGINT AS ends FROM s WHERE k < m - 1 GROUP BY doc_id
 """,
     "q_match_score": f"{_BASE}, {_EDGE}, {_SENSE} SELECT doc_id, sum(100 + 8 + (2 - bc) * 8 + 25 * least(length(text), 6) * least(length(text), 6))::BIGINT AS worth FROM c GROUP BY doc_id",
     "q_candidate_ids": """

@@ -67,6 +67,27 @@ def q_top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.top_errors(quality.per_candidate(_outcomes(spark, sf_dir)))
 
 
+def q_per_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.per_candidate(_outcomes(spark, sf_dir))
+
+
+def q_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with a span each; matches at the same or a shifted span, every third unsafe."""
+    rows = _labels(spark, sf_dir).select("id", "expected_decision", F.pmod("id", F.lit(9)).cast("int").alias("start"))
+    samples = rows.withColumn("end", F.col("start") + 2)
+    matches = rows.where("id % 4 <> 0").select("id", (F.col("start") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("start"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("candidate_id"), F.lit("noun").alias("part_of_speech")).withColumn("end", F.col("start") + 2)
+    return quality.predictions(samples, matches, matches.where("id % 3 <> 0"))
+
+
+def q_missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.operators.lexicon import missing_sources
+
+    part = table(spark, sf_dir, "part")
+    approved = part.select(F.concat_ws(":", "p_brand", "p_type", F.lit("noun")).alias("candidate_id"), F.col("p_brand").alias("term")).distinct()
+    entries = part.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("zh"), F.col("p_type").alias("en"), F.lit("noun").alias("part_of_speech"))
+    return missing_sources(approved, entries, part.where("p_size = 50").select(F.col("p_brand").alias("zh")))
+
+
 def q_merge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _labels(spark, sf_dir).withColumn("annotation_status", F.lit("unreviewed"))
     labels = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") % 2 == 0, "replace").otherwise("keepChinese").alias("decision"), F.lit("w1").alias("candidate_id"), F.lit("noun").alias("part_of_speech"), F.lit(1).alias("ord"))
@@ -153,7 +174,7 @@ def q_book_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_eval_report, q_eval_by_category, q_wilson, q_genre_report, q_leak_check, q_top_errors, q_merge_labels, q_promotion_status, q_candidate_audit, q_pair_counts,
+    q_eval_report, q_eval_by_category, q_wilson, q_genre_report, q_leak_check, q_top_errors, q_per_candidate, q_predictions, q_missing_sources, q_merge_labels, q_promotion_status, q_candidate_audit, q_pair_counts,
     q_split_counts, q_group_fingerprint, q_bottomk_sketch, q_near_dup_pairs, q_components, q_systematic_sample, q_stratified_sample, q_hash_ordered_sample,
     q_annotation_pack, q_book_groups,
 )}
@@ -189,6 +210,11 @@ ORACLES = {
     "q_genre_report": f"{_OUT}, g AS (SELECT doc_id AS id, lang AS genre FROM documents UNION SELECT doc_id, source FROM documents), t AS (SELECT genre, {_CNT} FROM o JOIN g USING (id) GROUP BY 1) SELECT genre, total, actual_replacements, correct_replacements, {_RATIO.format('correct_replacements', 'actual_replacements')} AS replacement_precision, {_RATIO.format('correct_replacements', 'expected_replacements')} AS replacement_coverage FROM t",
     "q_leak_check": f"SELECT source, count(DISTINCT {_SPLIT.format('doc_id')})::BIGINT AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT {_SPLIT.format('doc_id')}) > 1",
     "q_top_errors": f"{_OUT} SELECT c AS predicted_id, count(*)::BIGINT AS actual, count(*) FILTER (ok)::BIGINT AS correct, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, (count(*) - count(*) FILTER (ok))::BIGINT AS wrong FROM o WHERE att GROUP BY 1 ORDER BY wrong DESC, actual DESC, predicted_id LIMIT 30",
+    "q_per_candidate": f"{_OUT} SELECT c AS predicted_id, count(*)::BIGINT AS actual, count(*) FILTER (ok)::BIGINT AS correct, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM o WHERE att GROUP BY 1",
+    "q_predictions": f"""{_OUT}, m AS (SELECT id, ed, id % 4 <> 0 AS near, id % 4 <> 0 AND id % 5 <> 0 AS exact, id % 3 <> 0 AS safe FROM l)
+SELECT id, CASE WHEN exact AND safe THEN 'replace' ELSE 'keepChinese' END AS decision, CASE WHEN exact THEN 'w' || id END AS candidate_id, CASE WHEN exact THEN 'noun' END AS part_of_speech,
+ CASE WHEN ed = 'keepChinese' THEN NOT (near AND safe) ELSE exact END AS segmentation_correct FROM m""",
+    "q_missing_sources": "SELECT DISTINCT p_brand || ':' || p_type || ':noun' AS candidate_id, p_brand AS term FROM part WHERE p_brand || p_type NOT IN (SELECT p_brand || p_type FROM part WHERE p_partkey % 2 = 0) AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50)",
     "q_merge_labels": "SELECT l.doc_id AS id, CASE WHEN d.doc_id IS NOT NULL THEN 'reviewed' ELSE 'unreviewed' END AS annotation_status, CASE WHEN d.doc_id IS NULL THEN CASE WHEN quality = 1 THEN 'replace' ELSE 'keepChinese' END WHEN n_chars % 2 = 0 THEN 'replace' ELSE 'keepChinese' END AS expected_decision, CASE WHEN d.doc_id IS NULL THEN 'w' || l.doc_id % 97 ELSE 'w1' END AS expected_candidate_id FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 = 0) d USING (doc_id)",
     "q_promotion_status": f"""{_OUT}, f AS (SELECT ec AS candidate_id, count(*)::BIGINT AS development_support, count(*) FILTER (id % 2 = 0)::BIGINT AS review_support FROM l WHERE split = 'development' AND ed = 'replace' GROUP BY 1),
 a AS (SELECT ec, count(*)::BIGINT AS n FROM l WHERE split = 'validation' AND ed = 'keepChinese' GROUP BY 1),
