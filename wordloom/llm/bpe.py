@@ -6,8 +6,8 @@ has met; a word is encoded by the library once, when it enters the table, and
 every occurrence gets its ids by position from there (one gather per slice).
 Decoding goes the other way: ids are joined to their pieces by position.
 
-The table is bounded (TABLE_WORDS); it is emptied before it would pass the
-bound, so memory does not grow with the corpus.  A table for the whole corpus
+The table is bounded: once it holds TABLE_WORDS words (about 200 MB) it is cut
+to the half that was met first, so memory does not grow with the corpus.  A table for the whole corpus
 with a shuffle of positions was ruled out by measure; see README.
 
 Defined cases: null and empty texts have no ids and decode to ""; null id
@@ -16,16 +16,19 @@ arrays decode to ""; unknown ids raise.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-TABLE_WORDS = 250_000
+TABLE_WORDS = 1_000_000
 #: Words are looked up for about so many characters of text at once.
 SLICE = 1 << 21
 
@@ -35,6 +38,37 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 _UNITS = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?=[\x20\x09-\x0D][^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
 
 
+#: A word of letters (an optional space first), then perhaps closing marks.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PROBES = ("the", " the", "Word", " Straße,", "école.", " ÉCOLE", "ndwhst...", " thouinor", "a", " I", "Ñandú!?", "thhetionWHEN;")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    letters, spare = [], 256
+    for byte in range(256):
+        letters.append(chr(byte if byte in printable else spare))
+        spare += byte not in printable
+    return letters
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Places(dict):
+    """Word -> place in the table; a new word takes the next place and is noted as fresh."""
+
+    def __init__(self, items=()):
+        super().__init__(items)
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class WordTable:
     """Ids of distinct words under one vocabulary file."""
 
@@ -48,28 +82,74 @@ class WordTable:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Vocabularies whose words drop white space split there; byte-level ones keep it in the words.
         self.drops_space = self.tokenizer.encode("a a", add_special_tokens=False).ids == 2 * self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        self.has_plain = False
         self.clear()
+        try:  # the short way is taken only if it agrees with the library
+            probes = [w for w in _PROBES if not (self.drops_space and w[0] == " ")]
+            self.has_plain = self._plain(probes) == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes]
+        except Exception:
+            self.has_plain = False
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = _Places()
         self.start, self.count, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.flat = np.zeros(4096, np.int32)
 
-    def _add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [np.array(x.ids, np.int32) for x in found]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        n, total = len(self.place), int(sizes.sum())
-        while n + len(words) > len(self.start):
+    def _shrink(self) -> None:
+        """Keeps the words met first: the frequent ones are among them."""
+        keep = TABLE_WORDS // 2
+        self.used = int(self.start[keep])
+        self.place = _Places(islice(self.place.items(), keep))
+
+    def _fill(self) -> None:
+        """Encodes the words that entered the table since the last call."""
+        words, self.place.fresh = self.place.fresh, []
+        n = len(self.place) - len(words)
+        while len(self.place) > len(self.start):
             self.start, self.count = np.concatenate((self.start, self.start)), np.concatenate((self.count, self.count))
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, self.flat))
-        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.count[n : n + len(words)] = sizes
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(ids)
-        self.used += total
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            ids = self._encode_words([w.decode("utf-8", "replace") for w in part])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(sizes.sum())
+            while self.used + total > len(self.flat):
+                self.flat = np.concatenate((self.flat, self.flat))
+            self.start[n + lo : n + lo + len(part)] = self.used + np.cumsum(sizes) - sizes
+            self.count[n + lo : n + lo + len(part)] = sizes
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+            self.used += total
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        ids = self._plain(words) if self.has_plain else [None] * len(words)
+        rest = [w for w, x in zip(words, ids, strict=True) if x is None]
+        found = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        return [next(found).ids if x is None else x for x in ids]
+
+    def _plain(self, words: list[str]) -> list[list[int] | None]:
+        """Ids of letters and closing marks straight from the merge model; None for other words.
+
+        A run of letters and a closing run of marks are two pre-tokens under
+        either kind of vocabulary, so the library's splitting can be left out.
+        """
+        out: list[list[int] | None] = []
+        match, merge, lower, ends = _PLAIN.fullmatch, self.model.tokenize, self.drops_space, {"": []}
+        for word in words:
+            m = match(word)
+            if m is None:
+                out.append(None)
+                continue
+            letters, marks = m.groups()
+            if lower:
+                letters = letters.lower()
+            if not letters.isascii():
+                letters = "".join([_BYTE_LETTERS[b] for b in letters.encode()])
+            elif letters[0] == " ":
+                letters = _BYTE_LETTERS[32] + letters[1:]
+            if marks not in ends:
+                ends[marks] = [t.id for t in merge(marks)]
+            out.append([t.id for t in merge(letters)] + ends[marks])
+        return out
 
     def _units(self, text: str) -> list[bytes]:
         data = text.encode("utf-8", "replace")
@@ -82,14 +162,12 @@ class WordTable:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
         units = [self._units(x) if x else [] for x in texts]
-        fresh = set().union(*units).difference(self.place)
-        if len(self.place) + len(fresh) > TABLE_WORDS:
-            self.clear()
-            fresh = set().union(*units)
-        if fresh:
-            self._add(list(fresh))
+        if len(self.place) > TABLE_WORDS:
+            self._shrink()
         held = sum(map(len, units))
-        codes = np.fromiter((self.place[w] for unit in units for w in unit), np.int64, held)
+        codes = np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), np.int64, held)
+        if self.place.fresh:
+            self._fill()
         sizes = self.count[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if held else 0
@@ -134,20 +212,27 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
+def pieces_of(path: str) -> tuple[list[str], bool]:
+    """The piece of every id, and whether decoding is joining pieces with spaces (a file without a decoder)."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    named = content["model"]["vocab"] | {t["content"]: t["id"] for t in content["added_tokens"]}
+    pieces = [""] * (max(named.values(), default=-1) + 1)
+    for piece, number in named.items():
+        pieces[number] = piece
+    return pieces, content.get("decoder") is None
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids, special tokens included."""
-    from pyspark.sql.types import StringType, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = table_for(path).tokenizer
-        size = tokenizer.get_vocab_size(with_added_tokens=True)
-        pieces = [tokenizer.id_to_token(i) for i in range(size)]
-        plain = tokenizer.decoder is None
-        for batch in batches:
-            texts = []
-            for row in batch[ids]:
-                values = row.as_py() if row.is_valid else []
-                texts.append(" ".join([pieces[i] for i in values]) if plain else tokenizer.decode(values, skip_special_tokens=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+        pieces, plain = pieces_of(path)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                rows = (row.as_py() if row.is_valid else [] for row in batch[ids])
+                texts = [" ".join([pieces[i] for i in row]) if plain else table_for(path).tokenizer.decode(row, skip_special_tokens=False) for row in rows]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add(out, StringType()))
