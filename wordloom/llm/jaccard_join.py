@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.components import connected_components
-from wordloom.plans.staging import Workspace
+from wordloom.plans.staging import Workspace, broadcast_if_few
 
 from .partenum import signatures
 from .shingles import mix, shingles
@@ -211,36 +211,40 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     light = work.write(source.mapInArrow(_fingerprints, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
     named = light.where("n_shingles > 0 and doc_id is not null")
-    sets = named.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    sets = work.write(named.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a hot class can be split in the join
     members = work.write(named.join(sets, ["n_shingles", "h1", "h2"]).select("doc_id", "rep", F.col("n_shingles").alias("n")), "members")
     nodes = work.write(named.join(members.where("doc_id = rep").select("doc_id", "n").distinct(), "doc_id", "left_semi").where("n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep", "n"]), "nodes")
 
-    per_sig = F.count(F.lit(1)).over(Window.partitionBy("sig"))
-    signed = source.where("doc_id is not null").mapInArrow(_signed, "sig long, doc_id long")
-    shared = signed.withColumn("m", per_sig).where("m > 1").select("sig", "doc_id")
-    shared = shared.join(members.select("doc_id", "rep").distinct(), "doc_id").select("sig", "rep").distinct()
-    shared = work.write(shared, "buckets")
-    lead = shared.groupBy("sig").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("sig", "b")
-    star = shared.join(lead, "sig").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    copies = work.write(members.where("doc_id <> rep").select("doc_id").distinct(), "copies")
+    texts = source.where("doc_id is not null")
+    signed = texts.join(broadcast_if_few(copies), "doc_id", "left_anti").mapInArrow(_signed, "sig long, doc_id long")
+    bucket = Window.partitionBy("sig")
+    shared = signed.select("sig", F.col("doc_id").alias("rep"), F.min("doc_id").over(bucket).alias("b"), F.max("doc_id").over(bucket).alias("top")).where("b < top")
+    shared = work.write(shared.select("sig", "rep", "b"), "buckets")
+    star = shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     ends = [nodes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ab"]
     star = work.write(star.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long"), "star")
-    texts = source.where("doc_id is not null")
 
     def needed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+        ids = work.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        return texts.join(broadcast_if_few(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
 
     links = work.write(_verify(star, needed(star)), "links")
     first = connected_components(links, work)
 
-    labelled = shared.join(first.select(F.col("node").alias("rep"), "root"), "rep", "left").select("sig", "rep", F.coalesce("root", "rep").alias("label"))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("top"), F.count(F.lit(1)).alias("m")).where("low < top")
-    open_rows = labelled.join(mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")), "sig").join(nodes, "rep")
-    block = F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")
-    open_rows = open_rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    open_rows = open_rows.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "label", "n", "block", "sketch")
-    open_rows = open_rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-    rest = work.write(open_rows.mapInArrow(_buckets, "a long, b long").distinct(), "rest")
+    label = first.select(F.col("node").alias("rep"), "root")
+    labelled = shared.select("sig", "rep").join(broadcast_if_few(label), "rep", "left").withColumn("label", F.coalesce("root", "rep")).join(nodes, "rep")
+    seen = [F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("top"), F.count(F.lit(1)).over(bucket).alias("m")]
+    mixed = labelled.select("sig", "rep", "label", "n", "sketch", *seen).where("low < top")
+    columns = ["sig", "lo", "hi", "rep", "label", "n", "block", "sketch"]
+    none = F.lit(0)
+    usual = mixed.where(F.col("m") <= BLOCK).select("sig", none.alias("lo"), none.alias("hi"), "rep", "label", "n", none.alias("block"), "sketch").sortWithinPartitions("sig")
+    hot = mixed.where(F.col("m") > BLOCK).withColumn("q", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    hot = hot.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "label", "n", "block", "sketch").select(columns)
+    hot = hot.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    likely = usual.mapInArrow(_buckets, "a long, b long").union(hot.mapInArrow(_buckets, "a long, b long"))
+    rest = work.write(likely.distinct(), "rest")
     more = work.write(_verify(rest, needed(rest)), "links")
     whole = connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), work)
 
@@ -253,5 +257,5 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near copies: of each component the row with the smallest doc_id stays."""
     found = jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = Workspace(docs.sparkSession, "copies").write(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if_few(gone), "doc_id", "left_anti")
