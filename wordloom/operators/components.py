@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, work: Workspace, left: str = "a", rig
     a, b = F.col(left).cast(kind), F.col(right).cast(kind)
     live = edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     live = work.write(live.where("a <> b").distinct(), "edges")
-    root = None
+    root, first = None, True
     while not live.isEmpty():
         hook = live.groupBy("a").agg(F.min("b").alias("p"))
         for _ in range(2):
@@ -31,13 +31,15 @@ def connected_components(edges: DataFrame, work: Workspace, left: str = "a", rig
         if root is None:
             nodes = live.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             root = nodes.withColumn("root", F.col("node"))
-        root = root.join(hook.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-        root = work.write(root, "roots")
+        moved = root.join(hook.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        done = [live, hook, *([] if first else [root])]
+        root, first = work.write(moved, "roots"), False
         for end in ("a", "b"):
             to = hook.select(F.col("a").alias(end), F.col("p").alias("to"))
             live = live.join(to, end, "left").select(*[(F.coalesce("to", end) if c == end else F.col(c)).alias(c) for c in ("a", "b")])
         live = live.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         live = work.write(live, "edges")
+        work.drop(*done)
     if root is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return root

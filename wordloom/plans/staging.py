@@ -7,6 +7,8 @@ Everything survives the loss of executors, because nothing is kept on them.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,9 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder from ``spark.checkpoint.dir``; where unset, one of our own (tests, local mode)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        directory = spark.sparkContext.getCheckpointDir()
-        known = directory or "file://" + tempfile.mkdtemp(prefix="wordloom-")
-        if not directory:
+        known = spark.sparkContext.getCheckpointDir()
+        if not known:
+            made = tempfile.mkdtemp(prefix="wordloom-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            known = f"file://{made}"
             spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
