@@ -21,6 +21,14 @@ WINDOW = 14
 REACH = 18
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; the slow ``translate`` is left to texts beyond ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def substr(text: Column, start: Column, length: Column) -> Column:
     """Characters from a 0-based start."""
     return F.substring(text, start + 1, length)

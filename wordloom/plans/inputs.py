@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from wordloom.functions.text import LOWER, UPPER, ascii_lower
+
 LEAST_DOCS = 8
 #: The reference time of every query: 2024-02-01T00:00:00Z.
 NOW_MS = 1706745600000
@@ -26,7 +27,7 @@ def millis(name: str) -> Column:
 
 def low_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the text with A-Z lower-cased."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 SQL_LOW = f"low AS (SELECT doc_id, lang, source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents)"

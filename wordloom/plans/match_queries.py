@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.context import candidate_id
+from wordloom.functions.text import ascii_lower
 from wordloom.operators import lexicon, matching, resolve, selection, structure
 from wordloom.plans.staging import Workspace
 
@@ -59,7 +60,7 @@ def q_blacklist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest lexicon term at each start inside the words of benchmark items."""
     docs = low_docs(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), ascii_lower(F.col("text")).alias("text"))
     grams = matching.ngrams(items, KEYS, 8, 4, start_class="[a-z]")
     return matching.longest_matches(grams, derived_lexicon(docs), KEYS).select(F.col("doc_id").alias("item_id"), "start", "text", F.col("end").alias("stop"))
 
@@ -210,7 +211,7 @@ def q_quiz_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_uncertain_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts worth scanning of the words of benchmark items."""
     docs = low_docs(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), ascii_lower(F.col("text")).alias("text"))
     found = matching.uncertain_starts(structure.words(items, KEYS), derived_lexicon(docs), KEYS, 8, script="[a-z]")
     return found.select(F.col("doc_id").alias("item_id"), "start")
 
