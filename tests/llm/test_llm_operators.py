@@ -124,7 +124,7 @@ def test_bpe_equals_the_library(spark):
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         path = tokenizer_path(name)
         tokenizer = bpe.WordTable(path).tokenizer
-        for r in bpe.decode(bpe.encode(table, path), path).collect():
+        for r in [*bpe.decode(bpe.encode(table, path), path).collect(), *bpe.encode_decode(table, path).collect()]:
             want = tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
             assert r.ids == want and r.decoded == tokenizer.decode(want, skip_special_tokens=False)
     assert bpe.encode(table.limit(0), path).count() == 0
@@ -132,6 +132,7 @@ def test_bpe_equals_the_library(spark):
 
 def test_word_table_stays_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_WORDS", 50)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 20)
     table = bpe.WordTable(tokenizer_path("byte_bpe_50k.json"))
     for k in range(20):
         texts = [f"word{k} same again{j}{k}" for j in range(20)]
@@ -172,7 +173,7 @@ def test_policies_and_ablation(spark):
 
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(9)
-    lines = ["common line of text", " COMMON line of text\t", "short", "another shared line", "", "  ", "only once in here"]
+    lines = ["common line of text", " COMMON line of text\t", "Élan vital commun", "élan vital commun", "ÉLAN vital COMMUN", "short", "another shared line", "", "  ", "only once in here"]
     rows = [(5, None), (6, "")] + [(i, "\n".join(rng.choice([*lines, f"own line number {i} {k}"]) for k in range(rng.randint(1, 8)))) for i in range(10, 40)]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
     held = {}

@@ -6,8 +6,8 @@ has met; a word is encoded by the library once, when it enters the table, and
 every occurrence gets its ids by position from there (one gather per slice).
 Decoding goes the other way: ids are joined to their pieces by position.
 
-The table is bounded: once it holds TABLE_WORDS words (about 200 MB) it is cut
-to the half that was met first, so memory does not grow with the corpus.  A table for the whole corpus
+The table is bounded: once it holds TABLE_WORDS words it is cut to the
+KEPT_WORDS used most, so memory does not grow with the corpus.  A table for the whole corpus
 with a shuffle of positions was ruled out by measure; see README.
 
 Defined cases: null and empty texts have no ids and decode to ""; null id
@@ -19,8 +19,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-TABLE_WORDS = 1_000_000
+TABLE_WORDS, KEPT_WORDS = 500_000, 300_000
 #: Words are looked up for about so many characters of text at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 #: White space beyond ASCII (and separators that look like it): such texts, and
 #: texts with an added token, are not cut for byte-level vocabularies.
@@ -93,21 +93,25 @@ class WordTable:
 
     def clear(self) -> None:
         self.place = _Places()
-        self.start, self.count, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.flat = np.zeros(4096, np.int32)
+        self.start, self.count, self.uses = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used = np.zeros(4096, np.int32), 0
 
     def _shrink(self) -> None:
-        """Keeps the words met first: the frequent ones are among them."""
-        keep = TABLE_WORDS // 2
-        self.used = int(self.start[keep])
-        self.place = _Places(islice(self.place.items(), keep))
+        """Keeps the words used most, the later of equals going first; uses count half from then on."""
+        keep = np.sort(np.argsort(-self.uses[: len(self.place)], kind="stable")[: KEPT_WORDS])
+        words = list(self.place)
+        self.place = _Places(zip([words[i] for i in keep], range(len(keep)), strict=True))
+        sizes = self.count[keep]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.start[keep] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.start, self.count, self.uses, self.used = ends - sizes, sizes, self.uses[keep] // 2, len(self.flat)
 
     def _fill(self) -> None:
         """Encodes the words that entered the table since the last call."""
         words, self.place.fresh = self.place.fresh, []
         n = len(self.place) - len(words)
         while len(self.place) > len(self.start):
-            self.start, self.count = np.concatenate((self.start, self.start)), np.concatenate((self.count, self.count))
+            self.start, self.count, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count, self.uses))
         for lo in range(0, len(words), 20_000):
             part = words[lo : lo + 20_000]
             ids = self._encode_words([w.decode("utf-8", "replace") for w in part])
@@ -168,6 +172,7 @@ class WordTable:
         codes = np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), np.int64, held)
         if self.place.fresh:
             self._fill()
+        self.uses[: len(self.place)] += np.bincount(codes, minlength=len(self.place))
         sizes = self.count[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if held else 0
@@ -185,16 +190,22 @@ def table_for(path: str) -> WordTable:
     return _tables[path]
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about SLICE characters."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= SLICE:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a column in parts of about SLICE characters, each with its first row."""
+    start = 0
+    while start < len(column):
+        part, held = [], 0
+        for i in range(start, len(column)):
+            part.append(column[i].as_py())
+            held += len(part[-1] or "")
+            if held >= SLICE:
+                break
+        yield start, part
+        start += len(part)
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,16 +213,27 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch[1].to_pylist()
-            for lo, hi in slices(texts):
-                ids, sizes = table_for(path).encode(texts[lo:hi])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch[0].slice(lo, hi - lo), lists], [key, "ids"])
+            for at, texts in slices(batch[1]):
+                yield pa.RecordBatch.from_arrays([batch[0].slice(at, len(texts)), _lists(*table_for(path).encode(texts))], [key, "ids"])
 
     source = docs.select(F.col(key), F.col(text))
     return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
+def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, ids array<int>, decoded string): both ways in one worker, so ids need not travel in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = Pieces(path)
+        for batch in batches:
+            for at, texts in slices(batch[1]):
+                ids, sizes = table_for(path).encode(texts)
+                yield pa.RecordBatch.from_arrays([batch[0].slice(at, len(texts)), _lists(ids, sizes), back.decode(np.split(ids, np.cumsum(sizes)[:-1]))], [key, "ids", "decoded"])
+
+    source = docs.select(F.col(key), F.col(text))
+    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
+
+
 def pieces_of(path: str) -> tuple[list[str], bool]:
     """The piece of every id, and whether decoding is joining pieces with spaces (a file without a decoder)."""
     with open(path, encoding="utf-8") as file:
@@ -223,16 +245,29 @@ def pieces_of(path: str) -> tuple[list[str], bool]:
     return pieces, content.get("decoder") is None
 
 
+class Pieces:
+    """Decoding by joining every id to its piece."""
+
+    def __init__(self, path: str):
+        pieces, self.plain = pieces_of(path)
+        self.path, self.pieces = path, np.array(pieces, object)
+
+    def decode(self, rows: Iterable[np.ndarray]) -> pa.Array:
+        """One text per row of ids; an id outside the vocabulary raises."""
+        if self.plain:
+            return pa.array([" ".join(self.pieces[row]) for row in rows], pa.string())
+        return pa.array([table_for(self.path).tokenizer.decode(list(map(int, row)), skip_special_tokens=False) for row in rows], pa.string())
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids, special tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, plain = pieces_of(path)
+        back = Pieces(path)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                rows = (row.as_py() if row.is_valid else [] for row in batch[ids])
-                texts = [" ".join([pieces[i] for i in row]) if plain else table_for(path).tokenizer.decode(row, skip_special_tokens=False) for row in rows]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                rows = (np.array(row.as_py() or [], np.int64) for row in batch[ids])
+                yield pa.RecordBatch.from_arrays([*batch.columns, back.decode(rows)], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add(out, StringType()))

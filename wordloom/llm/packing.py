@@ -122,9 +122,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            texts = batch[1].to_pylist()
-            for lo, hi in slices(texts):
-                ids, sizes = table_for(path).encode(texts[lo:hi])
+            for lo, texts in slices(batch[1]):
+                ids, sizes = table_for(path).encode(texts)
                 rows: list[list] = [[] for _ in range(7)]
                 place = 0
                 for i, size in enumerate(sizes.tolist()):
