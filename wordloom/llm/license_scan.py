@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import ascii_lower
+
 # Equivalent spellings (canonical form on the right).
 EQUIVALENT = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("noninfringement", "non infringement"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("https", "http"))
 
@@ -40,7 +42,7 @@ COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0
 
 
 def canonical(text: Column) -> Column:
-    form = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    form = ascii_lower(F.coalesce(text, F.lit("")))
     form = F.regexp_replace(form, COPYRIGHT_LINE, "\n")
     form = F.concat(F.lit(" "), F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for old, new in EQUIVALENT:
@@ -50,8 +52,8 @@ def canonical(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """Rows (license_id, digest) of the default table."""
-    texts = spark.createDataFrame(list(LICENSES.items()), "license_id string, text string")
-    return texts.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in LICENSES.items()])
+    return spark.range(1).select(F.inline(rows)).select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
