@@ -196,7 +196,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    # leaders (b) repeat: that join has plain exchanges on both sides, so a hot leader's pairs can be split
+    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     return joined.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
 
 
@@ -227,7 +228,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     def needed(pairs: DataFrame) -> DataFrame:
         ids = work.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        return texts.join(broadcast_if_few(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+        return work.write(texts.join(broadcast_if_few(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
 
     links = work.write(_verify(star, needed(star)), "links")
     first = connected_components(links, work)
