@@ -286,6 +286,47 @@ def test_html_differencing_and_edge_rows(spark):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+def paired_texts(rows):
+    """Brute force: every page of a host in the order of (path, id), each unmarked one against its nearer neighbour."""
+    by = {}
+    for i, host, path, page in rows:
+        by.setdefault(host, []).append((path, i, *html_text.all_blocks(page)))
+    out = {}
+    for mine in by.values():
+        mine.sort()
+        for k, (path, i, marked, lines) in enumerate(mine):
+            near = [j for j in (k - 1, k + 1) if 0 <= j < len(mine)]
+            own = [x for inside, x in lines if inside or not marked]
+            if near and not marked:
+                pair = max(near, key=lambda j: (html_text._prefix(path, mine[j][0]), -j))
+                gone = html_text.shared_lines(own, [x for _, x in mine[pair][3]])
+                own = [x for n, x in enumerate(own) if n not in gone]
+            out[i] = "\n".join(own)
+    return out
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "60"])
+def test_html_partners_are_the_nearest_of_the_host(spark, parts):
+    rng = random.Random(12)
+    rows = []
+    for i in range(420):
+        host = rng.choice(["h", "h", "h", "g", f"lone{i}"])
+        path = rng.choice([f"/en/{i}/", f"/2024/{rng.randint(1, 9):02}/slug{i}/", f"/flat/{i:04}", "/same"])
+        menu = "".join(f"<div>menu {rng.randint(0, 3)} of {host}</div>" for _ in range(3))
+        body = f"<p>story {i}</p>"
+        rows.append((i, host, path, f"<html><body>{menu}{f'<article>{body}</article>' if rng.random() < 0.2 else body}<div>About {host}</div></body></html>"))
+    table = spark.createDataFrame([(i, f"http://{h}{p}", x) for i, h, p, x in rows], "page_id long, url string, html string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [(r.page_id, r.text) for r in html_text.extract(table).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 420 and dict(got) == paired_texts(rows)
+
+
 def test_common_subsequence_is_longest():
     rng = random.Random(1)
     for _ in range(100):

@@ -4,20 +4,21 @@ A page becomes lines, one per block element.  Lines inside elements that never
 hold the article (menus, headers and footers of the page, asides, forms,
 notices, adverts, reader comments, scripts, styles) are left out.  If the page
 marks its article (article, main), only lines inside count.  In pages without
-such a mark, boilerplate is found by differencing: pages of a host are ordered
-by URL path, each is paired with the neighbour whose path shares the longer
-prefix, their lines are aligned by longest common subsequence, and shared lines
-are deleted.  Differencing never touches marked articles, since near copies of
-a page would delete each other.
-
-A neighbourhood is a folder of a host.  One of over SLICE pages is cut by a hash
-of the path without its last two letters, so near names stay together; names
-that are over SLICE pages themselves are cut by page.  So no host and no path is
-gathered in one task.
-
-Defined cases: null or empty html gives ""; a null or malformed url is a host of
-its own; pages without a partner are not differenced; repeated rows are pages of
-their own.  Null page ids pass through.
+such a mark, boilerplate is found by differencing: all pages of a host are
+ordered by (path, key), each unmarked page is paired with the page before or
+after it whose path shares the longer prefix, their lines are aligned by longest
+common subsequence, and shared lines are deleted.  A marked page can be the
+partner, with its lines outside the article too, but is never differenced
+itself, since near copies of a page would delete each other.
+
+The order is a range partition over (host, path, key, row), so no host and no
+path is gathered in one task.  The first and last row of each partition are
+written with the neighbour they have inside, and meet their other neighbour in a
+join over the edges alone; so where partitions end doesn't matter.
+
+Defined cases: null or empty html gives ""; null and malformed urls are a host of
+their own; pages alone on their host are not differenced; repeated rows are pages
+of their own.  Null page ids pass through, last in their path.
 """
 
 from __future__ import annotations
@@ -30,11 +31,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wordloom.plans.staging import Workspace
 
-SLICE = 256
-
 # Element names.
 SKIPPED = frozenset("head script style noscript template svg iframe object nav header footer aside form button select menu dialog".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
@@ -47,8 +47,8 @@ _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _SPACE = re.compile(r"\s+")
 
 
-def blocks(page: str | None) -> tuple[bool, list[str]]:
-    """Whether the page marks its article, and its text lines (of the article if marked)."""
+def all_blocks(page: str | None) -> tuple[bool, list[tuple[bool, str]]]:
+    """Whether the page marks its article, and its text lines, each with whether it is inside the mark."""
     if not page:
         return False, []
     lines: list[tuple[bool, str]] = []
@@ -105,6 +105,12 @@ def blocks(page: str | None) -> tuple[bool, list[str]]:
     if not skipped and at < len(page):
         text.append(_html.unescape(page[at:]))
     close_line()
+    return marked, lines
+
+
+def blocks(page: str | None) -> tuple[bool, list[str]]:
+    """Whether the page marks its article, and its text lines (of the article if marked)."""
+    marked, lines = all_blocks(page)
     return marked, [line for main, line in lines if main or not marked]
 
 
@@ -136,16 +142,75 @@ def _prefix(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def _differenced(rows: list[dict]) -> None:
-    """Deletes shared lines in the unmarked pages of one neighbourhood, sorted by path."""
-    before = [r["lines"] for r in rows]
-    for i, row in enumerate(rows):
-        near = [j for j in (i - 1, i + 1) if 0 <= j < len(rows)]
-        if row["marked"] or not near:
-            continue
-        pair = max(near, key=lambda j: (_prefix(row["path"], rows[j]["path"]), -j))
-        gone = shared_lines(before[i], before[pair])
-        row["lines"] = [x for k, x in enumerate(before[i]) if k not in gone]
+def _nearer(path: str, before: dict | None, after: dict | None) -> dict | None:
+    """The neighbour with the longer common prefix; the one before if both are as near."""
+    if before is None or after is None:
+        return before or after
+    return after if _prefix(path, after["path"]) > _prefix(path, before["path"]) else before
+
+
+def _own(row: dict, before: dict | None, after: dict | None) -> str:
+    """The text of an unmarked page without the lines shared with its partner."""
+    pair = _nearer(row["path"], before, after)
+    gone = shared_lines(row["lines"], pair["lines"]) if pair else ()
+    return "\n".join(x for k, x in enumerate(row["lines"]) if k not in gone)
+
+
+_PAGE = "struct<host: string, path: string, marked: boolean, lines: array<string>>"
+_PAGE_TYPE = pa.struct([("host", pa.string()), ("path", pa.string()), ("marked", pa.bool_()), ("lines", pa.list_(pa.string()))])
+
+
+def _differenced(pages: DataFrame, work: Workspace, key: str, kind: str) -> DataFrame:
+    """Rows (key, url, text) of the unmarked pages among rows (key, url, host, path, row, marked, lines)."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        typed = pa.schema([(key, key_type), ("url", pa.string()), ("text", pa.string()), ("first", pa.bool_()), ("last", pa.bool_()), ("page", _PAGE_TYPE), ("inner", _PAGE_TYPE)])
+        page = lambda r: {k: r[k] for k in ("host", "path", "marked", "lines")}
+        beside = lambda r, o: o if o is not None and o["host"] == r["host"] else None
+
+        def emit(before: dict | None, row: dict, after: dict | None) -> list[dict]:
+            if before is None or after is None:
+                inner = beside(row, before or after)
+                return [{key: row[key], "url": row["url"], "text": None, "first": before is None, "last": after is None, "page": page(row), "inner": inner and page(inner)}]
+            if row["marked"]:
+                return []
+            return [{key: row[key], "url": row["url"], "text": _own(row, beside(row, before), beside(row, after)), "first": False, "last": False, "page": None, "inner": None}]
+
+        before = row = None
+        for batch in batches:
+            out = []
+            for after in batch.to_pylist():
+                if row is not None:
+                    out += emit(before, row, after)
+                before, row = row, after
+            if out:
+                yield pa.RecordBatch.from_pylist(out, typed)
+        if row is not None:
+            yield pa.RecordBatch.from_pylist(emit(before, row, None), typed)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for r in batch.to_pylist():
+                row, inner = r["page"], r["inner"]
+                before, after = (o if o is not None and o["host"] == row["host"] else None for o in (r["before"], r["after"]))
+                texts.append(_own(row, before if r["first"] else inner, after if r["last"] else inner))
+            yield pa.RecordBatch.from_arrays([batch[key], batch["url"], pa.array(texts, pa.string())], [key, "url", "text"])
+
+    key_type = to_arrow_type(pages.schema[key].dataType)
+    order = [F.col("host"), F.col("path"), F.col(key).asc_nulls_last(), F.col("row")]
+    ordered = pages.repartitionByRange(*order).sortWithinPartitions(*order)
+    walked = ordered.mapInArrow(walk, f"`{key}` {kind}, url string, text string, first boolean, last boolean, page {_PAGE}, inner {_PAGE}")
+    walked = work.write(walked.withColumn("part", F.spark_partition_id()), "walked")
+    edges = walked.where("first or last")
+    parts = sorted(r.part for r in edges.select("part").distinct().collect())
+    places = pages.sparkSession.createDataFrame(list(zip(parts, range(len(parts)), strict=True)), "part int, place int")
+    edges = edges.join(F.broadcast(places), "part")
+    before = edges.where("last").select((F.col("place") + 1).alias("place"), F.col("page").alias("before"))
+    after = edges.where("first").select((F.col("place") - 1).alias("place"), F.col("page").alias("after"))
+    met = edges.where("not page.marked").join(before, "place", "left").join(after, "place", "left")
+    closed = met.select(key, "url", "first", "last", "page", "inner", "before", "after").mapInArrow(close, f"`{key}` {kind}, url string, text string")
+    return walked.where("not first and not last").select(key, "url", "text").unionByName(closed)
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -154,27 +219,19 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(x.as_py()) for x in batch["html"]]
-            yield pa.RecordBatch.from_arrays([batch[key], batch["url"], pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.list_(pa.string()))], [key, "url", "marked", "lines"])
+            found = [all_blocks(x.as_py()) for x in batch["html"]]
+            lines = pa.array([[x for _, x in f[1]] for f in found], pa.list_(pa.string()))
+            inside = pa.array([[m for m, _ in f[1]] for f in found], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch[key], batch["url"], pa.array([f[0] for f in found], pa.bool_()), lines, inside], [key, "url", "marked", "lines", "inside"])
 
-    parsed = pages.select(key, "url", "html").mapInArrow(parse, f"`{key}` {kind}, url string, marked boolean, lines array<string>")
+    parsed = pages.select(key, "url", "html").mapInArrow(parse, f"`{key}` {kind}, url string, marked boolean, lines array<string>, inside array<boolean>")
     work = Workspace(pages.sparkSession, "html")
-    parsed = work.write(parsed, "lines")
-    final = parsed.where("marked").select(key, "url", F.array_join("lines", "\n").alias("text"))
+    parsed = work.write(parsed.withColumn("row", F.monotonically_increasing_id()), "lines")
+    article = F.filter("lines", lambda line, k: F.get("inside", k))
+    final = parsed.where("marked").select(key, "url", F.array_join(article, "\n").alias("text"))
+    if parsed.where("not marked").isEmpty():
+        return final
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
-    open_ = parsed.where("not marked").withColumn("path", path).withColumn("hood", F.concat_ws(" ", host, F.regexp_extract("path", r"^(.*/)[^/]*$", 1))).withColumn("stem", F.regexp_replace("path", r"[^/]{1,2}$", ""))
-    stems = open_.groupBy("hood", "stem").agg(F.count(F.lit(1)).alias("in_stem"))
-    hoods = stems.groupBy("hood").agg(F.sum("in_stem").alias("in_hood"))
-    sized = open_.join(stems, ["hood", "stem"]).join(hoods, "hood")
-    spread = lambda n, *names: F.pmod(F.xxhash64(*names), F.ceil(F.col(n) / SLICE)).cast("string")
-    name = F.when(F.col("in_hood") <= SLICE, F.lit("")).when(F.col("in_stem") <= SLICE, spread("in_hood", "stem")).otherwise(F.concat_ws(" ", "stem", spread("in_stem", "path", key)))
-    cut = sized.withColumn("cut", name)
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["path"], r[key] is None, r[key]))
-        _differenced(rows)
-        return pa.table([pa.array([r[key] for r in rows], table.schema.field(key).type), pa.array([r["url"] for r in rows], pa.string()), pa.array(["\n".join(r["lines"]) for r in rows], pa.string())], names=[key, "url", "text"])
-
-    rest = cut.select(key, "url", "path", "hood", "cut", "marked", "lines").groupBy("hood", "cut").applyInArrow(compare, f"`{key}` {kind}, url string, text string")
-    return final.unionByName(rest)
+    placed = parsed.select(key, "url", host.alias("host"), path.alias("path"), "row", "marked", "lines")
+    return final.unionByName(_differenced(placed, work, key, kind))
