@@ -391,3 +391,36 @@ def test_added_spans_and_redaction(spark):
     assert got[2].text is None and got[3].text == "clean text" and got[3].digest == "x"
     spans = {r.doc_id: r.s for r in pii.find_pii(table).select("doc_id", pii.spans_text(F.col("spans"), pii.BASE).alias("s")).collect()}
     assert spans[1] == ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(text)) and spans[2] == spans[4] == ""
+
+
+@pytest.mark.parametrize("kind,text,want", [
+    ("account", "ssn: 123-45-6789.", "123-45-6789"),
+    ("account", "My SSN is 123 45 6789, yes", "123 45 6789"),
+    ("account", "IBAN: DE89 3704 0044 0532 0130 00 of Anna", "DE89 3704 0044 0532 0130 00"),
+    ("account", "iban gb29 nwbk 6016 1331 9268 19", "gb29 nwbk 6016 1331 9268 19"),
+    ("account", "IBAN GB29NWBK60161331926819 is mine", "GB29NWBK60161331926819"),
+    ("account", "Account number: 1234-5678-9012", "1234-5678-9012"),
+    ("account", "Account no. 1234 5678", "1234 5678"),
+    ("account", "Passport No: AB 1234567", "AB 1234567"),
+    ("account", "account no: DE12345678", "DE12345678"),
+    ("address", "Elle vit 12 rue de la Paix à Paris", "12 rue de la Paix"),
+    ("address", "12, rue de la paix", "12, rue de la paix"),
+    ("address", "Au 3 bis rue du 8 Mai 1945, Lyon", "3 bis rue du 8 Mai 1945"),
+    ("address", "5 avenue Foch.", "5 avenue Foch"),
+    ("address", "Live at 221 5th Avenue now", "221 5th Avenue"),
+    ("address", "1200 Martin Luther King Junior Boulevard", "1200 Martin Luther King Junior Boulevard"),
+    ("address", "in der Hauptstraße 12 wohnt", "Hauptstraße 12"),
+    ("address", "Karl-Marx-Straße 7a", "Karl-Marx-Straße 7a"),
+    ("address", "in der Berliner Straße 12.", "Berliner Straße 12"),
+    ("address", "Rue de la Gare 12, Bern", "Rue de la Gare 12"),
+    ("address", "12 Elm Street", "12 Elm Street"),
+])
+def test_usual_forms_after_a_cue(kind, text, want):
+    assert [text[a:b] for k, a, b in pii.find(text) if k == kind] == [want]
+
+
+def test_cues_without_a_value_have_no_span():
+    for text in ("an account 1999-2004 of the war", "account: 2020-01-15", "a true story of 5 broad hints", "in 2004 they went down the long and winding road", "IBAN: to be given", "5 road signs", "the avenue of the stars"):
+        assert not pii.find(text), text
+    for text in ("account " * 5000, "iban " + "A1" * 20000, "ssn " + "1-" * 20000, "9 " + "A " * 20000 + "street", "rue de " * 10000, "1 street " * 5000):
+        pii.find(text)

@@ -31,9 +31,10 @@ KINDS = (*BASE, "url", "secret", "account", "address")
 SCHEMES = ("http://", "https://", "ftp://")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
 ACCOUNT_CUES = ("iban", "account", "acct", "passport", "ssn")
-STREET_CUES = (" street", " avenue", " road", " boulevard", "straße", " rue ", " calle ")
+STREET_CUES = ("street", "avenue", "road", "boulevard", "straße", "strasse", "rue ", "calle ")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -41,9 +42,27 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s\"'<>]++")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_\-./+=]{12,})")
-_ACCOUNT = re.compile(r"(?:\s{0,3}(?:no|nr|number|id)\b)?[\s.:#=]{1,5}([A-Za-z]{0,2}[0-9][A-Za-z0-9]{5,33})(?![A-Za-z0-9])", re.IGNORECASE)
-_HOUSE_BEFORE = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5}[a-z]? (?:[^\W\d_]{1,30} ){0,2}[^\W\d_]{1,30}\Z")
-_HOUSE_AFTER = re.compile(r"[^\W\d_]{0,30} [0-9]{1,5}(?![0-9])|(?:[^\W\d_]{1,30} ){1,3}[0-9]{1,5}(?![0-9])")
+_ACCOUNT_GAP = re.compile(r"(?:\s{0,3}(?:no|nr|number|id)\b)?(?:\s{1,3}is\b)?[\s.:#=]{1,5}", re.IGNORECASE)
+_ACCOUNT = re.compile(r"[A-Za-z]{0,2}[0-9][A-Za-z0-9]{5,33}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
+_GROUPS = re.compile(r"[A-Za-z]{0,2}[0-9]{1,6}([ -])[0-9]{1,6}(?:\1[0-9]{1,6}){0,16}(?![A-Za-z0-9])|[A-Z]{1,2}[ -][0-9]{5,14}(?![A-Za-z0-9])|[0-9]{7,20}(?:-[0-9]{1,6}){1,4}(?![A-Za-z0-9])")
+_DATE = re.compile(r"[0-9]{4}([ -])[0-9]{2}\1[0-9]{2}|[0-9]{2}([ -])[0-9]{2}\2[0-9]{4}")
+# Street names: a word, one that is no lower-case Latin at its start, small words between, a day (rue du 8 Mai 1945).
+_WORD = r"(?:[^\W\d_]{1,30}(?:['’.-][^\W\d_]{1,30}){0,5}\.?|[0-9]{1,3}(?:st|nd|rd|th))"
+_PROPER = r"(?:(?:[ldLD]['’])?[^\W\d_a-zß-öø-ÿ][^\W\d_]{0,30}(?:['’.-][^\W\d_]{1,30}){0,5}\.?|[0-9]{1,3}(?:st|nd|rd|th))"
+_SMALL = r"(?:de|du|des|del|la|le|les|los|las|el|et|y|of|the|von|der|den|dem|zu|am)"
+_DAY = rf"[0-9]{{1,2}}(?:er)? {_WORD}(?: [0-9]{{4}}(?![0-9]))?"
+_STREET_NAME = rf"(?:{_SMALL} )*(?:{_DAY}|{_PROPER})(?: (?:{_SMALL} )*{_PROPER})*"
+_NUMBER = r"(?<![A-Za-z0-9])[0-9]{1,5}[A-Za-z]?"
+_NUMBER_BEFORE = re.compile(rf"{_NUMBER}(?: (?:bis|ter|quater|[a-zA-Z]))?,? \Z")
+_NAME_AFTER = re.compile(rf" ?{_STREET_NAME}| (?:{_SMALL} )+{_WORD}")
+_LOW_NAME_AFTER = re.compile(rf"(?:{_SMALL} )*(?:[ld]['’])?{_WORD}")
+_HOUSE_BEFORE = re.compile(rf"{_NUMBER},? (?:(?:{_WORD} ){{1,3}}|{_PROPER} (?:(?:{_SMALL} )*{_PROPER} )+)\Z")
+_HOUSE_AFTER = re.compile(rf"[^\W\d_]{{0,30}},? [0-9]{{1,5}}[a-z]?(?![A-Za-z0-9])|(?:(?:{_WORD} ){{0,2}}{_WORD}|{_STREET_NAME}),? [0-9]{{1,5}}[a-z]?(?![A-Za-z0-9])")
+_PROPER_BEFORE = re.compile(rf"(?<![^\W_])(?:{_PROPER} )+\Z")
+_COMPOUND_BEFORE = re.compile(r"(?<![^\W_])[^\W\d_]{1,40}(?:-[^\W\d_]{1,40}){0,5}-?\Z")
+# Letters that a street's name and number may take on either side of the cue.
+_NEAR = 200
 
 
 def luhn(digits: str) -> bool:
@@ -54,6 +73,52 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(value: str) -> bool:
+    """Whether a value without separators has the check digits of an IBAN."""
+    return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def _account(text: str, end: int) -> tuple[int, int] | None:
+    """The account value after a cue that ends at ``end``: an IBAN, digits in groups, or one run."""
+    gap = _ACCOUNT_GAP.match(text, end)
+    if not gap:
+        return None
+    at = gap.end()
+    if m := _IBAN.match(text, at):
+        for stop in range(m.end(), at + 14, -1):
+            if text[stop - 1] not in " -" and not (stop < len(text) and text[stop] in _ALNUM) and iban(text[at:stop].replace(" ", "").replace("-", "")):
+                return at, stop
+    if m := _GROUPS.match(text, at):
+        digits = sum(c in "0123456789" for c in m[0])
+        # Years and dates have eight digits: as few as that need more than a space after the cue.
+        stated = gap[0].strip() != "" or m[0][0] not in "0123456789"
+        if digits >= 9 or stated and digits >= 5 + 3 * (m[1] is not None) and not _DATE.fullmatch(m[0]):
+            return m.span()
+    if (m := _ACCOUNT.match(text, at)) and sum(c in "0123456789" for c in m[0]) >= 4:
+        return m.span()
+    return None
+
+
+def _address(text: str, low: int, start: int, end: int) -> tuple[int, int] | None:
+    """The street address around a cue: number and street, street and name, or street and number."""
+    compound = text[start].lower() == "s" and text[start + 3].lower() == "a"
+    if not compound and start and text[start - 1].isalnum():
+        return None
+    left = max(low, start - _NEAR)
+    right = min(len(text), end + _NEAR)
+    spaced = text[end - 1] == " "
+    if m := _NUMBER_BEFORE.search(text, left, start):
+        if after := _NAME_AFTER.match(text, end, right) or spaced and _LOW_NAME_AFTER.match(text, end, right):
+            return m.start(), after.end() - (text[after.end() - 1] == ".")
+    if m := _HOUSE_BEFORE.search(text, left, start):
+        return m.start(), end - spaced
+    if after := _HOUSE_AFTER.match(text, end, right):
+        if compound and (m := _COMPOUND_BEFORE.search(text, left, start) or _PROPER_BEFORE.search(text, left, start)):
+            start = m.start()
+        return start, after.end()
+    return None
+
+
 def _automaton():
     import ahocorasick
 
@@ -102,12 +167,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if (m := _SECRET.match(text, end)) and any(c in "0123456789" for c in m[1]):
                 got = m.span(1)
         elif kind == "account":
-            if (m := _ACCOUNT.match(text, end)) and sum(c in "0123456789" for c in m[1]) >= 4:
-                got = m.span(1)
-        elif m := _HOUSE_BEFORE.search(text, max(low, start - 100), start):
-            got = (m.start(), end)
-        elif m := _HOUSE_AFTER.match(text, end):
-            got = (start + (text[start] == " "), m.end())
+            got = _account(text, end)
+        else:
+            got = _address(text, low, start, end)
         if got:
             spans[kind].append(got)
             done[kind] = got[1]
