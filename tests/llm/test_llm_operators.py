@@ -4,6 +4,7 @@ import random
 import re
 import string
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -202,6 +203,36 @@ def test_license_scan(spark):
     assert got == {1: ("MIT", False), 2: ("MIT", False), 3: (None, False), 4: (None, True), 5: (None, True), 6: ("notice:MIT", False)}
 
 
+COMMON = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_license_files_as_they_usually_are(spark):
+    mit, isc, bsd2, bsd3 = (license_scan.LICENSES[x] for x in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"))
+    stars = re.sub(r" [123][.] (?=Redist|Neither)", "\n\n* ", bsd3)
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit, "MIT"),
+        (2, "The MIT License (MIT)\n\nCopyright <year> <holder>\n\n" + mit, "MIT"),
+        (3, "ISC License\n\nCopyright The X Authors\n\n" + isc, "ISC"),
+        (4, "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + stars, "BSD-3-Clause"),
+        (5, "(c) 2019 Someone\n" + stars, "BSD-3-Clause"),
+        (6, "BSD 2-Clause License\n\n" + bsd2, "BSD-2-Clause"),
+        (7, mit + " Except on Sundays.", None),
+        (8, "Some text on permission and the BSD 3-Clause License", None),
+        (9, None, None),
+    ]
+    got = {r.doc_id: r.license_id for r in license_scan.scan_licenses(docs(spark, [r[:2] for r in rows])).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/MPL-2.0").exists(), reason="needs the licence texts of Debian")
+def test_long_licenses_match_by_digest(spark):
+    texts = [Path("/usr/share/common-licenses", name).read_text() for name in COMMON]
+    bare = {"Apache-2.0": "TERMS AND CONDITIONS FOR USE", "GPL-3": "Copyright (C) 2007", "MPL-2.0": "1. Definitions"}
+    rows = [*zip(COMMON.values(), texts, strict=True), *((COMMON[n], (t := texts[list(COMMON).index(n)])[t.index(b) :]) for n, b in bare.items())]
+    got = {r.doc_id: r.license_id for r in license_scan.scan_licenses(docs(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
+
+
 def test_packing_pieces_and_places(spark):
     rng = random.Random(8)
     texts = [None, "", "a", sentence(rng, 5000), "word " * 2047] + [sentence(rng, rng.randint(1, 900)) for _ in range(60)]

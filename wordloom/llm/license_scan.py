@@ -6,6 +6,13 @@ space.  The SHA-256 of the whole form is hash-joined to the digests of known
 licences.  The known table is a parameter; the default has one row per licence
 below, so its broadcast is bounded by this file.
 
+With the default table, a text that has no match is brought to a core form too:
+copyright lines without a year or sign, list markers, and the title of a short
+licence are left out before the rest.  Its digest is looked up among those of
+the whole licences below and of ``license_digests``, which holds long licences
+with and without their title and their appendix.  The digest column stays that
+of the canonical form.  Notices of one line match by the canonical form alone.
+
 Defined cases: a null, empty or all-punctuation text has an empty form and
 matches nothing; repeated rows give repeated results; several known ids with
 one digest give the smallest id.  Only key and text are read.
@@ -18,6 +25,8 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import ascii_lower
 
+from .license_digests import DIGESTS
+
 # Equivalent spellings (canonical form on the right).
 EQUIVALENT = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("noninfringement", "non infringement"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("https", "http"))
 
@@ -40,6 +49,13 @@ LICENSES = {
 # Lines that state an owner or a year; a wrapped line that starts with "copyright notice" is none.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*"
 
+# Lines that name an owner without a year: "Copyright The X Authors", "Copyright <year> <holder>".
+BARE_COPYRIGHT_LINE = r"(?m)^[ \t]*Copyright[ \t]+(?:by[ \t]+|of[ \t]+)?(?!Holder|Owner|Notice|Licen|Law|Act)[A-Z<\[{(][^\n]*"
+LIST_MARKER = r"(^|[\n:;.])\s{0,40}+(?!\([cC]\)[ \t]*[0-9]{4})\(?(?:[0-9]{1,2}|[a-zA-Z]|[ivx]{1,4})[.)]\s"
+TITLE = r"^(?:the )?(?:mit|expat|isc|0bsd|(?:[023] clause |zero clause |new |modified |revised |simplified )?bsd(?: [023] clause| zero clause)?) license(?: mit| expat| isc| 0bsd)? "
+# Words of which every whole licence has one; other texts need no core form.
+LICENSE_WORD = "(?i)licen[sc]e|permission|redistribution"
+
 
 def canonical(text: Column) -> Column:
     form = ascii_lower(F.coalesce(text, F.lit("")))
@@ -50,6 +66,21 @@ def canonical(text: Column) -> Column:
     return F.btrim(form, F.lit(" "))
 
 
+def core(text: Column) -> Column:
+    """The canonical form without title, list markers and bare copyright lines."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), BARE_COPYRIGHT_LINE, ""), LIST_MARKER, "$1 ")
+    return F.regexp_replace(canonical(bare), TITLE, "")
+
+
+def known_cores(spark: SparkSession) -> DataFrame:
+    """Rows (core_digest, core_id) of whole licences."""
+    rows = F.array(*[F.struct(F.lit(name).alias("core_id"), F.lit(text).alias("text")) for name, text in LICENSES.items() if not name.startswith("notice:")])
+    short = spark.range(1).select(F.inline(rows)).select("core_id", F.sha2(core(F.col("text")), 256).alias("core_digest"))
+    long = F.array(*[F.struct(F.lit(name).alias("core_id"), F.lit(digest).alias("core_digest")) for name, digest in DIGESTS])
+    every = short.unionByName(spark.range(1).select(F.inline(long)))
+    return every.groupBy("core_digest").agg(F.min("core_id").alias("core_id"))
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """Rows (license_id, digest) of the default table."""
     rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in LICENSES.items()])
@@ -59,6 +90,11 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, canonical_chars, digest, license_id or null)."""
     one = (known_licenses(docs.sparkSession) if known is None else known).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    form = docs.select(F.col(key), canonical(F.col(text)).alias("form"))
-    forms = form.select(key, F.length("form").cast("long").alias("canonical_chars"), F.when(F.col("form") != "", F.sha2("form", 256)).alias("digest"))
-    return forms.join(F.broadcast(one) if known is None else one, "digest", "left").select(key, "canonical_chars", "digest", "license_id")
+    column = F.col(text)
+    named = [F.when(column.rlike(LICENSE_WORD), F.sha2(core(column), 256)).alias("core_digest")] if known is None else []
+    form = docs.select(F.col(key), canonical(column).alias("form"), *named)
+    forms = form.select(key, F.length("form").cast("long").alias("canonical_chars"), F.when(F.col("form") != "", F.sha2("form", 256)).alias("digest"), *["core_digest" for _ in named])
+    found = forms.join(F.broadcast(one) if known is None else one, "digest", "left")
+    if known is None:
+        found = found.join(F.broadcast(known_cores(docs.sparkSession)), "core_digest", "left").withColumn("license_id", F.coalesce("license_id", "core_id"))
+    return found.select(key, "canonical_chars", "digest", "license_id")
