@@ -307,3 +307,35 @@ def test_review_stream_equals_the_fold(spark, tmp_path):
     for r in fold:
         assert (got[r.key].reviews, got[r.key].interval, got[r.key].repetitions, got[r.key].due_at) == (r.reviews, r.interval, r.repetitions, r.due_at)
         assert got[r.key].ease == pytest.approx(r.ease)
+
+
+def test_scans_of_whole_documents_equal_brute_force(spark, tmp_path):
+    import re
+    import random
+
+    from wordloom.plans import catalog
+
+    rng = random.Random(4)
+    words = ["able", "stable", "ables", "table", "tab", "unstable", "ab", "tables", "Stab", "abl"]
+    rows = [(i, " ".join(rng.choice(words) + rng.choice(["", ",", "\n"]) for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(40, None), (41, "")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    low = {i: (t or "").lower() for i, t in rows}
+    held = {}
+    for i, t in low.items():
+        for w in re.findall("[a-z]+", t):
+            held.setdefault(w, set()).add(i)
+    terms = {w for w, at in held.items() if 4 <= len(w) <= 8 and len(at) >= 8}
+    assert len(terms) > 4
+    longest, starts = set(), set()
+    for i, t in low.items():
+        for k in range(len(t)):
+            fits = [t[k : k + n] for n in range(4, 9) if t[k : k + n] in terms and k + n <= len(t)]
+            if fits:
+                longest.add((i, k, fits[-1], k + len(fits[-1])))
+        for m in re.finditer("[a-z]+", t):
+            if len(m[0]) <= 8 and m[0] not in terms:
+                starts |= {(i, k) for k in range(*m.span())}
+    got = catalog.QUERIES["q_longest_match_documents"](spark, str(tmp_path)).collect()
+    assert len(got) == len(longest) and {(r.doc_id, r.start, r.text, r.stop) for r in got} == longest
+    got = catalog.QUERIES["q_uncertain_starts_documents"](spark, str(tmp_path)).collect()
+    assert len(got) == len(starts) and {(r.doc_id, r.start) for r in got} == starts

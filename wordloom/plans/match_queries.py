@@ -65,6 +65,13 @@ def q_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.longest_matches(grams, derived_lexicon(docs), KEYS).select(F.col("doc_id").alias("item_id"), "start", "text", F.col("end").alias("stop"))
 
 
+def q_longest_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest lexicon term at each start inside the words of every document."""
+    docs = low_docs(spark, sf_dir)
+    grams = matching.ngrams(docs, KEYS, 8, 4, start_class="[a-z]")
+    return matching.longest_matches(grams, derived_lexicon(docs), KEYS).select("doc_id", "start", "text", F.col("end").alias("stop"))
+
+
 def _bounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = low_docs(spark, sf_dir)
     entries = Workspace(spark, "lexicon").write(_entries(docs), "entries")
@@ -216,6 +223,12 @@ def q_uncertain_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("item_id"), "start")
 
 
+def q_uncertain_starts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts worth scanning of the words of every document."""
+    docs = low_docs(spark, sf_dir)
+    return matching.uncertain_starts(structure.words(docs, KEYS), derived_lexicon(docs), KEYS, 8, script="[a-z]").select("doc_id", "start")
+
+
 def q_match_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.operators.quality import diagnostics
 
@@ -238,9 +251,9 @@ def q_candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_lexicon_dedup, q_lexicon_overrides, q_overlap_terms, q_token_match, q_blacklist_anti, q_longest_match, q_boundary_confidence, q_candidate_select, q_context_rules,
+    q_lexicon_dedup, q_lexicon_overrides, q_overlap_terms, q_token_match, q_blacklist_anti, q_longest_match, q_longest_match_documents, q_boundary_confidence, q_candidate_select, q_context_rules,
     q_category_for, q_interval_antijoin, q_asof_sentence, q_overlap_components, q_overlap_resolve, q_match_score, q_round_robin_rank, q_capped_pool, q_density_prefix,
-    q_safe_replacements, q_render_tokens, q_quiz_questions, q_uncertain_starts, q_match_diagnostics, q_sample_windows, q_candidate_ids,
+    q_safe_replacements, q_render_tokens, q_quiz_questions, q_uncertain_starts, q_uncertain_starts_documents, q_match_diagnostics, q_sample_windows, q_candidate_ids,
 )}
 
 _HARD = r"[\s，。！？；：、“”‘’（）《》【】\-—…,.!?;:()\[\]{}\"'']"
