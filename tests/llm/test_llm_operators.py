@@ -195,6 +195,18 @@ def test_line_dedup_equals_brute_force(spark):
     assert sorted((r.doc_id or 0, r.text) for r in none) == [(0, "a shared long line"), (2, "a shared long line"), (3, ""), (3, "")]
 
 
+def test_line_dedup_of_clashing_names_and_long_texts(spark):
+    many = "\n".join(f"line number {k} of many" for k in range(20_000)) + "\n" + "long " * 50_000
+    table = spark.createDataFrame([(1, many, 5, [1], "a"), (2, many, 6, None, None), (2, many, 6, None, None)], "doc_id long, text string, __row int, __gone array<int>, digest string")
+    got = sorted(line_dedup.dedup_lines(table).collect())
+    assert [(r.doc_id, r["__row"], r["__gone"], r.digest, r["__n_lines"], r["__n_dropped"]) for r in got] == [(1, 5, [1], "a", 20001, 0), (2, 6, None, None, 20001, 20001), (2, 6, None, None, 20001, 20001)]
+    assert got[0].text == many and got[1].text == got[2].text == ""
+    with pytest.raises(ValueError, match="name the counts otherwise"):
+        line_dedup.dedup_lines(table.withColumnRenamed("digest", "__N_lines"))
+    other = line_dedup.dedup_lines(table.withColumnRenamed("digest", "__n_lines"), counts=("before", "lost"))
+    assert sorted(r.lost for r in other.collect()) == [0, 20001, 20001]
+
+
 def test_license_scan(spark):
     mit = license_scan.LICENSES["MIT"]
     styled = "The MIT text\nCopyright (c) 2020 Someone\n".split("\n", 1)[1] + mit.lower().replace("software", "Software").replace(" ", "\n  ").replace("sublicense", "sub licence")

@@ -39,8 +39,9 @@ def test_stages_and_run(spark, tmp_path):
     good, lined, kept, masked = seen
     assert set(good) == {0, 1, 2, 3, 4, 8, 10} and all(good[i] == rows[i] for i in good)
     assert lined[3] == rows[3] and lined[4] == rows[4].split("\n")[0]
-    assert lined[2] == "" and lined[0] == rows[0]
-    assert set(kept) == {0, 2, 3, 4, 8, 10}
+    assert set(lined) == {0, 1, 3, 4, 8, 10} and lined[0] == rows[0] and lined[1] == rows[1]
+    assert set(kept) == {0, 3, 4, 8, 10}
+    assert all(kept.values())
     assert masked[8] == pii.mask(kept[8], pii.find(kept[8])) and "<EMAIL>" in masked[8] and all(masked[i] == kept[i] for i in kept if i != 8)
     tokenizer = bpe.WordTable(tokenizer_path("byte_bpe_50k.json")).tokenizer
     want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in masked.items()}
@@ -52,6 +53,25 @@ def test_stages_and_run(spark, tmp_path):
     assert re.match("quality", corpus_pipeline.STAGES[0][0]) and len(corpus_pipeline.STAGES) == 5
 
 
+def test_lines_take_whole_copies_and_leave_the_rest(spark, tmp_path):
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"u{rng.randint(0, 5000)}" for _ in range(n))
+    first, second, shared = say(80), say(70), say(60)
+    rows = [
+        (1, first + "\n" + second),
+        (2, second + "\n" + first),  # all of its lines are in 1
+        (3, first + "\n" + say(20)),  # a rest of 20 words
+        (4, first + "\n" + say(55)),  # a rest of 55 words
+        (5, shared), (6, shared + "\n" + say(90)),
+        (7, "short but alone"), (8, None), (None, first),
+    ]
+    table = spark.createDataFrame([(i, t, 7, 8, 9) for i, t in rows], "doc_id long, text string, __row int, lines_before int, Lines_Dropped int")
+    got = {r.doc_id: r for r in corpus_pipeline.lines(spark, table, "").collect()}
+    assert set(got) == {1, 4, 5, 6, 7, 8, None} and got[8].text == "" and got[None].text == first
+    assert got[1].text == rows[0][1] and got[4].text == rows[3][1].split("\n")[1] and got[6].text == rows[5][1].split("\n")[1]
+    assert all((r["__row"], r.lines_before, r["Lines_Dropped"]) == (7, 8, 9) for r in got.values())
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -9,7 +9,10 @@ are joined once more only to be put together again by position.
 Defined cases: a null or empty text is one empty line and gives ""; repeated
 rows (same doc_id and text) are one document and are treated alike; rows with a
 null doc_id neither count nor lose lines; a document that loses every line
-keeps an empty text.  Other columns pass through untouched.
+keeps an empty text; lines of any length and texts of any number of lines are
+treated alike, and what travels of a line is its digest.  Other columns pass
+through untouched, whatever their names; a clash with the names of the two
+counts raises before any work.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.plans.names import fresh
 from wordloom.plans.staging import Workspace
 
 MIN_CHARS, MIN_DOCS = 10, 2
@@ -46,21 +50,25 @@ def _put_together(lines: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")), F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and n_lines, n_dropped (long) added as ``__n_lines`` and ``__n_dropped``."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("__n_lines", "__n_dropped")) -> DataFrame:
+    """``docs`` with ``text`` cleaned; the numbers of lines before and of lines dropped (long) follow under the names of ``counts``."""
+    if len({c.lower() for c in (*docs.columns, *counts)}) < len(docs.columns) + 2:
+        raise ValueError(f"the input has a column named as one of {counts}; name the counts otherwise")
+    row, gone_at = fresh((*docs.columns, *counts), "__row", "__gone")
     work = Workspace(docs.sparkSession, "lines")
-    named = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("__row"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    body, same = F.col(f"`{text}`"), F.xxhash64(F.col(f"`{text}`"))
+    named = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), same.alias("row"), F.posexplode(_lines(body)).alias("pos", "line"))
     line = stripped(F.col("line"))
-    keyed = named.where(F.length(line) >= min_chars).select("doc_id", "__row", "pos", F.substring(F.unhex(F.sha2(line_key(line), 256)), 1, 16).alias("digest"))
+    keyed = named.where(F.length(line) >= min_chars).select("id", "row", "pos", F.substring(F.unhex(F.sha2(line_key(line), 256)), 1, 16).alias("digest"))
     if min_docs == 2:
-        shared = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        shared = keyed.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     else:
-        shared = keyed.select("digest", "doc_id").distinct().groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+        shared = keyed.select("digest", "id").distinct().groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     shared = work.write(shared.select("digest", "first"), "shared")
-    gone = keyed.join(shared, "digest").where("doc_id <> first").select("doc_id", "__row", "pos").distinct()
-    gone = gone.groupBy("doc_id", "__row").agg(F.collect_list("pos").alias("__gone"))
-    joined = docs.withColumn("__row", F.xxhash64("text")).join(gone, ["doc_id", "__row"], "left")
-    lines, gone_at = _lines(F.col("text")), F.col("__gone")
-    text = F.when(gone_at.isNull(), F.coalesce("text", F.lit(""))).otherwise(_put_together(lines, gone_at))
-    counts = [F.size(lines).cast("long").alias("__n_lines"), F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias("__n_dropped")]
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts)
+    gone = keyed.join(shared, "digest").where("id <> first").select("id", "row", "pos").distinct()
+    gone = gone.groupBy(F.col("id").alias(key), F.col("row").alias(row)).agg(F.collect_list("pos").alias(gone_at))
+    joined = docs.withColumn(row, same).join(gone, [key, row], "left")
+    lines, at = _lines(body), F.col(gone_at)
+    clean = F.when(at.isNull(), F.coalesce(body, F.lit(""))).otherwise(_put_together(lines, at))
+    sizes = [F.size(lines).cast("long").alias(counts[0]), F.coalesce(F.size(at), F.lit(0)).cast("long").alias(counts[1])]
+    return joined.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], *sizes)
