@@ -312,6 +312,9 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 PAGE = '<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><a href="/">Menu</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>First  line.<br><p>Second\n line &copy; &am</p><!-- x --><div class="comments"><p>Nice!</p></div><ul><li>one<li>two</ul></article><aside>Side</aside><form>Name</form><script>var t="</p>";</script><footer>Foot</footer></body></html>'
 
 
+KEEP, OPEN, OUT = html_text.KEEP, html_text.OPEN, html_text.OUT
+
+
 def test_html_main_text():
     assert html_text.blocks(PAGE) == (True, ["A & B", "First line.", "Second line © &am", "one", "two"])
     assert html_text.blocks(None) == (False, []) and html_text.blocks("") == (False, [])
@@ -319,32 +322,87 @@ def test_html_main_text():
     assert html_text.blocks("<article>open <p>end <script>x") == (True, ["open", "end"])
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>one</p><script>if(a<b){x=1}</script><p>two</p></article>", [(KEEP, "one"), (KEEP, "two")]),
+    ('<article><p>one</p><script>var s = "<!-- x"</script><p>two</p></article>', [(KEEP, "one"), (KEEP, "two")]),
+    ("<article><p title=it's>one</p><p>two</article>", [(KEEP, "one"), (KEEP, "two")]),
+    ("<p title='a > b' class=\"c>d\">one<p>two", [(OPEN, "one"), (OPEN, "two")]),
+    ('<p a="x>one<p>two', [(OPEN, "one"), (OPEN, "two")]),
+    ("<!--><p>one<!-- <p>gone --!><p>two<!-- open", [(OPEN, "one"), (OPEN, "two")]),
+    ("a < b <p>c <3 </ p>d", [(OPEN, "a < b"), (OPEN, "c <3 d")]),
+    ("<form><article><p>one</article><p>end</form>", [(KEEP, "one"), (OUT, "end")]),
+    ("<form><h1>Title</h1><p>one</form><form>Search</form>", [(OPEN, "Title"), (OPEN, "one"), (OUT, "Search")]),
+    ("<article><section id='related-work'><p>one</section><h2 id=comments>On comments</h2><div class=share>two</div></article>", [(OPEN, "one"), (KEEP, "On comments"), (OPEN, "two")]),
+    ("<article><p>x <a class='ad'>Buy</a> y</p><aside>z</aside><header>h</header></article>", [(OUT, "Buy"), (KEEP, "x y"), (OUT, "z"), (KEEP, "h")]),
+    ("<body class='nav-open'><div class='modal-page'><article>inside</article></div>", [(KEEP, "inside")]),
+    ("<div class=side>a</div><div class=share>b</div><p>c", [(OUT, "a"), (OUT, "b"), (OPEN, "c")]),
+    ("<article>one</article><div class=comments><article>Nice</article></div>", [(KEEP, "one"), (OUT, "Nice")]),
+])
+def test_roles_of_lines(page, want):
+    assert html_text.page_lines(page)[1] == want
+
+
+def test_odd_and_very_long_pages_take_no_quadratic_time():
+    for page in ("<a " * 200000, '<a x="' * 200000, "<b>" * 100000 + "</i>" * 100000, "<p>" * 50000, "<!--" * 100000, "<script>" * 50000, "<" * 200000, "<div class=ad>" * 30000, "</" * 100000):
+        html_text.page_lines(page)
+    long = "".join(f"<p>line {k} &amp; more" for k in range(50_000))
+    assert html_text.blocks(f"<nav>menu</nav><article>{long}</article>")[1] == [f"line {k} & more" for k in range(50_000)]
+
+
 def test_html_differencing_and_edge_rows(spark):
     page = lambda body: f"<html><body><div>Site menu</div>{body}<div>About us</div></body></html>"
-    rows = [(1, "http://h/a/1", page("<p>first story</p>")), (2, "http://h/a/2", page("<p>second story</p>")), (3, "http://other/x", page("<p>third</p>")), (4, None, None), (5, "http://h/a/3", PAGE), (6, "http://h/a/4", PAGE), (None, "bad url", "<p>x")]
-    table = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_text.extract(table).collect()}
-    assert got[1] == "first story" and got[2] == "second story" and got[3] == "Site menu\nthird\nAbout us" and got[4] == ""
-    assert got[5] == got[6] != "" and got[None] == "x"
+    rows = [(1, "http://h/a/1", page("<p>first story</p>")), (2, "http://h/a/2", page("<p>second story</p>")), (3, "http://other/x", page("<p>third</p>")), (4, None, None), (5, "http://h/a/3", PAGE), (6, "http://h/a/4", PAGE), (6, "http://h/a/4", PAGE), (None, "bad url", "<p>x"), (7, "http://i/", ""), (8, "http://twin/1", page("<p>the same")), (9, "http://twin/2", page("<p>the same"))]
+    table = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "page_id long, url string, html string, mark int, codes string, part int")
+    every = html_text.extract(table).collect()
+    got = {r.page_id: r for r in every}
+    text = {i: r.text for i, r in got.items()}
+    assert len(every) == len(rows)
+    assert text[1] == "first story" and text[2] == "second story" and text[3] == "Site menu\nthird\nAbout us" and text[4] == text[7] == ""
+    assert text[5] == text[6] == "\n".join(html_text.blocks(PAGE)[1]) and text[None] == "x"
+    assert text[8] == text[9] == "Site menu\nthe same\nAbout us"  # copies delete nothing of each other
+    assert (got[1].n_lines, got[1].n_shared, got[1].n_left_out) == (3, 2, 0) and (got[5].n_lines, got[5].n_shared, got[5].n_left_out) == (12, 0, 7)
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+def test_article_comes_back_whole_from_made_pages(spark):
+    """Pages are made from known blocks and known decoys; marked and unmarked, alone and in hosts."""
+    rng = random.Random(21)
+    say = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    raw = ["<script>if(a<b && c>d){document.write('<p>x</p>')}</script>", "<style>p > a{content:'<!--'}</style>", "<!-- <article> -->", "<noscript><p>no</p></noscript>", "<svg><text>t</text></svg>"]
+    aside = ["<nav><ul><li>Home<li>News</ul></nav>", "<aside><p>More</aside>", "<div class='ad banner'>Buy</div>", "<form action=/s>Find <input name=q></form>", "<div id=\"comments\"><p>Nice</p></div>", "<footer>&copy; x</footer>", "<div class=\"cookie-consent\">OK?</div>"]
+    write = [lambda t: f"<p>{t}</p>", lambda t: f"<p title='a>b'>{t}", lambda t: f"<div data-x=it's>{t}</div>", lambda t: f"<ul><li>{t}</ul>", lambda t: f"<h2>{t}</h2>", lambda t: f"<p><b>{t}", lambda t: f"<blockquote>{t.replace(' ', chr(10) + '  ', 1)}</blockquote>", lambda t: f"<p>{t.replace('w1', '&#119;1').replace('w', '&#x77;', 1)}</p>"]
+    rows, want = [], {}
+    for i in range(150):
+        host = rng.choice(["a.example", "b.example"])
+        blocks = [say(rng.randint(3, 30)) for _ in range(rng.randint(1, 12) if i else 3000)]
+        marked = rng.random() < 0.5
+        body = "".join(rng.choice(write)(x) + (rng.choice(raw + aside) if rng.random() < 0.3 else "") for x in blocks)
+        menu = "".join(f"<div>{x} of {host}</div>" for x in ("Start", "Archive", "Contact"))
+        frame = f"<article>{body}</article>" if marked else body
+        page = f"<!DOCTYPE html><html><head><title>T</title>{rng.choice(raw)}</head><body>{rng.choice(aside)}{menu}{frame}{rng.choice(aside)}<div>Imprint of {host}</div></body></html>"
+        rows.append((i, f"https://{host}/{rng.choice(['news', 'blog/2024', ''])}/{i}", page))
+        want[i] = "\n".join(blocks)
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def paired_texts(rows):
-    """Brute force: every page of a host in the order of (path, id), each unmarked one against its nearer neighbour."""
+    """Brute force: every page of a host in the order of (path, id), against its nearer neighbour that is no copy."""
     by = {}
     for i, host, path, page in rows:
-        by.setdefault(host, []).append((path, i, *html_text.all_blocks(page)))
+        by.setdefault(host, []).append((path, i, html_text.page_lines(page)[1]))
     out = {}
     for mine in by.values():
         mine.sort()
-        for k, (path, i, marked, lines) in enumerate(mine):
-            near = [j for j in (k - 1, k + 1) if 0 <= j < len(mine)]
-            own = [x for inside, x in lines if inside or not marked]
-            if near and not marked:
-                pair = max(near, key=lambda j: (html_text._prefix(path, mine[j][0]), -j))
-                gone = html_text.shared_lines(own, [x for _, x in mine[pair][3]])
-                own = [x for n, x in enumerate(own) if n not in gone]
-            out[i] = "\n".join(own)
+        for k, (path, i, lines) in enumerate(mine):
+            near = sorted((j for j in (k - 1, k + 1) if 0 <= j < len(mine)), key=lambda j: (-html_text._prefix(path, mine[j][0]), j))
+            gone = set()
+            for j in near:
+                shared = html_text.shared_lines([x for _, x in lines], [x for _, x in mine[j][2]])
+                if sum(len(lines[n][1]) for n in shared) < 0.8 * sum(len(x) for _, x in lines):
+                    gone = {n for n in shared if lines[n][0] != KEEP}
+                    break
+            out[i] = ("\n".join(x for n, (role, x) in enumerate(lines) if role != OUT and n not in gone), len(gone))
     return out
 
 
@@ -356,28 +414,31 @@ def test_html_partners_are_the_nearest_of_the_host(spark, parts):
         host = rng.choice(["h", "h", "h", "g", f"lone{i}"])
         path = rng.choice([f"/en/{i}/", f"/2024/{rng.randint(1, 9):02}/slug{i}/", f"/flat/{i:04}", "/same"])
         menu = "".join(f"<div>menu {rng.randint(0, 3)} of {host}</div>" for _ in range(3))
-        body = f"<p>story {i}</p>"
+        body = f"<p>story {rng.randint(0, i)} of today and tomorrow</p>"
         rows.append((i, host, path, f"<html><body>{menu}{f'<article>{body}</article>' if rng.random() < 0.2 else body}<div>About {host}</div></body></html>"))
     table = spark.createDataFrame([(i, f"http://{h}{p}", x) for i, h, p, x in rows], "page_id long, url string, html string")
     was = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = [(r.page_id, r.text) for r in html_text.extract(table).collect()]
+        got = [(r.page_id, (r.text, r.n_shared)) for r in html_text.extract(table).collect()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == 420 and dict(got) == paired_texts(rows)
 
 
-def test_common_subsequence_is_longest():
+@pytest.mark.parametrize("matches", [1 << 20, 3])
+def test_common_subsequence_is_longest(monkeypatch, matches):
+    monkeypatch.setattr(html_text, "MATCHES", matches)
     rng = random.Random(1)
-    for _ in range(100):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, j in itertools.product(range(len(a)), range(len(b))):
             best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-        assert len(html_text.shared_lines(a, b)) == best[-1][-1]
+        found, rest = sorted(html_text.shared_lines(a, b)), iter(b)
+        assert len(found) == best[-1][-1] and all(any(a[i] == y for y in rest) for i in found)
 
 
 def test_warc_round_trip(spark, monkeypatch):
