@@ -108,6 +108,34 @@ def test_components_equal_brute_force(spark, monkeypatch, block):
     assert kept == {i for i, (_, c) in brute_components(rows).items() if i == c}
 
 
+@pytest.mark.parametrize("block,sample", [(4096, 64), (3, 2)])
+def test_links_and_their_numbers_equal_brute_force(spark, monkeypatch, block, sample):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", sample)
+    monkeypatch.setattr(jaccard_join, "HOT_IN_SAMPLE", sample)
+    rows = corpus(17)
+    sets = feature_sets(rows)
+    counts = {i: sum(linked(s, t) for j, t in sets.items() if i != j) for i, s in sets.items() if s}
+    table = docs(spark, rows)
+    assert {r.doc_id: r.n_links for r in jaccard_join.link_counts(table).collect()} == counts
+    pairs, members = jaccard_join.jaccard_links(table)
+    of = {r.doc_id: r.set_id for r in members.collect()}
+    want = {(max(a, b), min(a, b)) for a, b in itertools.combinations(sorted(set(of.values())), 2) if linked(sets[a], sets[b])}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and all(sets[i] == sets[j] for i, j in of.items())
+    assert jaccard_join.link_counts(table.limit(0)).count() == 0
+
+
+def test_a_signature_of_all_sets_is_dealt_out(spark, monkeypatch):
+    """All sets share one signature, nothing else; it is hot, and its bucket is cut into blocks."""
+    monkeypatch.setattr(jaccard_join, "signatures", lambda found: np.array([7], np.uint64) if len(found) else np.empty(0, np.uint64))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard_join, "HOT_IN_SAMPLE", 2)
+    rows = corpus(19)[:90]
+    got = jaccard_join.jaccard_components(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_components_of_empty_and_repeated_rows(spark):
     table = docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (None, "a b c d e f")])
     assert jaccard_join.jaccard_components(table.limit(0)).count() == 0

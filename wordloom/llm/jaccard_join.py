@@ -3,7 +3,7 @@
 Plan.  (1) One pass gives each document its set size, a 128-bit set hash and a
 parity sketch.  Equal sets are one class; its smallest document stands for it.
 (2) A second pass signs every set (see ``partenum``); only signatures of two
-or more classes stay.  (3) Every class of a bucket is compared with the
+or more classes stay, and a signature of very many is dealt out by a salt.  (3) Every class of a bucket is compared with the
 bucket's smallest class only; verified links give provisional components.
 (4) In buckets that still hold several components, all pairs across components
 are compared by sketch inside the bucket; buckets over BLOCK rows are cut into
@@ -15,7 +15,9 @@ fell there.  Two sketches differ in at most |A ^ B| slots, so more differing
 slots than (a + b) / 9 rule a pair out for certain; the rest is verified on the
 sets.  Pairs inside a provisional component need no test: they are connected
 already.  Thus no link between components is lost and no group is expanded
-into all its pairs.
+into all its pairs.  Who needs the links themselves, or their number for each
+document, takes ``jaccard_links`` or ``link_counts``, which test all pairs of a
+bucket.
 
 Defined cases: null or word-less texts have size 0 and are linked with nothing;
 a repeated row gives a repeated result row (rows that share a doc_id are taken
@@ -25,7 +27,8 @@ a null component.  Columns beyond key and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ LEAST_BITS = 512
 BLOCK = 4096
 #: Pairs that are compared at once.
 CHUNK = 1 << 18
+#: A signature is hot that HOT_IN_SAMPLE of one in SAMPLE documents hold; its rows are dealt out to SALTS parts.
+SAMPLE, HOT_IN_SAMPLE, SALTS = 64, 64, 128
 
 
 def _bits(size: int) -> int:
@@ -201,15 +206,31 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, set_id, component_id.
+@dataclass
+class _Buckets:
+    """What signing the sets of a table gives; all tables are written."""
 
-    set_id is the smallest doc_id with the same set (itself where the set is
-    empty), component_id the smallest doc_id reachable by links.
+    work: Workspace
+    sizes: DataFrame  # doc_id, n_shingles: one row per row of the input
+    members: DataFrame  # doc_id, rep, n: the class of each document with a set
+    nodes: DataFrame  # rep, n, sketch: one row per class
+    texts: DataFrame  # doc_id, text of the input
+    shared: DataFrame  # sig, rep, b: the classes of each shared signature, and its smallest class
+
+
+def _hot_signatures(signed: Callable[[DataFrame], DataFrame], texts: DataFrame, work: Workspace) -> DataFrame:
+    """Signatures that very many sets hold, estimated on one document in SAMPLE.
+
+    The estimate decides alone how a signature's rows are dealt out, never what
+    becomes of them.  There are fewer than rows / HOT_IN_SAMPLE of them.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "jaccard")
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    part = signed(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0))
+    return work.write(part.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_IN_SAMPLE).select("sig"), "hot")
+
+
+def _sign(docs: DataFrame, key: str, text: str) -> _Buckets:
+    work = Workspace(docs.sparkSession, "jaccard")
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     light = work.write(source.mapInArrow(_fingerprints, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
     named = light.where("n_shingles > 0 and doc_id is not null")
     sets = work.write(named.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a hot class can be split in the join
@@ -218,43 +239,97 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     copies = work.write(members.where("doc_id <> rep").select("doc_id").distinct(), "copies")
     texts = source.where("doc_id is not null")
-    signed = texts.join(broadcast_if_few(copies), "doc_id", "left_anti").mapInArrow(_signed, "sig long, doc_id long")
-    bucket = Window.partitionBy("sig")
-    shared = signed.select("sig", F.col("doc_id").alias("rep"), F.min("doc_id").over(bucket).alias("b"), F.max("doc_id").over(bucket).alias("top")).where("b < top")
-    shared = work.write(shared.select("sig", "rep", "b"), "buckets")
-    star = shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    ends = [nodes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ab"]
-    star = work.write(star.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long"), "star")
-
-    def needed(pairs: DataFrame) -> DataFrame:
-        ids = work.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        return work.write(texts.join(broadcast_if_few(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-
-    links = work.write(_verify(star, needed(star)), "links")
-    first = connected_components(links, work)
-
-    label = first.select(F.col("node").alias("rep"), "root")
-    labelled = shared.select("sig", "rep").join(broadcast_if_few(label), "rep", "left").withColumn("label", F.coalesce("root", "rep")).join(nodes, "rep")
-    seen = [F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("top"), F.count(F.lit(1)).over(bucket).alias("m")]
-    mixed = labelled.select("sig", "rep", "label", "n", "sketch", *seen).where("low < top")
+    signed = lambda part: part.join(broadcast_if_few(copies), "doc_id", "left_anti").mapInArrow(_signed, "sig long, doc_id long")
+    hot = _hot_signatures(signed, texts, work)
+    # A hot signature is dealt out by a salt; a first window finds the smallest class of each salt, ...
+    rows = signed(texts).withColumnRenamed("doc_id", "rep")
+    rows = rows.join(broadcast_if_few(hot).withColumn("hot", F.lit(True)), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).otherwise(-1))
+    bucket = Window.partitionBy("sig", "salt")
+    met = rows.select("sig", "rep", "salt", F.min("rep").over(bucket).alias("b"), F.max("rep").over(bucket).alias("top")).where("salt >= 0 or b < top")
+    met = work.write(met.select("sig", "rep", "salt", "b"), "buckets")
+    # ... and then the smallest of all its salts is found from one row per salt and task.
+    first = work.write(met.where("salt >= 0").groupBy("sig").agg(F.min("b").alias("first"), F.max("rep").alias("top")).where("first < top").select("sig", "first"), "first")
+    spread = met.where("salt >= 0").join(broadcast_if_few(first), "sig").select("sig", "rep", F.col("first").alias("b"))
+    return _Buckets(work, light.select("doc_id", "n_shingles"), members, nodes, texts, met.where("salt < 0").select("sig", "rep", "b").unionByName(spread))
+
+
+def _bucket_pairs(found: _Buckets, label: DataFrame | None) -> DataFrame:
+    """Likely pairs (a, b) of classes that share a signature and differ in their label (rep, root), each once.
+
+    Without labels all classes differ.  Buckets over BLOCK rows are cut into pairs of blocks.
+    """
+    work = found.work
+    rows = found.shared.select("sig", "rep")
+    if label is None:
+        rows = rows.withColumn("label", F.col("rep"))
+    else:
+        rows = rows.join(broadcast_if_few(label), "rep", "left").select("sig", "rep", F.coalesce("root", "rep").alias("label"))
+    # one row per signature and task: no bucket is sorted as a whole to see what it holds
+    kinds = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("top"), F.count(F.lit(1)).alias("m")).where("low < top")
+    kinds = work.write(kinds.select("sig", "m"), "mixed")
+    mixed = rows.join(broadcast_if_few(kinds), "sig").join(found.nodes, "rep").select("sig", "rep", "label", "n", "sketch", "m")
     columns = ["sig", "lo", "hi", "rep", "label", "n", "block", "sketch"]
     none = F.lit(0)
-    usual = mixed.where(F.col("m") <= BLOCK).select("sig", none.alias("lo"), none.alias("hi"), "rep", "label", "n", none.alias("block"), "sketch").sortWithinPartitions("sig")
+    usual = mixed.where(F.col("m") <= BLOCK).select("sig", none.alias("lo"), none.alias("hi"), "rep", "label", "n", none.alias("block"), "sketch").repartition("sig").sortWithinPartitions("sig")
     hot = mixed.where(F.col("m") > BLOCK).withColumn("q", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     hot = hot.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "label", "n", "block", "sketch").select(columns)
     hot = hot.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
     likely = usual.mapInArrow(_buckets, "a long, b long").union(hot.mapInArrow(_buckets, "a long, b long"))
-    rest = work.write(likely.distinct(), "rest")
-    more = work.write(_verify(rest, needed(rest)), "links")
+    return work.write(likely.distinct(), "likely")
+
+
+def _links(found: _Buckets, likely: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar; texts are read for the classes in question alone."""
+    ids = found.work.write(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = found.work.write(found.texts.join(broadcast_if_few(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+    return found.work.write(_verify(likely, texts), "links")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, set_id, component_id.
+
+    set_id is the smallest doc_id with the same set (itself where the set is
+    empty), component_id the smallest doc_id reachable by links.
+    """
+    found = _sign(docs, key, text)
+    work, nodes = found.work, found.nodes
+    star = found.shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    ends = [nodes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ab"]
+    star = work.write(star.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long"), "star")
+    first = connected_components(_links(found, star), work)
+    more = _links(found, _bucket_pairs(found, first.select(F.col("node").alias("rep"), "root")))
     whole = connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), work)
 
     root = whole.select(F.col("node").alias("rep"), F.col("root").alias("component_id"))
-    found = members.select("doc_id", "rep").distinct().join(root, "rep", "left").select("doc_id", "rep", F.coalesce("component_id", "rep").alias("component_id"))
-    out = light.select("doc_id", "n_shingles").join(found, "doc_id", "left")
+    known = found.members.select("doc_id", "rep").distinct().join(root, "rep", "left").select("doc_id", "rep", F.coalesce("component_id", "rep").alias("component_id"))
+    out = found.sizes.join(known, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (a, b, a > b) of classes whose different sets are similar, and the members (doc_id, set_id, n_shingles) of the classes.
+
+    Unlike ``jaccard_components`` this tests every pair of a bucket, also inside
+    a component, so it costs what the number of links costs.
+    """
+    found = _sign(docs, key, text)
+    return _links(found, _bucket_pairs(found, None)), found.members.select("doc_id", F.col("rep").alias("set_id"), F.col("n").alias("n_shingles")).distinct()
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, set_id, n_links) of the documents with a set: n_links other documents have a similar or the same set.
+
+    Counted by class, so copies are not expanded into pairs.
+    """
+    pairs, members = jaccard_links(docs, key, text)
+    sizes = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("m"))
+    ways = pairs.union(pairs.select("b", "a")).toDF("set_id", "other")
+    far = ways.join(sizes.toDF("other", "k"), "other").groupBy("set_id").agg(F.sum("k").alias("far"))
+    counted = sizes.join(far, "set_id", "left").select("set_id", (F.col("m") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return members.join(counted, "set_id").select("doc_id", "set_id", "n_links")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near copies: of each component the row with the smallest doc_id stays."""
     found = jaccard_components(docs)
