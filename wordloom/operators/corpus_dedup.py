@@ -45,51 +45,67 @@ def bottom_k(text: pd.Series) -> pd.Series:
     return text.map(sketch_of)
 
 
-def shared_hashes(sketches: DataFrame, key: str, signature: str = "signature") -> DataFrame:
-    """Rows (a, b, shared, least): pairs a < b that share a hash, how many, and the smaller sketch.
+def candidate_pairs(sketches: DataFrame, key: str, threshold: float = THRESHOLD, signature: str = "signature") -> DataFrame:
+    """Rows (a, b), a < b: every pair of sketches that can reach the threshold.
 
-    An equi-join on the hash.  A hash that many files share is dealt out by a
-    salt on one side and copied to all salts on the other, so no task gets all
-    of its pairs.
+    To share c of its n hashes with a larger sketch, the smaller one must share
+    one of its first n - c + 1, so only these probe the hashes of the larger.
+    A hash that many files hold is dealt out by a salt on one side and copied to
+    all salts on the other, so no task gets all of its pairs.
     """
-    each = sketches.select(F.col(key).alias("id"), F.size(signature).alias("n"), F.explode(signature).alias("h"))
-    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / HOT).cast("int").alias("salts"))
-    rows = each.join(counts, "h")
-    left = rows.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
-    right = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = left.join(right, ["h", "salt"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("na", "nb")).alias("least"))
+    each = sketches.select(F.col(key).alias("id"), F.size(signature).alias("n"), F.col(signature).alias("s"))
+    held = each.select("id", "n", F.explode("s").alias("h"))
+    first = F.col("n") - F.floor(F.col("n") * F.lit(threshold)).cast("int") + 1
+    probe = each.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("s", F.lit(1), F.least(first, F.col("n")))).alias("h"))
+    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / HOT).cast("int").alias("salts"))
+    left = probe.join(counts, "h").select("h", "x", "nx", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = held.join(counts, "h").select("h", "id", "n", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    pairs = left.join(right, ["h", "salt"]).where("nx < n OR (nx = n AND x < id)")
+    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+
+def similar_sketches(sketches: DataFrame, key: str, threshold: float = THRESHOLD, signature: str = "signature") -> DataFrame:
+    """Rows (a, b, similarity), a < b: shared hashes over the smaller sketch, at least the threshold."""
+    side = lambda x: sketches.select(F.col(key).alias(x), F.col(signature).alias(f"s{x}"))
+    both = candidate_pairs(sketches, key, threshold, signature).join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.select("a", "b", ratio(shared, F.least(F.size("sa"), F.size("sb"))).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _nodes(sketches: DataFrame, key: str, signature: str) -> tuple[DataFrame, DataFrame]:
+    """The first file of each sketch (key, signature), and the other files with theirs (id, node); empty sketches go."""
+    full = sketches.where(F.size(signature) > 0)
+    nodes = full.groupBy(signature).agg(F.min(key).alias(key))
+    copies = full.select(F.col(key).alias("id"), signature).join(nodes.withColumnRenamed(key, "node"), signature).where("id <> node").select("id", "node")
+    return nodes, copies
+
+
+def near_links(sketches: DataFrame, key: str, threshold: float = THRESHOLD, signature: str = "signature") -> DataFrame:
+    """Rows (a, b, similarity): pairs between the first files of different sketches, and every other file with the first of its sketch."""
+    nodes, copies = _nodes(sketches, key, signature)
+    return similar_sketches(nodes, key, threshold, signature).unionByName(copies.select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def near_pairs(sketches: DataFrame, key: str, threshold: float = THRESHOLD, signature: str = "signature") -> DataFrame:
-    """Rows (a, b, similarity): shared hashes over the smaller sketch, at least the threshold.
+    """Rows (a, b, similarity), a < b: all pairs of files, copies too.
 
-    Files with equal sketches are one node of the join; their pairs follow by
-    membership.  Empty sketches are in no pair.
+    Files with equal sketches are one node of the join and their pairs follow by
+    membership, so the result grows with the square of the number of copies;
+    ``near_links`` says the same without that.
     """
-    full = sketches.where(F.size(signature) > 0)
-    nodes = full.groupBy(signature).agg(F.min(key).alias("node"))
-    member = full.join(nodes, signature).select(F.col(key).alias("id"), "node")
-    found = shared_hashes(nodes, "node", signature).withColumn("similarity", ratio(F.col("shared"), F.col("least"))).where(F.col("similarity") >= threshold)
+    nodes, copies = _nodes(sketches, key, signature)
+    member = copies.unionByName(nodes.select(F.col(key).alias("id"), F.col(key).alias("node")))
+    found = similar_sketches(nodes, key, threshold, signature)
     across = found.join(member.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("node").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "similarity")
     same = member.join(member.select("node", F.col("id").alias("y")), "node").where("id < y").select(F.col("id").alias("x"), "y", F.lit(1.0).alias("similarity"))
-    every = across.unionByName(same)
-    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-
-
-def near_links(sketches: DataFrame, key: str, threshold: float = THRESHOLD, signature: str = "signature") -> DataFrame:
-    """Links enough for the groups: pairs between different sketches, and each file to the first of its sketch."""
-    full = sketches.where(F.size(signature) > 0)
-    nodes = full.groupBy(signature).agg(F.min(key).alias("node"))
-    copies = full.join(nodes, signature).where(F.col(key) != F.col("node")).select(F.col(key).alias("a"), F.col("node").alias("b"))
-    found = shared_hashes(nodes, "node", signature).where(ratio(F.col("shared"), F.col("least")) >= threshold).select("a", "b")
-    return copies.unionByName(found)
+    return across.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def groups(files: DataFrame, key: str, links: DataFrame, seed: str | None = None, prefix: str = "book-") -> DataFrame:
     """Rows (key, root, group_id, split): components, named by their members, and their split.
 
-    The name depends on membership alone; a file without links is a group.
+    The name depends on membership alone, as the digest of all sorted members; a
+    group's ids meet in one task for that.  A file without links is a group.
     """
     work = Workspace(files.sparkSession, "groups")
     roots = connected_components(links, work)

@@ -45,13 +45,23 @@ def _positions(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def outside(matches: DataFrame, ranges: DataFrame, keys: list[str], allow_exact: bool = False) -> DataFrame:
-    """Matches that overlap no range; with ``allow_exact``, a range of just the match's span is no hindrance."""
-    at = _positions(matches, *keys, "start", "end").distinct()
-    held = _positions(ranges.select(*keys, "start", "end", F.col("start").alias("rs"), F.col("end").alias("re")), *keys, "rs", "re").distinct()
-    hit = at.join(held, [*keys, "pos"])
+    """Matches that overlap no range; with ``allow_exact``, a range of just the match's span is no hindrance.
+
+    A range overlaps a match if it starts before the match ends and ends after
+    the match starts.  So one window in the order of these places tells it: the
+    largest end of all ranges that start before a match ends.
+    """
     if allow_exact:
-        hit = hit.where("NOT (start = rs AND end = re)")
-    return matches.join(hit.select(*keys, "start", "end").distinct(), [*keys, "start", "end"], "left_anti")
+        at = _positions(matches, *keys, "start", "end").distinct()
+        held = _positions(ranges.select(*keys, "start", "end", F.col("start").alias("rs"), F.col("end").alias("re")), *keys, "rs", "re").distinct()
+        hit = at.join(held, [*keys, "pos"]).where("NOT (start = rs AND end = re)")
+        return matches.join(hit.select(*keys, "start", "end").distinct(), [*keys, "start", "end"], "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in matches.columns])
+    asked = matches.select(*keys, (F.col("end") - 1).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("int").alias("__end"), row.alias("__row"))
+    held = ranges.where("end > start").select(*keys, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.col("end").cast("int").alias("__end"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
+    reach = F.max("__end").over(Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    free = asked.unionByName(held).withColumn("__end", reach).where("__kind = 1 AND (__end IS NULL OR __end <= __row.start OR __row.end <= __row.start)")
+    return free.select("__row.*")
 
 
 def not_contained(matches: DataFrame, segments: DataFrame, terms: DataFrame, keys: list[str], most: int = 8, term: str = "zh") -> DataFrame:

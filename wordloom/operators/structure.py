@@ -8,6 +8,7 @@ UDF gives the spans; it reads a text once and cuts at known places.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,36 @@ CHUNK = 4500
 SPAN = StructType([StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("left", StringType()), StructField("right", StringType())])
 
 
+class Codes:
+    """The code points of a batch of texts, from which any spans are cut at once."""
+
+    def __init__(self, texts: list[str | None]):
+        self.codes = np.frombuffer("".join(x or "" for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter((len(x or "") for x in texts), np.int64, len(texts))
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+
+    def cut(self, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Strings of the spans, given as places in the joined texts."""
+        sizes = ends - starts
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        chars = self.codes[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])]
+        widths = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+        offsets = np.concatenate(([0], np.cumsum(widths)))[bounds]
+        data = chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
+        return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+
+
 def _lists(rows: list[list[tuple[int, int]]], texts: list[str | None], reach: int) -> pa.Array:
     """One list of spans per text, with up to ``reach`` characters on either side."""
-    sizes = np.cumsum([0, *map(len, rows)])
-    flat = [(texts[i][a:b], a, b, texts[i][max(0, a - reach) : a] if reach else "", texts[i][b : b + reach] if reach else "") for i, row in enumerate(rows) for a, b in row]
-    columns = list(zip(*flat, strict=True)) or [[]] * 5
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-    structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=SPAN.names)
-    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), structs)
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    flat = np.fromiter(chain.from_iterable(chain.from_iterable(rows)), np.int64, 2 * int(sizes.sum())).reshape(-1, 2)
+    held, own = Codes(texts), np.repeat(np.arange(len(rows)), sizes)
+    low, high = held.starts[own], held.ends[own]
+    starts, ends = flat[:, 0] + low, flat[:, 1] + low
+    sides = [held.cut(np.maximum(low, starts - reach), starts), held.cut(ends, np.minimum(high, ends + reach))]
+    columns = [held.cut(starts, ends), pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32()), *sides]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.StructArray.from_arrays(columns, names=SPAN.names))
 
 
 def match_spans(pattern: str, reach: int = 0):
@@ -99,6 +122,24 @@ def chunks(docs: DataFrame, keys: list[str], text: str = "text", size: int = CHU
     return cut.select(*keys, "idx", F.format_string("片段 %d", F.col("idx") + 1).alias("title"), trim_all(substr(F.col(text), F.col("idx") * size, F.lit(size))).alias("text"))
 
 
+def _parts(pattern: str):
+    """A column function: the text before the first match, then each match with the text up to the next; empty without one."""
+    compiled = re.compile(pattern, re.DOTALL)
+    kind = StructType([StructField("title", StringType()), StructField("body", StringType())])
+
+    @arrow_udf(ArrayType(kind))
+    def cut(text: pa.Array) -> pa.Array:
+        rows = []
+        for body in text.to_pylist():
+            at = [m.span() for m in compiled.finditer(body or "")]
+            stops = [a for a, _ in at[1:]] + [len(body or "")]
+            first = [{"title": None, "body": body[: at[0][0]]}] if at else []
+            rows.append(first + [{"title": body[a:b], "body": body[b:stop]} for (a, b), stop in zip(at, stops, strict=False)])
+        return pa.array(rows, pa.list_(pa.struct([("title", pa.string()), ("body", pa.string())])))
+
+    return cut
+
+
 def chapters(docs: DataFrame, keys: list[str], text: str = "text", heading: str = CJK_HEADING, title_chars: int = 80) -> DataFrame:
     """Rows (keys, idx, title, text).
 
@@ -106,15 +147,14 @@ def chapters(docs: DataFrame, keys: list[str], text: str = "text", heading: str
     it.  Text before the first heading is put in front of the first chapter, so
     indexes don't shift.  Texts without a heading are cut into chunks.
     """
-    mark = "\u0001"
-    found = F.regexp_replace(F.col(text), f"(^|\\n)((?:{heading})[^\\n]{{0,{title_chars}}})", f"$1{mark}$2{mark}")
-    held = docs.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text"), F.split(found, mark).alias("p"))
-    headed = held.where(F.size("p") > 1).select(*keys, "p", F.explode(F.sequence(F.lit(0), F.floor((F.size("p") - 3) / 2).cast("int"))).alias("idx"))
-    body = trim_all(F.get("p", F.col("idx") * 2 + 2))
-    preface = trim_all(F.get("p", F.lit(0)))
-    whole = F.when((F.col("idx") == 0) & (preface != ""), trim_all(F.concat(preface, F.lit("\n\n"), body))).otherwise(body)
-    with_heading = headed.select(*keys, "idx", trim_all(F.get("p", F.col("idx") * 2 + 1)).alias("title"), whole.alias("text"))
-    plain = chunks(held.where(F.size("p") == 1).select(*keys, F.col("__text").alias("text")), keys)
+    parts = _parts(f"(?:(?<=\\n)|\\A)(?:{heading})[^\\n]{{0,{title_chars}}}")(F.col(text))
+    held = docs.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text"), parts.alias("p"))
+    preface = trim_all(F.get("p", F.lit(0))["body"])
+    each = held.where(F.size("p") > 0).select(*keys, preface.alias("preface"), F.posexplode(F.slice("p", 2, F.size("p"))).alias("idx", "c"))
+    body = trim_all(F.col("c.body"))
+    whole = F.when((F.col("idx") == 0) & (F.col("preface") != ""), trim_all(F.concat("preface", F.lit("\n\n"), body))).otherwise(body)
+    with_heading = each.select(*keys, "idx", trim_all(F.col("c.title")).alias("title"), whole.alias("text"))
+    plain = chunks(held.where(F.size("p") == 0).select(*keys, F.col("__text").alias("text")), keys)
     return with_heading.unionByName(plain)
 
 

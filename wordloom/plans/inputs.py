@@ -20,6 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes per core up to which an input counts as small.
+SMALL = 8 << 20
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are dealt out to all cores if it is small.
+
+    A small file is often one row group, which is one task; a large table has
+    row groups enough and is read as it is, without a shuffle.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    cores, rows = spark.sparkContext.defaultParallelism, table(spark, sf_dir, name)
+    return rows.repartition(cores) if size <= cores * SMALL else rows
+
+
 def millis(name: str) -> Column:
     """Epoch milliseconds of a timestamp column with or without a zone (then UTC)."""
     return F.unix_millis(F.to_utc_timestamp(F.col(name).cast("timestamp"), F.lit("UTC")))
@@ -27,7 +43,7 @@ def millis(name: str) -> Column:
 
 def low_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the text with A-Z lower-cased."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return spread(spark, sf_dir, "documents").select("doc_id", "lang", "source", ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 SQL_LOW = f"low AS (SELECT doc_id, lang, source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.context import candidate_id
-from wordloom.functions.text import ascii_lower
+from wordloom.functions.text import REACH, ascii_lower
 from wordloom.operators import lexicon, matching, resolve, selection, structure
 from wordloom.plans.staging import Workspace
 
@@ -46,8 +46,9 @@ def q_overlap_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = low_docs(spark, sf_dir)
-    found = matching.match_segments(structure.words(docs, KEYS), derived_lexicon(docs))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("terms"), F.sum("start").alias("starts"))
+    found = matching.match_segments(structure.words(docs, KEYS, reach=0), derived_lexicon(docs))
+    per_term = found.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))
+    return per_term.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("terms"), F.sum("starts").alias("starts"))
 
 
 def q_blacklist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +73,10 @@ def q_longest_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.longest_matches(grams, derived_lexicon(docs), KEYS).select("doc_id", "start", "text", F.col("end").alias("stop"))
 
 
-def _bounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _bounded(spark: SparkSession, sf_dir: str, reach: int = REACH) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = low_docs(spark, sf_dir)
     entries = Workspace(spark, "lexicon").write(_entries(docs), "entries")
-    found = matching.match_segments(structure.words(docs, KEYS), entries)
+    found = matching.match_segments(structure.words(docs, KEYS, reach=reach), entries)
     return docs, entries, found
 
 
@@ -123,13 +124,13 @@ def _ranges(docs: DataFrame) -> DataFrame:
 
 
 def q_interval_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, found = _bounded(spark, sf_dir)
+    docs, _, found = _bounded(spark, sf_dir, reach=0)
     kept = matching.outside(found, _ranges(docs), KEYS)
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))
 
 
 def q_asof_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, found = _bounded(spark, sf_dir)
+    docs, _, found = _bounded(spark, sf_dir, reach=0)
     inside = matching.containing(found, structure.sentences(docs, KEYS, ends=".!?"), KEYS)
     return inside.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sentence").alias("sentences"), F.sum(F.length("sentence")).alias("letters"))
 
@@ -162,13 +163,14 @@ def _safe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Safe matches with their sentences: the reader's pipeline up to the gate."""
     docs, entries, found = _bounded(spark, sf_dir)
     open_ = matching.outside(found, _ranges(docs), KEYS)
-    sentences = structure.sentences(docs, KEYS, ends=".!?")
-    placed = matching.containing(open_, sentences, KEYS)
-    chosen = matching.select_sense(matching.with_boundaries(placed), entries)
+    chosen = matching.select_sense(matching.with_boundaries(open_), entries).drop("window")
     worth = resolve.score(F.col("confidence"), F.col("source"), F.col("boundary_confidence"), F.length("text"))
-    best = resolve.resolve(resolve.merge_sources(chosen, KEYS).withColumn("worth", worth), KEYS)
+    best = resolve.resolve(chosen.withColumn("worth", worth), KEYS)
     approved = entries.where("ord = 1").select("candidate_id")
-    return docs, Workspace(spark, "safe").write(selection.safe(best.withColumn("context_evidence", F.lit(False)), approved).drop("window"), "safe")
+    good = selection.safe(best.withColumn("context_evidence", F.lit(False)), approved)
+    # sentences are looked up last, for what is shown alone: nothing before depends on them
+    placed = matching.containing(good, structure.sentences(docs, KEYS, ends=".!?"), KEYS)
+    return docs, Workspace(spark, "safe").write(placed, "safe")
 
 
 def _offered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -188,8 +190,8 @@ def q_capped_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shown(spark: SparkSession, sf_dir: str, density: str = "medium") -> tuple[DataFrame, DataFrame]:
     docs, offered = _offered(spark, sf_dir)
-    pool = selection.capped_pool(offered, KEYS)
-    return docs, selection.density_prefix(pool, KEYS, selection.density_value(F.lit(density)))
+    shown = selection.density_prefix(selection.capped_pool(offered, KEYS), KEYS, selection.density_value(F.lit(density)))
+    return docs, Workspace(spark, "shown").write(shown, "shown")
 
 
 def q_density_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,6 +264,37 @@ _EDGE = f"""e AS (SELECT m.*, low.text AS body, CASE WHEN m.start = 0 THEN '' EL
 b AS (SELECT e.*, 2 - (CASE WHEN lc = '' OR regexp_matches(lc, '{_HARD}') THEN 1 ELSE 0 END) - (CASE WHEN rc = '' OR regexp_matches(rc, '{_HARD}') THEN 1 ELSE 0 END) AS bc FROM e)"""
 _SENSE = """s AS (SELECT b.*, length(text) % 2 = 0 AS two, length(text) % 2 = 0 AND substr(body, b."end" + 1, 4) = ' the' AS ctx FROM b),
 c AS (SELECT s.*, CASE WHEN ctx THEN 'the ' || text ELSE reverse(text) END AS en, CASE WHEN ctx THEN 'context' ELSE 'priority' END AS reason FROM s)"""
+_RANGES = """rl AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+ [a-z]+,|[a-z]+|[^a-z]') AS l FROM low), rp AS (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM rl),
+ro AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM rp), rg AS (SELECT doc_id, e - length(p) AS s, e FROM ro WHERE contains(p, ' ') AND length(p) > 1)"""
+_SENTENCES = r"""sl AS (SELECT doc_id, regexp_extract_all(text, '(?s)[^.!?]*[.!?]+|[^.!?]+') AS l FROM low), sp AS (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM sl),
+so AS (SELECT doc_id, regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '') AS sentence, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) - length(p) AS s FROM sp)""".replace("\\\\", "\\")
+_SCORE = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(concat(text, '-', en, '-', start), ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295)"
+_OFFERED = rf"""{_BASE}, {_EDGE}, {_RANGES}, {_SENTENCES},
+good AS (SELECT doc_id, b.text, reverse(b.text) AS en, part_of_speech, start, b."end", bc, {_SCORE.replace('en,', 'reverse(b.text),').replace('concat(text', 'concat(b.text')} AS score FROM b JOIN lex ON b.text = zh AND ord = 1
+  WHERE bc <= 1 AND NOT (length(b.text) % 2 = 0 AND substr(body, b."end" + 1, 4) = ' the')
+    AND NOT EXISTS (SELECT 1 FROM rg WHERE rg.doc_id = b.doc_id AND b.start < rg.e AND b."end" > rg.s)),
+pl AS (SELECT doc_id, regexp_extract_all(text, '
+
++|[^
+]+(?:
+[^
+]+)*|
+') AS l FROM low), pp AS (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM pl),
+po AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM pp),
+pn AS (SELECT doc_id, e - length(p) AS s, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS paragraph FROM po WHERE regexp_matches(p, '\S')),
+located AS (SELECT g.*, coalesce(sentence, '') AS sentence, paragraph FROM good g LEFT JOIN so ON so.doc_id = g.doc_id AND g.start >= so.s AND g."end" <= so.e
+  LEFT JOIN pn ON pn.doc_id = g.doc_id AND g.start >= pn.s AND g."end" <= pn.e),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, paragraph ORDER BY bc, -length(text), score, start) AS r FROM located),
+offered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph IS NULL, r, paragraph, start) AS turn FROM ranked)"""
+_POOL = f"""{_OFFERED},
+ids AS (SELECT doc_id, turn, dense_rank() OVER (PARTITION BY doc_id ORDER BY text)::INTEGER AS t, dense_rank() OVER (PARTITION BY doc_id ORDER BY CASE WHEN sentence = '' THEN 'range-' || start ELSE sentence END)::INTEGER AS s FROM offered),
+runs AS (SELECT doc_id, list({{'kept': []::STRUCT(t INTEGER, s INTEGER, k INTEGER)[], 't': t, 's': s, 'k': turn::INTEGER}} ORDER BY turn) AS l FROM ids GROUP BY doc_id),
+folds AS (SELECT doc_id, list_reduce(list_prepend({{'kept': []::STRUCT(t INTEGER, s INTEGER, k INTEGER)[], 't': 0, 's': 0, 'k': 0}}, l), lambda a, x: {{'kept': CASE WHEN len(list_filter(a.kept, lambda y: y.t = x.t)) < 2 AND len(list_filter(a.kept, lambda y: y.s = x.s)) < 2
+  THEN list_append(a.kept, {{'t': x.t, 's': x.s, 'k': x.k}}) ELSE a.kept END, 't': x.t, 's': x.s, 'k': x.k}}).kept AS kept FROM runs),
+taken AS (SELECT doc_id, kept[i].k AS turn, i AS pool_rank, len(kept) AS n FROM (SELECT doc_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM folds)),
+pool AS (SELECT o.*, pool_rank, n FROM offered o JOIN taken USING (doc_id, turn))"""
+_SHOWN = f"{_POOL}, shown AS (SELECT * FROM pool WHERE pool_rank <= greatest(1, floor(n * (2.0::DOUBLE / 3) + 0.5::DOUBLE)))"
+_BLANK = "CASE WHEN instr({0}, {1}) > 0 THEN substr({0}, 1, instr({0}, {1}) - 1) || '____' || substr({0}, instr({0}, {1}) + length({1})) ELSE {0} END"
 
 ORACLES = {
     "q_lexicon_dedup": """
@@ -281,6 +314,24 @@ WITH {SQL_LOW}, {SQL_LEX}, t AS (SELECT DISTINCT zh FROM lex),
 i AS (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
 g AS (SELECT item_id, pos, n, substr(text, pos + 1, n) AS g FROM (SELECT item_id, text, unnest(range(0, length(text))) AS pos FROM i), (SELECT unnest(range(4, 9)) AS n) WHERE pos + n <= length(text))
 SELECT item_id, pos::INTEGER AS start, max_by(g, n) AS text, (pos + max(n))::INTEGER AS stop FROM g WHERE g IN (SELECT zh FROM t) GROUP BY item_id, pos
+""",
+    "q_longest_match_documents": f"""
+WITH {SQL_LOW}, {SQL_SEG}, {SQL_LEX}, t AS (SELECT DISTINCT zh FROM lex),
+g AS (SELECT doc_id, start + pos AS start, n, substr(text, pos + 1, n) AS g FROM (SELECT doc_id, text, start, unnest(range(0, length(text))) AS pos FROM seg WHERE length(text) >= 4), (SELECT unnest(range(4, 9)) AS n) WHERE pos + n <= length(text))
+SELECT doc_id, start::INTEGER AS start, max_by(g, n) AS text, (start + max(n))::INTEGER AS stop FROM g WHERE g IN (SELECT zh FROM t) GROUP BY doc_id, start
+""",
+    "q_uncertain_starts_documents": f"WITH {SQL_LOW}, {SQL_SEG}, {SQL_LEX}, t AS (SELECT DISTINCT zh FROM lex) SELECT DISTINCT doc_id, (start + d)::INTEGER AS start FROM (SELECT *, unnest(range(0, length(text))) AS d FROM seg WHERE length(text) <= 8 AND text NOT IN (SELECT zh FROM t))",
+    "q_round_robin_rank": f"{_OFFERED} SELECT doc_id, text, start, paragraph::INTEGER AS paragraph, turn::INTEGER AS turn FROM offered",
+    "q_capped_pool": f"{_POOL} SELECT doc_id, text, start, pool_rank::INTEGER AS pool_rank FROM pool",
+    "q_density_prefix": f"{_POOL}, d AS (SELECT 'low' AS density, 1.0::DOUBLE / 3 AS v UNION ALL SELECT 'medium', 2.0::DOUBLE / 3 UNION ALL SELECT 'high', 1.0::DOUBLE) SELECT doc_id, count(*)::BIGINT AS n, density FROM pool, d WHERE pool_rank <= greatest(1, floor(pool.n * v + 0.5::DOUBLE)) GROUP BY doc_id, density",
+    "q_safe_replacements": f'{_SHOWN} SELECT doc_id, text, en, part_of_speech, start, "end" AS stop, sentence, pool_rank::INTEGER AS pool_rank FROM shown',
+    "q_render_tokens": f"""{_SHOWN}, w AS (SELECT doc_id, start, "end" AS e, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS f FROM shown),
+a AS (SELECT doc_id, count(*) AS replaced, count(*) FILTER (start > f) AS gaps, max(e) AS last FROM w GROUP BY doc_id)
+SELECT low.doc_id, (coalesce(replaced, 0) + coalesce(gaps, 0) + CASE WHEN length(text) > coalesce(last, 0) THEN 1 ELSE 0 END)::BIGINT AS n, coalesce(replaced, 0)::BIGINT AS replaced, length(text)::BIGINT AS covered FROM low LEFT JOIN a USING (doc_id) WHERE length(text) > 0
+""",
+    "q_quiz_questions": f"""{_SHOWN}, one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY pool_rank) AS k FROM shown WHERE sentence <> ''),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pool_rank) - 1 AS number, {_BLANK.format('sentence', 'text')} AS half FROM one WHERE k = 1)
+SELECT doc_id, number::INTEGER AS number, start, {_BLANK.format('half', 'en')} AS prompt, en AS answer, text AS original, sentence FROM q WHERE number < 5
 """,
     "q_boundary_confidence": f"{_BASE}, {_EDGE} SELECT doc_id, bc::INTEGER AS boundary_confidence, count(*)::BIGINT AS n FROM b GROUP BY 1, 2",
     "q_candidate_select": f"{_BASE}, {_EDGE}, {_SENSE} SELECT doc_id, reason, 'high' AS confidence, count(*)::BIGINT AS n, sum(length(en))::BIGINT AS letters FROM c GROUP BY 1, 2",

@@ -10,7 +10,7 @@ from wordloom.functions.numbers import wilson95
 from wordloom.operators import corpus_dedup, quality, sampling
 from wordloom.plans.staging import Workspace
 
-from .inputs import table
+from .inputs import spread, table
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("id"), F.when(F.col("n_chars") % 3 != 0, "replace").otherwise("keepChinese").alias("decision"),
         F.concat(F.lit("w"), (F.when(F.col("n_chars") % 7 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")) % 97).cast("string")).alias("candidate_id"),
@@ -54,12 +54,12 @@ def q_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_genre_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    genres = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("genres"))
+    genres = spread(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("genres"))
     return _rounded(quality.by_genre(_outcomes(spark, sf_dir), genres, "id")).select("genre", "total", "actual_replacements", "correct_replacements", "replacement_precision", "replacement_coverage")
 
 
 def q_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     return quality.leaks(docs.select("source", split_name(F.col("doc_id").cast("string"), 2).alias("split")), "source")
 
 
@@ -90,7 +90,7 @@ def q_missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_merge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _labels(spark, sf_dir).withColumn("annotation_status", F.lit("unreviewed"))
-    labels = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") % 2 == 0, "replace").otherwise("keepChinese").alias("decision"), F.lit("w1").alias("candidate_id"), F.lit("noun").alias("part_of_speech"), F.lit(1).alias("ord"))
+    labels = spread(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") % 2 == 0, "replace").otherwise("keepChinese").alias("decision"), F.lit("w1").alias("candidate_id"), F.lit("noun").alias("part_of_speech"), F.lit(1).alias("ord"))
     return quality.merge_labels(samples, labels).select("id", "annotation_status", "expected_decision", "expected_candidate_id")
 
 
@@ -120,12 +120,12 @@ def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_group_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("fp"))
+    docs = spread(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("fp"))
     return docs.groupBy("source").agg(set_fingerprint(F.collect_list("fp")).alias("fingerprint"))
 
 
 def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     return docs.select("doc_id", corpus_dedup.bottom_k(corpus_dedup.letters_only(F.col("text"))).alias("signature"))
 
 
@@ -134,8 +134,9 @@ def q_bottomk_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs between the first files of different sketches, and each other file with the first of its sketch."""
     sketches = Workspace(spark, "sketches").write(_sketches(spark, sf_dir), "sketches")
-    return corpus_dedup.near_pairs(sketches, "doc_id").withColumn("similarity", F.round("similarity", 9))
+    return corpus_dedup.near_links(sketches, "doc_id").withColumn("similarity", F.round("similarity", 9))
 
 
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +169,7 @@ def q_annotation_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_book_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     path = F.concat(F.lit("/books/"), "source", F.lit(" (new)_"), (F.col("doc_id") % 3).cast("string"), F.lit(".txt"))
     return docs.select("doc_id", sampling.book_group(path).alias("group_id"))
 
@@ -202,6 +203,26 @@ def _ci(s: str, n: str, side: str) -> str:
 
 _CI = ", ".join(f"{_ci(a, b, side)} AS {n}_{side}" for n, (a, b) in _PAIRS.items() for side in ("lower", "upper"))
 _CAND = """WITH c AS (SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS start, (l_partkey % 8)::INTEGER + 1 AS c, ['multiple-meaning', 'multiple-pos', 'overlap', 'floating-boundary', 'person-name', 'book-title', 'fixed-phrase', 'single-sense'][(l_partkey % 8)::INTEGER + 1] AS category FROM lineitem)"""
+def _power(base: int, exponent: str) -> str:
+    """A power modulo 2^32 from the bits of an exponent below 2^26."""
+    out = "1::UBIGINT"
+    for bit in range(26):
+        out = f"(({out} * CASE WHEN {exponent} & {1 << bit} > 0 THEN {pow(base, 1 << bit, 1 << 32)} ELSE 1 END::UBIGINT) & 4294967295::UBIGINT)"
+    return out
+
+
+# Texts of Latin-1 letters are their own NFKC form as far as A-Z, a-z and 0-9 go, but for ª and º.
+# A window's sum is a difference of two running sums of c / B^i, times a power of B; B is odd, so it has an inverse.
+_SKETCH = f"""WITH RECURSIVE t AS (SELECT doc_id, string_split(regexp_replace(translate(text, 'ªº', 'ao'), '[^A-Za-z0-9]', '', 'g'), '') AS c FROM documents),
+u AS (SELECT doc_id, unicode(x)::UBIGINT AS x, i FROM (SELECT doc_id, unnest(c) AS x, unnest(range(1, len(c) + 1)) AS i FROM t WHERE len(c) >= 20)),
+v AS (SELECT doc_id, i, (sum((x * {_power(pow(corpus_dedup.BASE, -1, 1 << 32), 'i')}) & 4294967295::UBIGINT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) % 4294967296)::UBIGINT AS w FROM u),
+h AS (SELECT DISTINCT doc_id, ((w * {_power(corpus_dedup.BASE, 'i')}) & 4294967295::UBIGINT)::BIGINT AS h FROM v WHERE i >= 20),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS r FROM h),
+k AS (SELECT doc_id, list(h ORDER BY h) AS s FROM o WHERE r <= 256 GROUP BY doc_id)"""
+_LINKS = f"""{_SKETCH}, nodes AS (SELECT s, min(doc_id) AS node FROM k GROUP BY s),
+e AS (SELECT node, len(s) AS n, unnest(s) AS h FROM nodes),
+m AS (SELECT x.node AS a, y.node AS b, count(*)::DOUBLE / min(least(x.n, y.n)) AS similarity FROM e x JOIN e y ON x.h = y.h AND x.node < y.node GROUP BY 1, 2),
+links AS (SELECT * FROM m WHERE similarity >= 0.9 UNION ALL SELECT node, doc_id, 1.0::DOUBLE FROM k JOIN nodes USING (s) WHERE node <> doc_id)"""
 
 ORACLES = {
     "q_eval_report": f"{_OUT}, t AS (SELECT {_CNT} FROM o) SELECT *, {_RATIOS}, {_CI} FROM t",
@@ -235,5 +256,23 @@ SELECT count(*) FILTER (NOT blocked)::BIGINT AS effective, coalesce(sum(n - 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY own, start) AS r FROM h),
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN r <= 2 THEN 0 ELSE 1 END, CASE WHEN r <= 2 THEN c ELSE 0 END, CASE WHEN r <= 2 THEN r ELSE 0 END, a, start) - 1 AS ordinal FROM r)
 SELECT doc_id, category, start, ordinal::INTEGER AS ordinal FROM s WHERE ordinal < 20""",
+    "q_bottomk_sketch": f"{_SKETCH} SELECT d.doc_id, coalesce(n, 0)::INTEGER AS n, md5(coalesce(digest, '')) AS digest FROM documents d LEFT JOIN (SELECT doc_id, len(s) AS n, array_to_string(s, ',') AS digest FROM k) USING (doc_id)",
+    "q_near_dup_pairs": f"{_LINKS} SELECT a, b, round(similarity, 9) AS similarity FROM links",
+    "q_components": f"""{_LINKS}, ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, ways.y FROM r JOIN ways ON r.y = ways.x),
+c AS (SELECT x AS doc_id, min(y) AS root FROM r GROUP BY 1),
+g AS (SELECT root, 'book-' || substr(sha256(string_agg(doc_id::VARCHAR, ':' ORDER BY doc_id::VARCHAR)), 1, 16) AS group_id FROM c GROUP BY 1),
+s AS (SELECT *, ('0x' || substr(sha256('v2:' || group_id), 1, 8))::BIGINT % 10 AS h FROM g)
+SELECT doc_id, c.root, group_id, CASE WHEN h < 6 THEN 'development' WHEN h < 8 THEN 'validation' ELSE 'blind' END AS split FROM c JOIN s ON c.root = s.root
+""",
+    "q_stratified_sample": f"""{_CAND}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY start) - 1 AS r, count(*) OVER (PARTITION BY doc_id, category) AS n FROM c),
+p AS (SELECT *, CASE WHEN r = 0 THEN 0 WHEN n > 1 AND r = n // 2 THEN 1 END AS pick FROM n),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, start ORDER BY pick IS NULL, CASE WHEN pick IS NULL THEN 0 ELSE c END, pick, c) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pick IS NULL, CASE WHEN pick IS NULL THEN 0 ELSE c END, pick, start, c) AS k FROM f)
+SELECT doc_id, category, start FROM o WHERE k <= 20""",
+    "q_annotation_pack": f"""{_CAND}, n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY start, doc_id) - 1 AS r, count(*) OVER (PARTITION BY category) AS n FROM c),
+p AS (SELECT doc_id, start, category, r, min(i) AS pick FROM n LEFT JOIN (SELECT unnest(range(0, 13)) AS i) ON i < n AND r = i * n // 13 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY pick IS NULL, CASE WHEN pick IS NULL THEN '' ELSE category END, pick, start, doc_id) AS k FROM p)
+SELECT doc_id || '-' || start AS id, category FROM o WHERE k <= 100""",
     "q_book_groups": "SELECT doc_id, 'book-' || substr(sha256(source || doc_id % 3), 1, 16) AS group_id FROM documents",
 }

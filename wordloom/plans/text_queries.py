@@ -12,27 +12,27 @@ from wordloom.operators import structure
 from wordloom.operators.learning import progress_changes
 from wordloom.sources.files import decode_novel, fingerprint, is_supported_file, page_text
 
-from .inputs import NOW_MS, SQL_LOW, low_docs, millis, table
+from .inputs import NOW_MS, SQL_LOW, low_docs, millis, spread, table
 
 HEADING = "[A-Z][a-z]+\\."
 STOPS = ".!?"
 
 
 def q_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.sentences(table(spark, sf_dir, "documents"), ["doc_id"], ends=STOPS)
+    return structure.sentences(spread(spark, sf_dir, "documents"), ["doc_id"], ends=STOPS)
 
 
 def q_paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "\\.\\n", ".\n\n"))
+    docs = spread(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "\\.\\n", ".\n\n"))
     return structure.paragraphs(docs, ["doc_id"])
 
 
 def q_chunk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.chunks(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "idx", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    return structure.chunks(spread(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "idx", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
 def q_heading_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     found = structure.chapters(docs, ["doc_id"], heading=HEADING + "(?=\\n)", title_chars=0)
     return found.select("doc_id", "idx", "title", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
@@ -49,21 +49,21 @@ def q_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fnv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", fnv1a32(F.col("text")).alias("fnv"), fnv_hex(F.concat_ws("|", F.col("doc_id").cast("string"), "source")).alias("key_hex"))
+    return spread(spark, sf_dir, "documents").select("doc_id", fnv1a32(F.col("text")).alias("fnv"), fnv_hex(F.concat_ws("|", F.col("doc_id").cast("string"), "source")).alias("key_hex"))
 
 
 def q_file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     return docs.select("doc_id", fingerprint(F.concat("source", F.lit(".txt")), F.col("n_chars"), F.lit(NOW_MS), F.col("text")).alias("fingerprint"))
 
 
 def q_stable_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", stable_score(F.concat_ws("-", "lang", "source", F.col("doc_id").cast("string"))).alias("score"))
+    return spread(spark, sf_dir, "documents").select("doc_id", stable_score(F.concat_ws("-", "lang", "source", F.col("doc_id").cast("string"))).alias("score"))
 
 
 def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("doc_id").cast("string")
-    return table(spark, sf_dir, "documents").select("doc_id", split_name(name, 2).alias("first_split"), split_name(F.concat(F.lit("seed:"), name), 8).alias("seeded_split"))
+    return spread(spark, sf_dir, "documents").select("doc_id", split_name(name, 2).alias("first_split"), split_name(F.concat(F.lit("seed:"), name), 8).alias("seeded_split"))
 
 
 def q_relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def q_progress_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("source", F.get(F.array(F.lit(".TXT"), F.lit(".pdf"), F.lit(".jpg")), (F.col("doc_id") % 3).cast("int")))
-    return table(spark, sf_dir, "documents").select("doc_id", is_supported_file(name).alias("supported"), clean_title(name).alias("title"))
+    return spread(spark, sf_dir, "documents").select("doc_id", is_supported_file(name).alias("supported"), clean_title(name).alias("title"))
 
 
 def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,17 +92,17 @@ def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_paragraph_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("idx"), F.lit("text").alias("kind"), F.regexp_replace("text", "\\.\\n", ".\n\n").alias("value"))
+    tokens = spread(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("idx"), F.lit("text").alias("kind"), F.regexp_replace("text", "\\.\\n", ".\n\n").alias("value"))
     return structure.paragraph_tokens(tokens, ["doc_id"]).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.md5("value").alias("digest"))
 
 
 def q_nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(normalize_novel(F.col("text"))).alias("digest"), F.length(nfkc("text")).alias("n"))
 
 
 def q_decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(decode_novel(F.encode("text", "UTF-8"))).alias("digest"))
 
 
@@ -172,5 +172,23 @@ SELECT o_custkey, total, page, percent FROM r WHERE b IS NULL OR b <> percent OR
 WITH p AS (SELECT doc_id, regexp_split_to_array(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), '\\n\\n+') AS l FROM documents)
 SELECT doc_id, k AS paragraph, md5(t) AS digest FROM (SELECT doc_id, unnest(l) AS t, unnest(range(0, len(l))) AS k FROM p) WHERE t <> ''
 """.replace("\\\\", "\\"),
+    "q_heading_groups": f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, l[i] AS line, i, i < len(l) AND regexp_full_match(l[i], '[A-Z][a-z]+\\.') AS heading FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+g AS (SELECT *, sum(heading::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+b AS (SELECT doc_id, k, max(line) FILTER (heading) AS title, {_TRIM.format("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT heading), '')")} AS body FROM g GROUP BY 1, 2),
+h AS (SELECT b.doc_id, b.k, b.title, CASE WHEN b.k = 1 AND coalesce(p.body, '') <> '' THEN {_TRIM.format("p.body || chr(10) || chr(10) || b.body")} ELSE b.body END AS text FROM b LEFT JOIN b p ON p.doc_id = b.doc_id AND p.k = 0 WHERE b.k > 0),
+c AS (SELECT doc_id, unnest(range(0, length(text), 4500)) AS pos, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h))
+SELECT doc_id, (k - 1)::INTEGER AS idx, title, length(text)::INTEGER AS n, md5(text) AS digest FROM h
+UNION ALL SELECT doc_id, (pos // 4500)::INTEGER, '片段 ' || (pos // 4500 + 1), length(t)::INTEGER, md5(t) FROM (SELECT doc_id, pos, {_TRIM.format('substr(text, pos + 1, 4500)')} AS t FROM c)
+""",
+    # texts of Latin letters without compatibility forms are in NFKC already
+    "q_nfkc_normalize": f"SELECT doc_id, md5({_TRIM.format("regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')")}) AS digest, length(text)::INTEGER AS n FROM documents",
+    "q_page_text": f"""
+WITH l AS (SELECT conv_id, list({{'t': coalesce(text, ''), 'e': turn % 2 = 1}} ORDER BY turn, text) AS l FROM conversations GROUP BY 1),
+f AS (SELECT conv_id, list_reduce(list_prepend({{'t': '', 'e': FALSE}}, l), lambda a, x: {{'t': a.t || CASE WHEN regexp_matches(a.t, '[A-Za-z0-9]$') AND regexp_matches(x.t, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || x.t
+  || CASE WHEN x.e AND NOT ends_with(a.t || x.t, chr(10)) THEN chr(10) ELSE '' END, 'e': x.e}}).t AS t FROM l)
+SELECT conv_id, {_TRIM.format('t')} AS text FROM f
+""",
     "q_decode_bytes": "SELECT doc_id, md5(text) AS digest FROM documents",
 }
