@@ -256,12 +256,23 @@ def test_license_files_as_they_usually_are(spark):
         (4, "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + stars, "BSD-3-Clause"),
         (5, "(c) 2019 Someone\n" + stars, "BSD-3-Clause"),
         (6, "BSD 2-Clause License\n\n" + bsd2, "BSD-2-Clause"),
+        (10, "\n".join(f"# {x}" for x in ["MIT License", "", "Copyright (c) 2020 Someone", "", *mit.split(". ")]).replace("\n# ", ".\n# "), "MIT"),
+        (11, "/*\n * Copyright (c) 2020 Someone\n * Copyright The X Authors\n */\n" + isc, "ISC"),
+        (12, "Copyright (c) 2021 Some One. " + mit, "MIT"),
+        (13, "The MIT License (MIT) Copyright (c) 2021 Some One " + mit, "MIT"),
+        (14, license_scan.LICENSES["Unlicense"].replace(". ", ".\n\n"), "Unlicense"),
+        (15, "zlib License\n\n(C) 1995 Jean\n\n" + license_scan.LICENSES["Zlib"].replace("1. ", "* ").replace("2. ", "* "), "Zlib"),
+        (16, license_scan.LICENSES["BSL-1.0"].replace(" THE SOFTWARE", "\n\nTHE SOFTWARE"), "BSL-1.0"),
         (7, mit + " Except on Sundays.", None),
         (8, "Some text on permission and the BSD 3-Clause License", None),
         (9, None, None),
     ]
     got = {r.doc_id: r.license_id for r in license_scan.scan_licenses(docs(spark, [r[:2] for r in rows])).collect()}
     assert got == {i: want for i, _, want in rows}
+    chars = {r.doc_id: r.canonical_chars for r in license_scan.scan_licenses(docs(spark, [(1, "Copyright (c) 2021 X"), (2, "Copyright (c) 2021 X " + "and a long story " * 20), (3, "word " * 300_000)])).collect()}
+    assert chars[1] == 0 and chars[2] > 300 and chars[3] == 5 * 300_000 - 1
+    twice = license_scan.scan_licenses(docs(spark, [(1, mit), (1, mit)])).collect()
+    assert [r.license_id for r in twice] == ["MIT", "MIT"] and license_scan.scan_licenses(docs(spark, rows[:0])).count() == 0
 
 
 @pytest.mark.skipif(not Path("/usr/share/common-licenses/MPL-2.0").exists(), reason="needs the licence texts of Debian")
@@ -324,15 +335,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROW_BLOCK", 30)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(200)]
-    rows += [(200, None), (201, [1.0, None]), (202, [float("nan")]), (203, [float("inf")]), (250, [0.5, 0.5]), (None, [1.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(200, None), (201, [1.0, None]), (202, [float("nan")]), (203, [float("inf")]), (250, [0.5, 0.5]), (None, [1.0]), (251, [])]
+    rows += [(i, [0.0] * 40 + [1.0] + [0.0] * 500) for i in (252, 253)] + [(50, rows[50][1]), (254, [3e7, -1e9, 2.5])]
+    table = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<float>, qb int, rb int, terms string")
     got = topk.top_k(table, F.col("vec_id") % 50 == 0).collect()
-    good = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
-    for q in (x for x in good if x % 50 == 0):
-        scores = sorted(((sum(a * b for a, b in zip(good[q], v, strict=False)), i) for i, v in good.items() if i != q), key=lambda x: (-x[0], x[1]))[:5]
+    for q, own in {x[0]: x[1] for x in good if x[0] % 50 == 0}.items():
+        scores = sorted(((sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in good if i != q), key=lambda x: (-x[0], x[1]))[:5]
         want |= {(q, k, i, s) for k, (s, i) in enumerate(scores, 1)}
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == len(want)
     assert topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.top_k(table.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
@@ -474,13 +486,58 @@ def test_warc_round_trip(spark, monkeypatch):
     rows = [(1, "http://a/", "x" * 1500), (2, "http://b/", "x" * 1500), (3, "http://c/\r\n", big), (4, None, None), (5, "http://d/", ""), (6, "http://e/", "small"), (7, "http://e/", "small"), (8, "u", big), (8, "u", big), (None, "u", "x" * 1500)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     back = warc.round_trip(table).withColumn("page_id", warc.page_number("record_id")).collect()
-    got = sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes, None if r.payload is None else bytes(r.payload)) for r in back), key=str)
+    got = sorted(((r.page_id or 0, r.record_type, int(r.refers_to.split(":")[2]) if r.refers_to else None, r.payload_bytes, None if r.payload is None else bytes(r.payload)) for r in back), key=str)
     raw = lambda t: (t or "").encode()
-    want = [(1, "revisit", "urn:page:2", 1500, None), (2, "response", None, 1500, raw("x" * 1500)), (3, "revisit", "urn:page:8", len(raw(big)), None), (4, "response", None, 0, b""), (5, "response", None, 0, b""), (6, "response", None, 5, b"small"), (7, "response", None, 5, b"small")]
+    want = [(1, "revisit", 2, 1500, None), (2, "response", None, 1500, raw("x" * 1500)), (3, "revisit", 8, len(raw(big)), None), (4, "response", None, 0, b""), (5, "response", None, 0, b""), (6, "response", None, 5, b"small"), (7, "response", None, 5, b"small")]
     want += [(8, "response", None, len(raw(big)), raw(big))] * 2
     assert [x for x in got if x[0]] == sorted(want, key=str) and len(got) == 10
+    names = {r.record_id for r in back}
+    assert len(names) == 10 and {r.refers_to for r in back if r.refers_to} <= names
     assert all(r.payload_digest == hashlib.sha1(raw(dict((a, c) for a, _, c in rows)[r.page_id])).hexdigest() for r in back)
     assert warc.round_trip(table.limit(0)).count() == 0
+    held = spark.createDataFrame(back, warc.round_trip(table).withColumn("page_id", warc.page_number("record_id")).schema)
+    full = {(r.page_id or 0): r.payload for r in warc.with_payloads(warc.checked(held)).collect()}
+    assert len(full) == 9 and full[1] == raw("x" * 1500) and full[3] == raw(big) and full[6] == b"small"
+    for broken in (held.where("page_id <> 8 OR page_id IS NULL"), held.withColumn("payload_bytes", F.expr("IF(page_id = 3, 1, payload_bytes)")), held.withColumn("payload_digest", F.expr("IF(page_id = 2, 'x', payload_digest)"))):
+        with pytest.raises(Exception, match="does not agree with its record"):
+            warc.checked(broken).collect()
+    assert warc.checked(held.where("page_id <> 8 OR page_id IS NULL"), complete=False).count() == 8
+
+
+def foreign(kind, block, *more, media="application/http; msgtype=response", eol="\r\n"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", f"Content-Type: {media}", *more, f"Content-Length: {len(block)}", "", ""]
+    return eol.join(head).encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("pack", ["plain", "member", "members"])
+def test_warc_reads_archives_of_others(spark, pack):
+    import base64
+    import gzip
+
+    body = b"<html>caf\xc3\xa9</html>"
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    every = [
+        foreign("warcinfo", b"software: x\r\n", "WARC-Filename: a.warc.gz", media="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", media="application/http; msgtype=request"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nServer:x\r\nNo colon here\r\nX-Long: a\r\n b\r\n\r\n" + body, "WARC-Target-URI:http://h/", f"WARC-Payload-Digest: sha1:{sha}"),
+        foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", "WARC-Refers-To: <urn:uuid:response>", f"WARC-Payload-Digest: SHA-1:{sha.lower()}"),
+        foreign("metadata", b"fetchTimeMs: 1", media="application/warc-fields", eol="\n"),
+        foreign("resource", b"\x00\x01\r\n\r\nx", "WARC-Payload-Digest: md5:" + hashlib.md5(b"\x00\x01\r\n\r\nx").hexdigest(), media="image/x"),
+        foreign("conversion", b"text", "WARC-Payload-Digest: blake9:zz", media="text/plain"),
+    ]
+    content = {"plain": b"".join(every), "member": gzip.compress(b"".join(every)), "members": b"".join(map(gzip.compress, every))}[pack]
+    table = spark.createDataFrame([(bytearray(content), 1)], "content binary, segment int")
+    got = {r.record_type: r for r in warc.read(table).collect()}
+    assert len(got) == 7 and bytes(got["response"].payload) == body and got["response"].url == "http://h/" and bytes(got["resource"].payload) == b"\x00\x01\r\n\r\nx"
+    assert got["revisit"].payload is None and got["revisit"].payload_bytes is None and got["revisit"].payload_digest == hashlib.sha1(body).hexdigest()
+    assert bytes(got["metadata"].payload) == b"fetchTimeMs: 1" and bytes(got["request"].payload) == b""
+    assert warc.checked(warc.read(table)).count() == 7
+    wrong = content if pack != "plain" else content.replace(b"caf", b"cof")
+    if pack == "plain":
+        with pytest.raises(Exception, match="digest is wrong"):
+            warc.read(spark.createDataFrame([(bytearray(wrong),)], "content binary")).collect()
+        with pytest.raises(Exception, match="not a WARC record"):
+            warc.read(spark.createDataFrame([(bytearray(b"nonsense"),)], "content binary")).collect()
 
 
 def test_warc_rejects_lost_segments(spark):
@@ -546,13 +603,18 @@ def test_added_spans_and_redaction(spark):
     ("address", "in der Berliner Straße 12.", "Berliner Straße 12"),
     ("address", "Rue de la Gare 12, Bern", "Rue de la Gare 12"),
     ("address", "12 Elm Street", "12 Elm Street"),
+    ("address", "at 12 Main St. today", "12 Main St"),
+    ("address", "350 Fifth Ave, New York", "350 Fifth Ave"),
+    ("secret", "PassWord: abcd1234efgh", "abcd1234efgh"),
+    ("secret", "İ API_Key = abcd1234efgh", "abcd1234efgh"),
+    ("account", "iBAN: DE89370400440532013000", "DE89370400440532013000"),
 ])
 def test_usual_forms_after_a_cue(kind, text, want):
     assert [text[a:b] for k, a, b in pii.find(text) if k == kind] == [want]
 
 
 def test_cues_without_a_value_have_no_span():
-    for text in ("an account 1999-2004 of the war", "account: 2020-01-15", "a true story of 5 broad hints", "in 2004 they went down the long and winding road", "IBAN: to be given", "5 road signs", "the avenue of the stars"):
+    for text in ("an account 1999-2004 of the war", "account: 2020-01-15", "a true story of 5 broad hints", "in 2004 they went down the long and winding road", "IBAN: to be given", "iban: XX00000000", "IBAN DE89370400440532013001", "on 12 May St. Peter came", "12 Main Stations", "5 road signs", "the avenue of the stars"):
         assert not pii.find(text), text
     for text in ("account " * 5000, "iban " + "A1" * 20000, "ssn " + "1-" * 20000, "9 " + "A " * 20000 + "street", "rue de " * 10000, "1 street " * 5000):
         pii.find(text)

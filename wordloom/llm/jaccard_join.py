@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.components import connected_components
-from wordloom.plans.staging import Workspace, broadcast_if_few
+from wordloom.plans.staging import BROADCAST_IDS, Workspace, broadcast_if_few
 
 from .partenum import signatures
 from .shingles import mix, shingles
@@ -267,7 +267,7 @@ def _bucket_pairs(found: _Buckets, label: DataFrame | None) -> DataFrame:
     # one row per signature and task: no bucket is sorted as a whole to see what it holds
     kinds = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("top"), F.count(F.lit(1)).alias("m")).where("low < top")
     kinds = work.write(kinds.select("sig", "m"), "mixed")
-    mixed = rows.join(broadcast_if_few(kinds), "sig").join(found.nodes, "rep").select("sig", "rep", "label", "n", "sketch", "m")
+    mixed = rows.join(broadcast_if_few(kinds, BROADCAST_IDS // 4), "sig").join(found.nodes, "rep").select("sig", "rep", "label", "n", "sketch", "m")
     columns = ["sig", "lo", "hi", "rep", "label", "n", "block", "sketch"]
     none = F.lit(0)
     usual = mixed.where(F.col("m") <= BLOCK).select("sig", none.alias("lo"), none.alias("hi"), "rep", "label", "n", none.alias("block"), "sketch").repartition("sig").sortWithinPartitions("sig")

@@ -1,21 +1,25 @@
 """Licence scan by canonical digest (built-in functions only).
 
 A text is brought to a canonical form: A-Z lower-cased, copyright lines left
-out, equivalent spellings unified, everything but letters and digits made one
-space.  The SHA-256 of the whole form is hash-joined to the digests of known
+out (whole lines of at most COPYRIGHT_CHARS characters, with the comment sign
+that may start them), equivalent spellings unified, everything but letters and
+digits made one space.  The SHA-256 of the whole form is hash-joined to the digests of known
 licences.  The known table is a parameter; the default has one row per licence
 below, so its broadcast is bounded by this file.
 
 With the default table, a text that has no match is brought to a core form too:
-copyright lines without a year or sign, list markers, and the title of a short
-licence are left out before the rest.  Its digest is looked up among those of
+copyright lines without a year or sign, list markers, the title of a short
+licence, and a copyright notice on the line of the text itself are left out
+before the rest.  Its digest is looked up among those of
 the whole licences below and of ``license_digests``, which holds long licences
 with and without their title and their appendix.  The digest column stays that
 of the canonical form.  Notices of one line match by the canonical form alone.
 
 Defined cases: a null, empty or all-punctuation text has an empty form and
-matches nothing; repeated rows give repeated results; several known ids with
-one digest give the smallest id.  Only key and text are read.
+matches nothing; a text of one long line keeps its body though it begins with a
+copyright notice; repeated rows give repeated results; several known ids with
+one digest give the smallest id; texts are used whole, however long.  Only key
+and text are read.
 """
 
 from __future__ import annotations
@@ -41,25 +45,33 @@ LICENSES = {
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_TAIL,
     "BSD-2-Clause": f"{_BSD_HEAD} {_BSD_TAIL}",
     "BSD-3-Clause": f"{_BSD_HEAD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_TAIL}",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + " For more information, please refer to <https://unlicense.org>",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "notice:MIT": "Released under the MIT License.",
     "notice:Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "notice:GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "notice:CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 # Lines that state an owner or a year; a wrapped line that starts with "copyright notice" is none.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*"
+COPYRIGHT_CHARS = 200
+COPYRIGHT_WORD = "copyright|\\(c\\)|©|all rights reserved"
+COPYRIGHT_LINE = "^[ \\t]*(?:[#*;/%!-]+[ \\t]*)?(?:copyright[^\\n]*(?:\\(c\\)|©|[0-9]{4})|\\(c\\)[ \\t]*[0-9]{4}|©|all rights reserved)"
 
 # Lines that name an owner without a year: "Copyright The X Authors", "Copyright <year> <holder>".
-BARE_COPYRIGHT_LINE = r"(?m)^[ \t]*Copyright[ \t]+(?:by[ \t]+|of[ \t]+)?(?!Holder|Owner|Notice|Licen|Law|Act)[A-Z<\[{(][^\n]*"
+BARE_COPYRIGHT_LINE = r"(?m)^[ \t]*(?:[#*;/%!-]+[ \t]*)?Copyright[ \t]+(?:by[ \t]+|of[ \t]+)?(?!Holder|Owner|Notice|Licen|Law|Act)[A-Z<\[{(][^\n]{0,200}$"
+# A notice, perhaps after a title, that the licence follows on the same line.
+LEAD = r"(?i)\A\s*(?:[^\n]{0,60}licen[sc]e[^\n]{0,20}\s)?(?:copyright|\(c\)|©)[^\n]{0,300}?(?=permission is hereby granted|permission to use, copy|redistribution and use in source)"
 LIST_MARKER = r"(^|[\n:;.])\s{0,40}+(?!\([cC]\)[ \t]*[0-9]{4})\(?(?:[0-9]{1,2}|[a-zA-Z]|[ivx]{1,4})[.)]\s"
-TITLE = r"^(?:the )?(?:mit|expat|isc|0bsd|(?:[023] clause |zero clause |new |modified |revised |simplified )?bsd(?: [023] clause| zero clause)?) license(?: mit| expat| isc| 0bsd)? "
+TITLE = r"^(?:the )?(?:mit|expat|isc|zlib|0bsd|(?:[023] clause |zero clause |new |modified |revised |simplified )?bsd(?: [023] clause| zero clause)?) license(?: mit| expat| isc| 0bsd)? "
 # Words of which every whole licence has one; other texts need no core form.
 LICENSE_WORD = "(?i)licen[sc]e|permission|redistribution"
 
 
 def canonical(text: Column) -> Column:
     form = ascii_lower(F.coalesce(text, F.lit("")))
-    form = F.regexp_replace(form, COPYRIGHT_LINE, "\n")
+    stated = lambda line: line.rlike(COPYRIGHT_LINE) & (F.length(line) <= COPYRIGHT_CHARS)
+    form = F.when(form.rlike(COPYRIGHT_WORD), F.array_join(F.filter(F.split(form, "\n"), lambda line: ~stated(line)), "\n")).otherwise(form)
     form = F.concat(F.lit(" "), F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for old, new in EQUIVALENT:
         form = F.replace(form, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -68,7 +80,8 @@ def canonical(text: Column) -> Column:
 
 def core(text: Column) -> Column:
     """The canonical form without title, list markers and bare copyright lines."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), BARE_COPYRIGHT_LINE, ""), LIST_MARKER, "$1 ")
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), BARE_COPYRIGHT_LINE, ""), LEAD, "")
+    bare = F.regexp_replace(bare, LIST_MARKER, "$1 ")
     return F.regexp_replace(canonical(bare), TITLE, "")
 
 

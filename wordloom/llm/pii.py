@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass finds anchors: at-signs, plus signs, URL schemes and
-identifier cues (in lower, upper and title case).  Deterministic local parsers
+identifier cues (in any case).  Deterministic local parsers
 expand each anchor to the boundaries of an email, phone number, URL, secret,
 account or street address.  Numbers without a cue (IP addresses, payment cards)
 are anchored at their digits by linear scans.  No parser looks at a character
@@ -31,6 +31,8 @@ KINDS = (*BASE, "url", "secret", "account", "address")
 SCHEMES = ("http://", "https://", "ftp://")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
 ACCOUNT_CUES = ("iban", "account", "acct", "passport", "ssn")
+SHORT_STREET_CUES = (" st", " ave", " rd", " blvd", " ln", " dr")
+MONTHS = frozenset(("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"))
 STREET_CUES = ("street", "avenue", "road", "boulevard", "straße", "strasse", "rue ", "calle ")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -58,6 +60,7 @@ _NUMBER_BEFORE = re.compile(rf"{_NUMBER}(?: (?:bis|ter|quater|[a-zA-Z]))?,? \Z")
 _NAME_AFTER = re.compile(rf" ?{_STREET_NAME}| (?:{_SMALL} )+{_WORD}")
 _LOW_NAME_AFTER = re.compile(rf"(?:{_SMALL} )*(?:[ld]['’])?{_WORD}")
 _HOUSE_BEFORE = re.compile(rf"{_NUMBER},? (?:(?:{_WORD} ){{1,3}}|{_PROPER} (?:(?:{_SMALL} )*{_PROPER} )+)\Z")
+_SHORT_BEFORE = re.compile(rf"{_NUMBER},? (?:{_PROPER} ){{1,5}}\Z")
 _HOUSE_AFTER = re.compile(rf"[^\W\d_]{{0,30}},? [0-9]{{1,5}}[a-z]?(?![A-Za-z0-9])|(?:(?:{_WORD} ){{0,2}}{_WORD}|{_STREET_NAME}),? [0-9]{{1,5}}[a-z]?(?![A-Za-z0-9])")
 _PROPER_BEFORE = re.compile(rf"(?<![^\W_])(?:{_PROPER} )+\Z")
 _COMPOUND_BEFORE = re.compile(r"(?<![^\W_])[^\W\d_]{1,40}(?:-[^\W\d_]{1,40}){0,5}-?\Z")
@@ -78,8 +81,8 @@ def iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def _account(text: str, end: int) -> tuple[int, int] | None:
-    """The account value after a cue that ends at ``end``: an IBAN, digits in groups, or one run."""
+def _account(text: str, end: int, only_iban: bool) -> tuple[int, int] | None:
+    """The account value after a cue that ends at ``end``: an IBAN with right check digits, digits in groups, or one run."""
     gap = _ACCOUNT_GAP.match(text, end)
     if not gap:
         return None
@@ -88,6 +91,8 @@ def _account(text: str, end: int) -> tuple[int, int] | None:
         for stop in range(m.end(), at + 14, -1):
             if text[stop - 1] not in " -" and not (stop < len(text) and text[stop] in _ALNUM) and iban(text[at:stop].replace(" ", "").replace("-", "")):
                 return at, stop
+    if only_iban:
+        return None
     if m := _GROUPS.match(text, at):
         digits = sum(c in "0123456789" for c in m[0])
         # Years and dates have eight digits: as few as that need more than a space after the cue.
@@ -101,7 +106,7 @@ def _account(text: str, end: int) -> tuple[int, int] | None:
 
 def _address(text: str, low: int, start: int, end: int) -> tuple[int, int] | None:
     """The street address around a cue: number and street, street and name, or street and number."""
-    compound = text[start].lower() == "s" and text[start + 3].lower() == "a"
+    compound = text[start].lower() == "s" and text[start + 3].lower() == "a"  # Straße
     if not compound and start and text[start - 1].isalnum():
         return None
     left = max(low, start - _NEAR)
@@ -119,18 +124,32 @@ def _address(text: str, low: int, start: int, end: int) -> tuple[int, int] | Non
     return None
 
 
+def _short_address(text: str, low: int, start: int, end: int) -> tuple[int, int] | None:
+    """Number, name and a shortened cue that is written as a word: 12 Main St."""
+    if not text[start + 1].isupper() or end < len(text) and text[end].isalnum():
+        return None
+    m = _SHORT_BEFORE.search(text, max(low, start - _NEAR), start + 1)
+    # a number and a month are a date: on 12 May St. Peter
+    return (m.start(), end) if m and m[0].split()[-1] not in MONTHS else None
+
+
 def _automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, cues in (("email", "@"), ("phone", "+"), ("url", SCHEMES), ("secret", SECRET_CUES), ("account", ACCOUNT_CUES), ("address", STREET_CUES)):
+    for kind, cues in (("email", "@"), ("phone", "+"), ("url", SCHEMES), ("secret", SECRET_CUES), ("account", ACCOUNT_CUES), ("address", STREET_CUES), ("short address", SHORT_STREET_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.title()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, cue))
     found.make_automaton()
     return found
 
 
+def _lower(text: str) -> str:
+    """The text in lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 _machine = None
 
 
@@ -143,8 +162,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         _machine = _automaton()
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     done = dict.fromkeys(KINDS, 0)
-    for last, (kind, size) in _machine.iter(text):
-        start, end = last + 1 - size, last + 1
+    for last, (kind, cue) in _machine.iter(_lower(text)):
+        start, end = last + 1 - len(cue), last + 1
+        parser, kind = kind, "address" if kind == "short address" else kind
         low = done[kind]
         if start < low:
             continue
@@ -167,7 +187,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if (m := _SECRET.match(text, end)) and any(c in "0123456789" for c in m[1]):
                 got = m.span(1)
         elif kind == "account":
-            got = _account(text, end)
+            got = _account(text, end, cue == "iban")
+        elif parser == "short address":
+            got = _short_address(text, low, start, end)
         else:
             got = _address(text, low, start, end)
         if got:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.plans.staging import Workspace
+
 from . import bpe, html_text, jaccard_join, license_scan, line_dedup, packing, pii, quality_rules, topk, warc
 
 
@@ -29,8 +31,15 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.judge(quality_rules.ledger(_table(spark, sf_dir, "documents")))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    book = Workspace(spark, "quality").write(quality_rules.ledger(_table(spark, sf_dir, "documents")), "ledger")
+    return quality_rules.judge(book).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two policies costs, from one ledger."""
+    book = Workspace(spark, "quality").write(quality_rules.ledger(_table(spark, sf_dir, "documents")), "ledger")
+    each = [quality_rules.ablate(book, policy).withColumn("policy", F.lit(policy)) for policy in ("v1", "lenient")]
+    return each[0].unionByName(each[1])
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +59,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = warc.round_trip(_table(spark, sf_dir, "pages"))
-    target = F.expr("try_cast(split(refers_to, ':')[2] AS BIGINT)")
-    return back.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", target.alias("refers_to"))
+    back = Workspace(spark, "warc").write(warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload"), "records")
+    return warc.checked(back).select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +74,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_encode_decode, op3_quality_rules, op4_best_fit_packing, op5_exact_top_k, op6_license_scan, op7_html_extraction, op8_warc_round_trip, op9_pii, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_encode_decode, op3_quality_rules, rule_ablation, op4_best_fit_packing, op5_exact_top_k, op6_license_scan, op7_html_extraction, op8_warc_round_trip, op9_pii, op10_line_dedup)}
 
 _WORD_SPLIT = r"regexp_split_to_array(t, '[\x20\x09-\x0D]+')"
 _DOCS = "SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents"
@@ -100,6 +108,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
+def _ablation_sql() -> str:
+    mask = lambda policy: f"(failed & {quality_rules.POLICIES[policy]})"
+    one = lambda policy, bit, name: f"""SELECT {bit} AS bit, '{name}' AS rule, count(*) FILTER (failed & {1 << bit} > 0)::BIGINT AS n_failed, count(*) FILTER ({mask(policy)} = {1 << bit})::BIGINT AS n_only,
+ count(*) FILTER ({mask(policy)} & {~(1 << bit) & 0xFFFF} = 0)::BIGINT AS n_kept_without, '{policy}' AS policy FROM book HAVING count(*) > 0"""
+    parts = [one(policy, bit, name) for policy in ("v1", "lenient") for bit, (name, _) in quality_rules.RULES.items() if quality_rules.POLICIES[policy] >> bit & 1]
+    return f"WITH book AS ({_op3_sql()}) " + " UNION ALL ".join(parts)
+
+
 def _op10_sql() -> str:
     return r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -115,7 +131,7 @@ FROM j GROUP BY rid
 
 def _canonical_sql(text: str) -> str:
     form = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    form = f"regexp_replace({form}, '{license_scan.COPYRIGHT_LINE}', chr(10), 'g')"
+    form = f"array_to_string(list_filter(string_split({form}, chr(10)), lambda x: length(x) > {license_scan.COPYRIGHT_CHARS} OR NOT regexp_matches(x, '{license_scan.COPYRIGHT_LINE}')), chr(10))"
     form = f"' ' || regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
     for old, new in license_scan.EQUIVALENT:
         form = f"replace({form}, ' {old} ', ' {new} ')"
@@ -137,9 +153,8 @@ def _op5_sql() -> str:
     return """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-e AS (SELECT vec_id, unnest(t) AS x, unnest(range(len(t))) AS i FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM e q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id
-      WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+q AS (SELECT DISTINCT vec_id AS query_id, t AS own FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, coalesce(list_sum(list_transform(list_zip(own, t, TRUE), lambda z: z[1] * z[2])), 0)::BIGINT AS score FROM q JOIN v ON query_id <> vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
@@ -157,4 +172,4 @@ FROM g LEFT JOIN m ON g.payload_digest = m.payload_digest
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3_sql(), "op5_exact_top_k": _op5_sql(), "op6_license_scan": _op6_sql(), "op8_warc_round_trip": _op8_sql(), "op10_line_dedup": _op10_sql()}
+    return {"op3_quality_rules": _op3_sql(), "rule_ablation": _ablation_sql(), "op5_exact_top_k": _op5_sql(), "op6_license_scan": _op6_sql(), "op8_warc_round_trip": _op8_sql(), "op10_line_dedup": _op10_sql()}

@@ -2,26 +2,35 @@
 
 Writing.  Payloads of at least MIN_REVISIT bytes are grouped by SHA-1; the
 record with the largest page id is the response, the others are revisits that
-refer to it.  A response's block is an HTTP message in chunked transfer
+name its record id.  A response's block is an HTTP message in chunked transfer
 framing.  Blocks longer than SEGMENT are cut: the first record holds segment 1,
 continuation records name it as their origin, and the last one states the total
 length.  Archives are rows (archive, content), one gzip member per record, so
 any sink can hold them; ``read`` takes such a table or Spark's ``binaryFile``.
 
-Reading.  Records are parsed one by one; segments are grouped by origin,
-ordered by number and joined, the total is verified, and the chunked framing is
-decoded and checked.  A group is the segments of one record.
+Reading.  Archives may be plain or compressed, with one or several records a
+member, and hold records of any type.  Records are parsed one by one; segments
+are grouped by origin, ordered by number and joined, the total is verified, and
+the chunked framing is decoded.  A stated payload digest (hexadecimal or base32,
+of any hash that the platform has) is verified.  ``checked`` verifies revisits
+against the records that they name, ``with_payloads`` gives them their payload.
+
+Bounds: a group is the segments of one record; an archive, and a record's block,
+are each held whole in one task, as ``binaryFile`` gives them.
 
 Defined cases: a null html is an empty payload; empty tables give no archives;
 equal rows are written and read as records of their own; where the largest page
 id is repeated, each of its rows is a response; a null page id is read back as
-null and never is referred to.
+null and never is referred to.  Very long pages are segments of 8 KB.  Columns
+beyond page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,13 +45,18 @@ _DATE = "2024-01-01T00:00:00Z"
 
 
 def resolve(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, url, html, refers_to), refers_to null for responses."""
+    """Rows (page_id, url, html, place, refers_to), refers_to the record id of another row, null for responses.
+
+    The rows are written with their places first, since a revisit names the
+    place of its original.
+    """
     work = Workspace(pages.sparkSession, "warc")
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", body.alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
-    twice = rows.where((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = work.write(pages.select("page_id", "url", body.alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"), F.monotonically_increasing_id().alias("place")), "rows")
+    twice = rows.where((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max(F.struct("page_id", "place")).alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
     twice = work.write(twice.select("digest", "original"), "payloads")
-    return rows.join(twice, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("original"), F.col("original")).alias("refers_to"))
+    name = F.concat_ws(":", F.lit("urn:page"), F.col("original.page_id").cast("string"), F.col("original.place").cast("string"))
+    return rows.join(twice, "digest", "left").select("page_id", "url", "html", "place", F.when(F.col("page_id") != F.col("original.page_id"), name).alias("refers_to"))
 
 
 def _record(kind: str, name: str, block: bytes, url: str | None, more: dict[str, str]) -> bytes:
@@ -58,13 +72,13 @@ def _chunked(payload: bytes) -> bytes:
     return b"".join(parts) + b"0\r\n\r\n"
 
 
-def _page_records(page_id, url, html: str, refers_to, place: str) -> Iterator[bytes]:
+def _page_records(page_id, url, html: str, refers_to: str | None, place: int) -> Iterator[bytes]:
     payload = html.encode("utf-8", "replace")
     name = f"urn:page:{'' if page_id is None else page_id}:{place}"
     digest = {"WARC-Payload-Digest": f"sha1:{hashlib.sha1(payload).hexdigest()}"}
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        profile = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>"}
+        profile = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{refers_to}>"}
         yield _record("revisit", name, block, url, digest | profile)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + _chunked(payload)
@@ -91,7 +105,7 @@ def write(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                for record in _page_records(row["page_id"], row["url"], row["html"], row["refers_to"], f"{part}:{count}"):
+                for record in _page_records(row["page_id"], row["url"], row["html"], row["refers_to"], row["place"]):
                     made.append(record)
                     held += len(record)
                 count += 1
@@ -101,29 +115,72 @@ def write(pages: DataFrame) -> DataFrame:
         if made:
             yield archive()
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, content binary")
+    return pages.select("page_id", "url", "html", "place", "refers_to").mapInArrow(run, "archive string, content binary")
 
 
-def _parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    import zlib
-
+def _members(content: bytes) -> Iterator[bytes]:
+    """The plain parts of an archive: its gzip members, or all of it."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
     view = memoryview(content)
-    while len(view):
+    while len(view) and bytes(view[:2]) == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        data = member.decompress(view) + member.flush()
+        yield member.decompress(view) + member.flush()
         view = view[len(view) - len(member.unused_data) :]
-        head, _, rest = data.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["content-length"])
-        if rest[size:] != b"\r\n\r\n":
-            raise ValueError("a record's length is wrong")
-        yield fields, rest[:size]
+    if bytes(view).strip(b"\0\r\n"):
+        raise ValueError("bytes follow the last gzip member")
+
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields, names in lower case; folded lines go on their field, lines without a colon are left out."""
+    out: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out[last] = value.strip()
+    return out
 
-RECORD = "record_id string, record_type string, url string, refers_to string, payload_digest string, segment int, total long, origin string, block binary"
+
+def _parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of every record."""
+    for data in _members(content):
+        at = 0
+        while True:
+            while data[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+            if at >= len(data):
+                break
+            end, size = data.find(b"\r\n\r\n", at), 4
+            plain = data.find(b"\n\n", at)
+            if 0 <= plain and (end < 0 or plain < end):
+                end, size = plain, 2
+            if end < 0 or data[at : at + 5] != b"WARC/":
+                raise ValueError("not a WARC record")
+            fields = _fields(data[at:end].decode("utf-8", "replace").splitlines()[1:])
+            start, length = end + size, int(fields["content-length"])
+            if len(data) < start + length or data[start + length : start + length + 4].strip(b"\r\n"):
+                raise ValueError("a record's length is wrong")
+            yield fields, data[start : start + length]
+            at = start + length
+
+
+def _digest_is(payload: bytes, stated: str) -> bool:
+    """Whether a stated digest (algorithm:value) is the payload's; digests of unknown algorithms are not judged."""
+    kind, _, value = stated.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in hashlib.algorithms_available:
+        return True
+    made = hashlib.new(kind, payload).digest()
+    return value.strip().lower() in (made.hex(), base64.b32encode(made).decode().lower(), base64.b32encode(made).decode().rstrip("=").lower())
+
+
+RECORD = "record_id string, record_type string, url string, refers_to string, payload_digest string, content_type string, segment int, total long, origin string, block binary"
+_HEAD = ["record_type", "url", "refers_to", "payload_digest", "content_type"]
 
 
 def records(archives: DataFrame, content: str = "content") -> DataFrame:
@@ -134,9 +191,9 @@ def records(archives: DataFrame, content: str = "content") -> DataFrame:
             for item in batch[0]:
                 out, held = [], 0
                 for f, block in _parse(item.as_py()):
-                    name = f["warc-record-id"].strip("<>")
+                    name = f.get("warc-record-id", "").strip("<>")
                     total = f.get("warc-segment-total-length")
-                    out.append((name, f["warc-type"], f.get("warc-target-uri"), f.get("warc-refers-to", "").strip("<>") or None, f.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(f.get("warc-segment-number", 0)), int(total) if total else None, f.get("warc-segment-origin-id", f"<{name}>").strip("<>"), block))
+                    out.append((name, f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-refers-to", "").strip("<>") or None, f.get("warc-payload-digest") or None, f.get("content-type"), int(f.get("warc-segment-number", 0)), int(total) if total else None, f.get("warc-segment-origin-id", name).strip("<>"), block))
                     held += len(block)
                     if held > 8 << 20:
                         yield _batch(out)
@@ -148,7 +205,7 @@ def records(archives: DataFrame, content: str = "content") -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary())
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary())
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -167,42 +224,92 @@ def _dechunk(body: bytes) -> bytes:
         at += size + 2
 
 
-def read(archives: DataFrame, content: str = "content") -> DataFrame:
-    """Rows (record_id, record_type, url, refers_to, payload_digest, payload_bytes, payload binary).
+def _message(block: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and body of an HTTP message."""
+    head, gap, body = block.partition(b"\r\n\r\n")
+    if not gap:
+        head, _, body = block.partition(b"\n\n")
+    return _fields(head.decode("latin-1").splitlines()[1:]), body
 
-    Segments are put together; a revisit has a null payload, and the length
-    that its HTTP header states.  A wrong total, gap, framing or digest raises.
+
+_PAYLOAD = "record_id string, record_type string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+
+
+def read(archives: DataFrame, content: str = "content") -> DataFrame:
+    """Rows (record_id, record_type, url, refers_to, payload_digest, payload_bytes, payload binary) of all records.
+
+    Segments are put together.  The payload of an HTTP message is its body
+    without transfer framing, that of any other record its block.  A revisit has
+    a null payload, the length that its HTTP header states (else null), and the
+    digest that it states.  payload_digest is the bare SHA-1 in lower-case
+    hexadecimal, made from the payload where there is one.  A wrong total, gap,
+    framing or digest raises.
     """
     every = records(archives, content)
-    plain = every.where("segment = 0").select("record_id", "record_type", "url", "refers_to", "payload_digest", "block")
+    plain = every.where("segment = 0").select("record_id", *_HEAD, "block")
     parts = every.where("segment > 0").groupBy("origin").agg(
-        F.max_by(F.struct("record_type", "url", "refers_to", "payload_digest"), -F.col("segment")).alias("head"),
+        F.max_by(F.struct(*_HEAD), -F.col("segment")).alias("head"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         F.max("total").alias("total"),
     )
     block = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["block"])), ""))
-    sound = (F.col("total") == F.octet_length("block")) & (F.element_at("parts", -1)["segment"] == F.size("parts"))
+    sound = F.coalesce((F.col("total") == F.octet_length("block")) & (F.element_at("parts", -1)["segment"] == F.size("parts")), F.lit(False))
     joined = parts.withColumn("block", block).select(F.col("origin").alias("record_id"), "head.*", F.when(sound, F.col("block")).otherwise(F.raise_error(F.lit("segments are missing"))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, payloads = [], []
-            for kind, digest, block in zip(batch["record_type"].to_pylist(), batch["payload_digest"].to_pylist(), batch["block"], strict=True):
-                head, _, body = block.as_py().partition(b"\r\n\r\n")
-                fields = dict(x.lower().split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            sizes, digests, payloads = [], [], []
+            for kind, stated, media, block in zip(batch["record_type"].to_pylist(), batch["payload_digest"].to_pylist(), batch["content_type"].to_pylist(), batch["block"], strict=True):
+                fields, payload = _message(block.as_py()) if (media or "").lower().startswith("application/http") else ({}, block.as_py())
                 if kind == "revisit":
-                    sizes.append(int(fields[b"content-length"]))
+                    length = fields.get("content-length", "")
+                    sizes.append(int(length) if length.isdigit() else None)
+                    digests.append(_bare(stated))
                     payloads.append(None)
                     continue
-                payload = _dechunk(body) if fields.get(b"transfer-encoding") == b"chunked" else body
-                if digest and hashlib.sha1(payload).hexdigest() != digest:
+                if fields.get("transfer-encoding", "").lower() == "chunked":
+                    payload = _dechunk(payload)
+                if stated and not _digest_is(payload, stated):
                     raise ValueError("a payload's digest is wrong")
                 sizes.append(len(payload))
+                digests.append(hashlib.sha1(payload).hexdigest())
                 payloads.append(payload)
-            kept = batch.select(["record_id", "record_type", "url", "refers_to", "payload_digest"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())], [*kept.schema.names, "payload_bytes", "payload"])
+            kept = batch.select(["record_id", "record_type", "url", "refers_to"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())], [*kept.schema.names, "payload_digest", "payload_bytes", "payload"])
+
+    return plain.unionByName(joined).mapInArrow(run, _PAYLOAD)
 
-    return plain.unionByName(joined).mapInArrow(run, "record_id string, record_type string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary")
+
+def _bare(stated: str | None) -> str | None:
+    """A stated SHA-1 in lower-case hexadecimal, null for other algorithms."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.strip().lower().replace("-", "") != "sha1":
+        return None
+    value = value.strip()
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
+def checked(found: DataFrame, complete: bool = True) -> DataFrame:
+    """Written rows of ``read``; a revisit whose digest or length is not that of the record that it names raises.
+
+    So does one whose record is missing, unless the archives are not ``complete``.
+    Only ids, digests and lengths of named records meet the revisits.
+    """
+    named = found.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("record_id")).distinct()
+    originals = found.where("record_type <> 'revisit'").select("record_id", "payload_digest", "payload_bytes").join(named, "record_id", "left_semi")
+    originals = originals.groupBy(F.col("record_id").alias("refers_to")).agg(F.max(F.struct("payload_digest", "payload_bytes")).alias("original"))
+    met = found.where("record_type = 'revisit'").join(originals, "refers_to", "left")
+    same = lambda name: F.col(name).isNull() | (F.col(name) == F.col(f"original.{name}"))
+    fine = F.when(F.col("original").isNull(), F.lit(not complete)).otherwise(same("payload_digest") & same("payload_bytes"))
+    record = F.when(fine, F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("a revisit does not agree with its record: "), F.col("record_id"))))
+    return found.where("record_type <> 'revisit' OR record_type IS NULL").unionByName(met.withColumn("record_type", record).select(found.columns))
+
+
+def with_payloads(found: DataFrame) -> DataFrame:
+    """Written rows of ``read`` with the payload of the named record where a revisit has none."""
+    held = found.where("record_type <> 'revisit'").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("payload").alias("__payload"))
+    rows = found.where("record_type = 'revisit'").join(held, "refers_to", "left").withColumn("payload", F.coalesce("payload", "__payload"))
+    return found.where("record_type <> 'revisit' OR record_type IS NULL").unionByName(rows.select(found.columns))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
