@@ -115,6 +115,15 @@ def groups(files: DataFrame, key: str, links: DataFrame, seed: str | None = None
     return member.join(named, "root").select(F.col("node").alias(key), "root", "group_id", split_name(name, 2 if seed is None else 8).alias("split"))
 
 
+def edges_of(pairs: DataFrame, files: DataFrame, path: str = "path", key: str = "fingerprint") -> DataFrame:
+    """Rows (a, b): pairs of paths (left_path, right_path) as pairs of fingerprints; a path without a file raises."""
+    out = pairs
+    for side, name in (("left_path", "a"), ("right_path", "b")):
+        known = files.select(F.col(path).alias(side), F.col(key).alias(name))
+        out = out.join(known, side, "left").withColumn(name, F.coalesce(name, F.raise_error(F.concat(F.lit("no file for "), side)).cast(files.schema[key].dataType)))
+    return out.select("a", "b")
+
+
 def repartitioned(samples: DataFrame, grouped: DataFrame, key: str) -> DataFrame:
     """Samples with the group and split of their file; a sample without a file raises."""
     found = samples.drop("group_id", "split").join(grouped.select(key, "group_id", "split"), key, "left")

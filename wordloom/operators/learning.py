@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.numbers import DAY_MS, is_same_day, round_half_up
+from wordloom.functions.text import normalize_context, trim_all
 
 STATE = "struct<ease:double,interval:bigint,repetitions:bigint,due_at:bigint,updated_at:bigint>"
 # The first and the least ease.
@@ -116,3 +117,50 @@ def progress_changes(pages: DataFrame, keys: list[str], page: str = "page", tota
     rows = pages.withColumn("percent", page_percent(F.col(page), F.col(total)))
     before = F.lag("percent").over(Window.partitionBy(*keys).orderBy(page))
     return rows.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("__before") != F.col("percent")) | (F.col(page) == F.col(total))).drop("__before")
+
+
+#: Characters of a suggestion that a feedback row keeps.
+SUGGESTION = 120
+
+
+def feedback(replacements: DataFrame, now_ms: Column) -> DataFrame:
+    """Feedback rows, pending, of replacements (text, en, meaning, part_of_speech, sentence, reason, suggestion)."""
+    key = F.concat_ws(":", "text", "en", normalize_context(F.col("sentence"), F.col("text")))
+    said = F.left(trim_all(F.coalesce("suggestion", F.lit(""))), F.lit(SUGGESTION))
+    return replacements.select(key.alias("key"), "text", "en", "meaning", "part_of_speech", "sentence", "reason", said.alias("suggestion"), now_ms.cast("long").alias("created_at"), F.lit("pending").alias("status"))
+
+
+def quiz_events(questions: DataFrame, answers: DataFrame, keys: list[str], now_ms: Column) -> DataFrame:
+    """One row per submitted quiz: its questions in order and how many were answered right; answers have keys, number and given."""
+    fields = [c for c in questions.columns if c not in (*keys, "number")]
+    rows = questions.join(answers.select(*keys, "number", "given"), [*keys, "number"])
+    right = F.coalesce(F.lower(F.trim("given")) == F.lower(F.trim("answer")), F.lit(False))
+    held = F.array_sort(F.collect_list(F.struct("number", *fields))).alias("questions")
+    return rows.groupBy(*keys).agg(held, F.count_if(right).alias("correct")).withColumn("created_at", now_ms.cast("long"))
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Adds rows to a history that is only ever appended to."""
+    rows.write.mode("append").parquet(path)
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Empties tables: their schema stays, their rows go."""
+    for path in paths:
+        schema = spark.read.parquet(path).schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def by_time(rows: DataFrame, at: str, tie: str, newest: bool = True) -> DataFrame:
+    """Rows in order of a time: newest first (vocabulary, shelf) or oldest first (blacklist)."""
+    return rows.orderBy(F.desc(at) if newest else F.asc(at), tie)
+
+
+def review_queue(states: DataFrame, now_ms: Column, tie: str) -> DataFrame:
+    """The due words in the order in which they are asked, the longest overdue first."""
+    return by_time(due(states, now_ms), "due_at", tie, newest=False)
+
+
+def session_stats(ratings: DataFrame, keys: list[str]) -> DataFrame:
+    """Per session: words rated, remembered (3 or more), forgotten, and the mean rating."""
+    return ratings.groupBy(*keys).agg(F.count(F.lit(1)).alias("rated"), F.count_if(F.col("quality") >= 3).alias("remembered"), F.count_if(F.col("quality") < 3).alias("forgotten"), F.avg("quality").alias("mean_rating"))

@@ -6,6 +6,9 @@ never theta joins.  Per-document keys are carried by every child table.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +21,59 @@ def match_segments(segments: DataFrame, terms: DataFrame, term: str = "zh") -> D
     return segments.join(terms.select(F.col(term).alias("text")).distinct(), "text", "left_semi").withColumn("source", F.lit("segment"))
 
 
+#: Starts whose substrings are made at once.
+STARTS = 1 << 15
+
+
 def ngrams(docs: DataFrame, keys: list[str], longest: int, shortest: int = 2, text: str = "text", start_class: str = "[\\u4E00-\\u9FFF]", starts: DataFrame | None = None) -> DataFrame:
-    """Rows (keys, start, end, text, left, right): every substring of the given lengths at each allowed start.
+    """Rows (keys, start, end, text): every substring of the given lengths at each allowed start.
 
-    Characters are split once per document; ``starts`` (keys, start) restricts
-    where substrings begin before they are made.
+    ``starts`` (keys, start) restricts where substrings begin.  They are cut in
+    Arrow batches of bounded size, so a text of any length takes its length
+    times the number of lengths.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .structure import Codes
+
+    body = docs.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text"))
+    held = body.withColumn("__starts", F.lit(None).cast("array<int>")) if starts is None else body.join(starts.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("start").cast("int"))).alias("__starts")), keys)
+    allowed = re.compile(start_class)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.arange(shortest, longest + 1)
+        for batch in batches:
+            for i, (body, listed) in enumerate(zip(batch["__text"], batch["__starts"], strict=True)):
+                codes = Codes([body.as_py()])
+                letters, place = np.unique(codes.codes, return_inverse=True)
+                fine = np.array([bool(allowed.fullmatch(chr(c))) for c in letters], bool)[place]
+                at = np.flatnonzero(fine) if not listed.is_valid else (x := listed.values.to_numpy())[fine[x]]
+                for lo in range(0, len(at), STARTS):
+                    part = np.repeat(at[lo : lo + STARTS], len(sizes))
+                    end = part + np.tile(sizes, len(part) // len(sizes))
+                    inside = end <= len(codes.codes)
+                    part, end = part[inside].astype(np.int64), end[inside].astype(np.int64)
+                    own = pa.array(np.full(len(part), i))
+                    yield pa.RecordBatch.from_arrays([*(batch[k].take(own) for k in keys), pa.array(part, pa.int32()), pa.array(end, pa.int32()), codes.cut(part, end)], [*keys, "start", "end", "text"])
+
+    named = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in keys)
+    return held.select(*keys, "__text", "__starts").mapInArrow(run, f"{named}, start int, end int, text string")
+
+
+def with_context(matches: DataFrame, docs: DataFrame, keys: list[str], text: str = "text", reach: int = REACH) -> DataFrame:
+    """Adds left and right, up to ``reach`` characters on either side of each match.
+
+    A document meets its matches as one array, so no match carries its document.
     """
-    letters = docs.select(*keys, F.filter(F.split(F.col(text), ""), lambda c: c != "").alias("c"))
-    each = letters.select(*keys, "c", F.posexplode("c").alias("start", "first")).where(F.col("first").rlike(start_class))
-    if starts is not None:
-        each = each.join(starts.select(*keys, "start").distinct(), [*keys, "start"], "left_semi")
-    sized = each.withColumn("n", F.explode(F.sequence(F.lit(shortest), F.lit(longest)))).where(F.col("start") + F.col("n") <= F.size("c"))
-    cut = lambda first, n: F.array_join(F.slice("c", first + 1, n), "")
-    first, end = F.greatest(F.lit(0), F.col("start") - REACH), F.col("start") + F.col("n")
-    return sized.select(*keys, "start", end.alias("end"), cut(F.col("start"), F.col("n")).alias("text"), cut(first, F.col("start") - first).alias("left"), cut(end, F.lit(REACH)).alias("right"))
+    from .structure import sides_of
+
+    row = F.struct(*[F.col(f"`{c}`") for c in matches.columns if c not in keys])
+    held = matches.groupBy(*keys).agg(F.collect_list(row).alias("__rows"))
+    both = held.join(docs.select(*keys, F.col(text).alias("__text")), keys)
+    cut = sides_of(reach)(F.col("__text"), F.transform("__rows", lambda r: r["start"]), F.transform("__rows", lambda r: r["end"]))
+    each = both.select(*keys, F.explode(F.arrays_zip(F.col("__rows").alias("r"), cut.alias("c"))).alias("x"))
+    return each.select(*keys, "x.r.*", F.col("x.c.left").alias("left"), F.col("x.c.right").alias("right")).select(*matches.columns, "left", "right")
 
 
 def longest_matches(grams: DataFrame, terms: DataFrame, keys: list[str], term: str = "zh") -> DataFrame:

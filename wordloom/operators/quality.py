@@ -144,6 +144,51 @@ def pair_counts(replacements: DataFrame, book: str, top: int = 8) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
+def phonetic_coverage(matches: DataFrame, book: str) -> DataFrame:
+    """Share of each book's matches that have a phonetic."""
+    return matches.groupBy(book).agg(F.count(F.lit(1)).alias("matches"), F.avg((F.coalesce("phonetic", F.lit("")) != "").cast("double")).alias("phonetic_coverage"))
+
+
+def approval_sets(outcomes: DataFrame) -> DataFrame:
+    """Rows (candidate_id, verdict): approved by development (a right attempt in a plain category) or failed in validation (any wrong one)."""
+    tried = outcomes.where("attempted AND predicted_id IS NOT NULL")
+    hit = (F.col("expected_decision") == "replace") & F.coalesce(F.col("predicted_id") == F.col("expected_candidate_id"), F.lit(False))
+    approved = tried.where((F.col("split") == "development") & F.col("category").isin("single-sense", "overlap") & hit).select(F.col("predicted_id").alias("candidate_id"), F.lit("approved").alias("verdict"))
+    failed = tried.where((F.col("split") == "validation") & ~hit).select(F.col("predicted_id").alias("candidate_id"), F.lit("failed").alias("verdict"))
+    return approved.distinct().unionByName(failed.distinct())
+
+
+def corpus_attempts(samples: DataFrame, replacements: DataFrame, path: str, split: str = "blind") -> DataFrame:
+    """One row (books, attempts): replacements in all books that have a sample of a split, each book once."""
+    books = samples.where(F.col("split") == split).select(path).distinct()
+    counted = replacements.groupBy(path).agg(F.count(F.lit(1)).alias("n"))
+    return books.join(counted, path, "left").agg(F.count(F.lit(1)).alias("books"), F.coalesce(F.sum("n"), F.lit(0)).alias("attempts"))
+
+
+def baseline_report(samples: DataFrame, matches: DataFrame, key: str = "id") -> DataFrame:
+    """One row over reviewed blind samples: every exact match counts as an attempt, without the safety gate."""
+    rows = samples.where("annotation_status = 'reviewed' AND split = 'blind'")
+    exact = matches.groupBy(key, "start", "end").agg(F.min(F.struct("candidate_id", "part_of_speech")).alias("m"))
+    met = rows.join(exact, [key, "start", "end"], "left")
+    wanted, tried = F.col("expected_decision") == "replace", F.col("m").isNotNull()
+    right = F.coalesce(wanted & tried & (F.col("m.candidate_id") == F.col("expected_candidate_id")), F.lit(False))
+    spoken = F.coalesce(F.col("expected_part_of_speech") != "", F.lit(False))
+    flags = met.select(wanted.alias("wanted"), tried.alias("attempted"), right.alias("right"), tried.alias("exact"), spoken.alias("has_pos"), (spoken & right & F.coalesce(F.col("m.part_of_speech") == F.col("expected_part_of_speech"), F.lit(False))).alias("right_pos"), F.lit(False).alias("right_keep"))
+    return report(flags, intervals=False).drop("correct_keeps", "abstention_accuracy")
+
+
+def require_coverage(samples: DataFrame, least: int, splits: list[str], categories: list[str]) -> DataFrame:
+    """One row of counts over reviewed samples; raises if there are too few, or if a split or a category is missing."""
+    sums = samples.where("annotation_status = 'reviewed'").agg(F.count(F.lit(1)).alias("reviewed"), F.array_sort(F.collect_set("split")).alias("splits"), F.array_sort(F.collect_set("category")).alias("categories"))
+    fine = (F.col("reviewed") >= least) & (F.col("splits") == F.array_sort(F.array(*[F.lit(x) for x in splits]))) & (F.size(F.array_except(F.array(*[F.lit(x) for x in categories]), "categories")) == 0)
+    return sums.withColumn("reviewed", F.when(fine, F.col("reviewed")).otherwise(F.raise_error(F.lit("the reviewed samples do not cover what is required"))))
+
+
+def proposal(promoted: DataFrame) -> DataFrame:
+    """Promotions in the order of a proposal: most support first, then by id."""
+    return promoted.orderBy(F.desc("development_support"), "candidate_id")
+
+
 def gate(one_report: DataFrame, least: dict[str, float]) -> DataFrame:
     """The report with ``passed``: every named figure reaches its least value."""
     passed: Column = F.lit(True)

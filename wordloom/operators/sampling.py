@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import piece
+
 # Categories of samples, in the order in which they are served.
 CATEGORIES = ("multiple-meaning", "multiple-pos", "overlap", "floating-boundary", "person-name", "book-title", "fixed-phrase", "single-sense")
 
@@ -64,6 +66,26 @@ def hash_ordered(candidates: DataFrame, keys: list[str], count: int, seed: str,
     return rows.withColumn("ordinal", ordinal - 1).where(F.col("ordinal") < count).drop("__own", "__any", "__r")
 
 
+#: Characters on either side of a sample that go with it.
+MARGIN = 80
+
+
+def sample_id(fingerprint: Column, start: Column, end: Column) -> Column:
+    return F.concat_ws("-", F.left(fingerprint, F.lit(12)), start.cast("string"), end.cast("string"))
+
+
+def with_margin(samples: DataFrame, text: Column, start: str = "start", end: str = "end", margin: int = MARGIN) -> DataFrame:
+    """Adds context_start, context_end and context, the text around each sample."""
+    first, last = F.greatest(F.lit(0), F.col(start) - margin), F.least(F.length(text), F.col(end) + margin)
+    return samples.withColumn("context_start", first).withColumn("context_end", last).withColumn("context", piece(text, F.col("context_start"), F.col("context_end")))
+
+
+def new_candidates(candidates: DataFrame, samples: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
+    """Candidates (fingerprint, start, end) whose sample id is not in the manifest yet."""
+    named = candidates.withColumn("id", sample_id(F.col(fingerprint), F.col("start"), F.col("end")))
+    return named.join(samples.select("id").distinct(), "id", "left_anti")
+
+
 def annotation_pack(pool: DataFrame, limit: int, order: list[str], n_categories: int) -> DataFrame:
     """At most ``limit`` samples, systematic per category with quota ceil(limit / categories), then the first others."""
     everywhere = pool.withColumn("__all", F.lit(0))

@@ -73,6 +73,23 @@ def match_spans(pattern: str, reach: int = 0):
     return found
 
 
+def sides_of(reach: int):
+    """A column function (text, starts, ends): what stands on either side of each span, as array<struct<left, right>>."""
+    kind = StructType([StructField("left", StringType()), StructField("right", StringType())])
+
+    @arrow_udf(ArrayType(kind))
+    def cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        held = Codes(text.to_pylist())
+        sizes = np.diff(starts.offsets.to_numpy())
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        low, high = held.starts[own], held.ends[own]
+        first, last = starts.flatten().to_numpy() + low, ends.flatten().to_numpy() + low
+        sides = pa.StructArray.from_arrays([held.cut(np.maximum(low, first - reach), first), held.cut(last, np.minimum(high, last + reach))], names=kind.names)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), sides)
+
+    return cut
+
+
 @arrow_udf(ArrayType(SPAN))
 def literal_spans(text: pa.Array, term: pa.Array) -> pa.Array:
     """The non-overlapping occurrences of a term; none for an empty term."""

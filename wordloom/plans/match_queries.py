@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.context import candidate_id
 from wordloom.functions.text import REACH, ascii_lower
-from wordloom.operators import lexicon, matching, resolve, selection, structure
+from wordloom.operators import lexicon, matching, reader, resolve, selection, structure
 from wordloom.plans.staging import Workspace
 
 from .inputs import SQL_LEX, SQL_LOW, SQL_SEG, lexicon as derived_lexicon, low_docs, table
@@ -231,6 +231,25 @@ def q_uncertain_starts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.uncertain_starts(structure.words(docs, KEYS), derived_lexicon(docs), KEYS, 8, script="[a-z]").select("doc_id", "start")
 
 
+def q_find_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reader's whole search: overrides, blacklist, policy, title, both paths and the scan of documents without matches.
+
+    The title of a document is its first word of three letters or more.  Terms
+    of 5 letters are overridden, of 4 with a t in front blacklisted, of 7
+    blocked, and of 6 need " of" or " and" to their right.
+    """
+    docs = Workspace(spark, "docs").write(low_docs(spark, sf_dir).select("doc_id", "text", F.regexp_extract("text", "[a-z]{3,}", 0).alias("title")), "docs")
+    entries = Workspace(spark, "lexicon").write(derived_lexicon(docs), "entries")
+    terms = entries.select("zh").distinct()
+    none = entries.schema["context_rules"].dataType
+    overrides = terms.where("length(zh) = 5").select("zh", F.concat(F.lit("curated "), "zh").alias("en"), F.lit("noun").alias("part_of_speech"), F.col("zh").alias("meaning"), F.lit("").alias("phonetic"), F.lit(1).alias("priority"), F.array().cast(none).alias("context_rules"), F.array().cast("array<string>").alias("context_hints"), F.lit(1).alias("ord"))
+    blacklist = terms.where("zh rlike '^t...$'").select(F.col("zh").alias("term"))
+    allow = F.array(*[F.struct(F.lit("rightPrefix").alias("kind"), F.lit(x).alias("value")) for x in (" of", " and")])
+    policy = terms.where("length(zh) IN (6, 7)").select(F.col("zh").alias("term"), F.when(F.length("zh") == 7, "blocked").otherwise("contextual").alias("mode"), F.when(F.length("zh") == 6, allow).alias("allow"))
+    found = reader.find_terms(docs, KEYS, entries, title="title", overrides=overrides, blacklist=blacklist, policy=policy, segments=structure.words(docs, KEYS), production=F.expr(PRODUCTION), script="[a-z]", ends=".!?")
+    return found.select("doc_id", "start", F.col("end").alias("stop"), "text", "en", "part_of_speech", "reason", "confidence", "source", "boundary_confidence", "context_evidence", "sentence")
+
+
 def q_match_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.operators.quality import diagnostics
 
@@ -255,7 +274,7 @@ def q_candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     q_lexicon_dedup, q_lexicon_overrides, q_overlap_terms, q_token_match, q_blacklist_anti, q_longest_match, q_longest_match_documents, q_boundary_confidence, q_candidate_select, q_context_rules,
     q_category_for, q_interval_antijoin, q_asof_sentence, q_overlap_components, q_overlap_resolve, q_match_score, q_round_robin_rank, q_capped_pool, q_density_prefix,
-    q_safe_replacements, q_render_tokens, q_quiz_questions, q_uncertain_starts, q_uncertain_starts_documents, q_match_diagnostics, q_sample_windows, q_candidate_ids,
+    q_safe_replacements, q_render_tokens, q_quiz_questions, q_uncertain_starts, q_uncertain_starts_documents, q_find_terms, q_match_diagnostics, q_sample_windows, q_candidate_ids,
 )}
 
 _HARD = r"[\s，。！？；：、“”‘’（）《》【】\-—…,.!?;:()\[\]{}\"'']"
@@ -296,7 +315,34 @@ pool AS (SELECT o.*, pool_rank, n FROM offered o JOIN taken USING (doc_id, turn)
 _SHOWN = f"{_POOL}, shown AS (SELECT * FROM pool WHERE pool_rank <= greatest(1, floor(n * (2.0::DOUBLE / 3) + 0.5::DOUBLE)))"
 _BLANK = "CASE WHEN instr({0}, {1}) > 0 THEN substr({0}, 1, instr({0}, {1}) - 1) || '____' || substr({0}, instr({0}, {1}) + length({1})) ELSE {0} END"
 
+_EVIDENT = """(starts_with(substr(body, "end" + 1, 14), ' of') OR starts_with(substr(body, "end" + 1, 14), ' and'))"""
+_FIND = rf"""{_BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, {_SENTENCES},
+black AS (SELECT zh FROM terms WHERE regexp_matches(zh, '^t...$')),
+entry AS (SELECT zh, en, part_of_speech, ord = 2 AS ruled FROM lex WHERE length(zh) <> 5 UNION ALL SELECT zh, 'curated ' || zh, 'noun', FALSE FROM terms WHERE length(zh) = 5),
+dict AS (SELECT * FROM entry WHERE zh NOT IN (SELECT zh FROM black) AND en NOT IN (SELECT zh FROM black)),
+known AS (SELECT zh, max(en) FILTER (NOT ruled) AS plain, max(part_of_speech) FILTER (NOT ruled) AS pos, max(en) FILTER (ruled) AS other FROM dict GROUP BY zh),
+tt AS (SELECT doc_id, text, regexp_extract(text, '[a-z]{{3,}}') AS title FROM low WHERE regexp_matches(text, '[a-z]{{3,}}')),
+tl AS (SELECT doc_id, title, string_split(text, title) AS l FROM tt), tp AS (SELECT doc_id, title, len(l) AS m, unnest(l) AS t, unnest(range(0, len(l))) AS k FROM tl),
+rg AS (SELECT * FROM (SELECT doc_id, k, m, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) + k * length(title) AS s, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) + (k + 1) * length(title) AS e FROM tp) WHERE k < m - 1),
+gram AS (SELECT doc_id, start AS word, text AS whole, start + d AS start, start + d + n AS "end", substr(text, d + 1, n) AS text FROM (SELECT *, unnest(range(0, length(text))) AS d FROM seg), (SELECT unnest(range(2, 9)) AS n) WHERE d + n <= length(text)),
+hit AS (SELECT g.*, whole IN (SELECT zh FROM known) AND length(whole) <= 8 AS listed, low.text AS body FROM gram g SEMI JOIN known ON g.text = known.zh JOIN low USING (doc_id)),
+free AS (SELECT h.*, CASE WHEN h.start = 0 THEN '' ELSE substr(body, h.start, 1) END AS lc, substr(body, h."end" + 1, 1) AS rc, substr(body, h."end" + 1, 4) = ' the' AS nx FROM hit h
+  WHERE NOT EXISTS (SELECT 1 FROM rg WHERE rg.doc_id = h.doc_id AND h.start < rg.e AND h."end" > rg.s) AND length(h.text) <> 7 AND (length(h.text) <> 6 OR {_EVIDENT})),
+rated AS (SELECT f.doc_id, word, whole, listed, f.start, f."end", f.text, 2 - (CASE WHEN lc = '' OR regexp_matches(lc, '{_HARD}') THEN 1 ELSE 0 END) - (CASE WHEN rc = '' OR regexp_matches(rc, '{_HARD}') THEN 1 ELSE 0 END) AS bc,
+  CASE WHEN other IS NOT NULL AND nx OR plain IS NULL THEN other ELSE plain END AS en, CASE WHEN other IS NOT NULL AND nx OR plain IS NULL THEN 'noun' ELSE pos END AS part_of_speech, CASE WHEN other IS NOT NULL AND nx THEN 'context' ELSE 'priority' END AS reason FROM free f JOIN known ON f.text = zh),
+first AS (SELECT *, 'segment' AS source FROM rated WHERE text = whole UNION ALL SELECT *, 'scan' FROM rated WHERE NOT listed AND length(whole) <= 8),
+every AS (SELECT * FROM first UNION ALL SELECT *, 'scan' FROM rated WHERE doc_id NOT IN (SELECT doc_id FROM first) AND (NOT listed OR text = whole)),
+o AS (SELECT *, 100 + CASE WHEN source = 'segment' THEN 8 ELSE 0 END + (2 - bc) * 8 + 25 * least(length(text), 6) * least(length(text), 6) AS worth, row_number() OVER (PARTITION BY doc_id, word ORDER BY "end", start) AS k FROM every),
+p AS (SELECT a.doc_id, a.word, a.k, any_value(a.worth) AS worth, count(b.k) AS prior FROM o a LEFT JOIN o b ON a.doc_id = b.doc_id AND a.word = b.word AND b."end" <= a.start GROUP BY 1, 2, 3),
+r AS (SELECT doc_id, word, 0::BIGINT AS k, [{{'v': 0::BIGINT, 'c': []::BIGINT[]}}] AS best FROM p WHERE k = 1
+  UNION ALL SELECT p.doc_id, p.word, p.k, list_append(best, CASE WHEN p.worth + best[p.prior + 1].v > best[p.k].v THEN {{'v': (p.worth + best[p.prior + 1].v)::BIGINT, 'c': list_append(best[p.prior + 1].c, p.k)}} ELSE best[p.k] END) FROM r JOIN p ON p.doc_id = r.doc_id AND p.word = r.word AND p.k = r.k + 1),
+chosen AS (SELECT doc_id, word, unnest(max_by(best[k + 1].c, k)) AS k FROM r GROUP BY 1, 2)
+SELECT o.doc_id, o.start::INTEGER AS start, o."end"::INTEGER AS stop, o.text, en, part_of_speech, reason, 'high' AS confidence, source, bc::INTEGER AS boundary_confidence, length(o.text) = 6 AS context_evidence, coalesce(sentence, '') AS sentence
+FROM o JOIN chosen USING (doc_id, word, k) LEFT JOIN so ON so.doc_id = o.doc_id AND o.start >= so.s AND o."end" <= so.e
+"""
+
 ORACLES = {
+    "q_find_terms": _FIND,
     "q_lexicon_dedup": """
 WITH r AS (SELECT lower(regexp_extract(o_orderpriority, '[A-Z]+')) AS zh, o_orderstatus AS en, o_orderpriority AS part_of_speech, o_orderkey AS ord FROM orders)
 SELECT zh, en, part_of_speech, min(ord) AS ord, zh || ':' || en || ':' || part_of_speech AS candidate_id FROM r GROUP BY 1, 2, 3
