@@ -235,6 +235,41 @@ def test_line_dedup_of_clashing_names_and_long_texts(spark):
     assert sorted(r.lost for r in other.collect()) == [0, 20001, 20001]
 
 
+def test_defined_cases_of_text_operators(spark):
+    """Null, empty, very long and repeated texts, null keys, clashing columns, empty tables."""
+    rng = random.Random(31)
+    long = " ".join(rng.choice(["alpha", "Beta,", "x@y.example", "12", "é", "|"]) + str(rng.randint(0, 9)) for _ in range(120_000))
+    rows = [(1, None), (2, ""), (3, long), (4, "one two\nthree"), (4, "one two\nthree"), (None, "one two\nthree"), (5, "one two\nthree")]
+    table = docs(spark, rows)
+    words = WORD.findall(long)
+    book = quality_rules.judge(quality_rules.ledger(table)).collect()
+    by = {r.doc_id: r for r in book}
+    assert len(book) == 7 and by[3].n_words == len(words) and by[3].n_repeat_words == count_repeats(words) and by[1].n_words == by[2].n_words == 0
+    assert by[4][1:] == by[5][1:] == by[None][1:] and quality_rules.ledger(table.limit(0)).count() == 0
+    assert quality_rules.ablate(quality_rules.ledger(table.limit(0))).count() == 0
+    found = pii.find_pii(table).collect()
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found}
+    assert len(found) == 7 and [s for s in spans[3] if s[0] in BASE] == base_spans(long) and spans[1] == spans[2] == spans[4] == []
+    assert pii.find_pii(table.limit(0)).count() == 0 and pii.redact(table.limit(0)).columns == table.columns
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer = bpe.WordTable(path).tokenizer
+    ids = bpe.encode_decode(table, path).collect()
+    assert len(ids) == 7 and all(r.ids == tokenizer.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids for r in ids)
+    packed = packing.pack(table, tokenizer_path("byte_bpe_50k.json")).collect()
+    assert sorted(r.length for r in packed if r.doc_id in (1, 2)) == [1, 1] and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    assert sum(r.doc_id == 4 for r in packed) == 2 and sum(r.doc_id is None for r in packed) == 1
+    forms = {r.doc_id: r for r in license_scan.scan_licenses(table).collect()}
+    assert forms[3].license_id is None and forms[1].digest is None and forms[4].digest == forms[5].digest
+
+
+def test_components_where_texts_share_an_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    table = docs(spark, [(5, a), (5, b), (5, b), (7, a), (3, b + " tail"), (9, b), (8, "one two"), (8, None)])
+    got = sorted((r.doc_id, r.n_shingles, r.set_id, r.component_id) for r in jaccard_join.jaccard_components(table).collect())
+    assert got == [(3, 37, 3, 3), (5, 36, 5, 3), (5, 36, 5, 3), (5, 36, 5, 5), (7, 36, 5, 5), (8, 0, 8, 8), (8, 1, 8, 8), (9, 36, 5, 3)]
+    assert {r.doc_id for r in jaccard_join.keep_one(table).collect()} == {3, 5, 8}
+
+
 def test_license_scan(spark):
     mit = license_scan.LICENSES["MIT"]
     styled = "The MIT text\nCopyright (c) 2020 Someone\n".split("\n", 1)[1] + mit.lower().replace("software", "Software").replace(" ", "\n  ").replace("sublicense", "sub licence")

@@ -20,9 +20,10 @@ document, takes ``jaccard_links`` or ``link_counts``, which test all pairs of a
 bucket.
 
 Defined cases: null or word-less texts have size 0 and are linked with nothing;
-a repeated row gives a repeated result row (rows that share a doc_id are taken
-to share the text); rows with a null doc_id are counted, form no links and keep
-a null component.  Columns beyond key and text are not read.
+a repeated row gives a repeated result row; where rows share a doc_id but not the
+text, each row is a document of its own that has that doc_id; rows with a null
+doc_id are counted, form no links and keep a null component; texts are used
+whole, however long.  Columns beyond key and text are not read.
 """
 
 from __future__ import annotations
@@ -216,6 +217,13 @@ class _Buckets:
     nodes: DataFrame  # rep, n, sketch: one row per class
     texts: DataFrame  # doc_id, text of the input
     shared: DataFrame  # sig, rep, b: the classes of each shared signature, and its smallest class
+    names: DataFrame | None  # doc_id, real: own numbers of rows whose doc_id other texts have too
+
+    def real(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows with the documents' own ids in these columns."""
+        for c in columns if self.names is not None else ():
+            rows = rows.join(self.names.select(F.col("doc_id").alias(c), F.col("real").alias("__real")), c, "left").withColumn(c, F.coalesce("__real", c)).drop("__real")
+        return rows
 
 
 def _hot_signatures(signed: Callable[[DataFrame], DataFrame], texts: DataFrame, work: Workspace) -> DataFrame:
@@ -232,6 +240,15 @@ def _sign(docs: DataFrame, key: str, text: str) -> _Buckets:
     work = Workspace(docs.sparkSession, "jaccard")
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     light = work.write(source.mapInArrow(_fingerprints, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
+    own, names = F.struct("n_shingles", "h1", "h2"), None
+    unlike = light.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("doc_id")
+    unlike = work.write(unlike, "unlike")
+    if not unlike.isEmpty():  # rows of these documents get a number of their own, below zero
+        node = F.when(F.col("odd"), -F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) - 1).otherwise(F.col("doc_id"))
+        source = source.join(broadcast_if_few(unlike).withColumn("odd", F.lit(True)), "doc_id", "left").select(node.alias("doc_id"), "text", F.col("doc_id").alias("real"))
+        names = work.write(source.where("doc_id <> real").select("doc_id", "real").distinct(), "names")
+        source = source.drop("real")
+        light = work.write(source.mapInArrow(_fingerprints, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
     named = light.where("n_shingles > 0 and doc_id is not null")
     sets = work.write(named.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a hot class can be split in the join
     members = work.write(named.join(sets, ["n_shingles", "h1", "h2"]).select("doc_id", "rep", F.col("n_shingles").alias("n")), "members")
@@ -250,7 +267,7 @@ def _sign(docs: DataFrame, key: str, text: str) -> _Buckets:
     # ... and then the smallest of all its salts is found from one row per salt and task.
     first = work.write(met.where("salt >= 0").groupBy("sig").agg(F.min("b").alias("first"), F.max("rep").alias("top")).where("first < top").select("sig", "first"), "first")
     spread = met.where("salt >= 0").join(broadcast_if_few(first), "sig").select("sig", "rep", F.col("first").alias("b"))
-    return _Buckets(work, light.select("doc_id", "n_shingles"), members, nodes, texts, met.where("salt < 0").select("sig", "rep", "b").unionByName(spread))
+    return _Buckets(work, light.select("doc_id", "n_shingles"), members, nodes, texts, met.where("salt < 0").select("sig", "rep", "b").unionByName(spread), names)
 
 
 def _bucket_pairs(found: _Buckets, label: DataFrame | None) -> DataFrame:
@@ -303,7 +320,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     root = whole.select(F.col("node").alias("rep"), F.col("root").alias("component_id"))
     known = found.members.select("doc_id", "rep").distinct().join(root, "rep", "left").select("doc_id", "rep", F.coalesce("component_id", "rep").alias("component_id"))
-    out = found.sizes.join(known, "doc_id", "left")
+    if found.names is not None:  # the smallest id of a class or component is that of its members' own ids
+        held = found.real(known.withColumn("own", F.col("doc_id")), "own")
+        for c in ("rep", "component_id"):
+            least = work.write(held.groupBy(c).agg(F.min("own").alias("least")), "least")
+            known = known.join(least, c).withColumn(c, F.col("least")).drop("least")
+    out = found.real(found.sizes.join(known, "doc_id", "left"), "doc_id")
     return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -314,7 +336,8 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     a component, so it costs what the number of links costs.
     """
     found = _sign(docs, key, text)
-    return _links(found, _bucket_pairs(found, None)), found.members.select("doc_id", F.col("rep").alias("set_id"), F.col("n").alias("n_shingles")).distinct()
+    members = found.members.select("doc_id", F.col("rep").alias("set_id"), F.col("n").alias("n_shingles")).distinct()
+    return found.real(_links(found, _bucket_pairs(found, None)), "a", "b"), found.real(members, "doc_id", "set_id")
 
 
 def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,7 +354,10 @@ def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without near copies: of each component the row with the smallest doc_id stays."""
-    found = jaccard_components(docs)
-    gone = Workspace(docs.sparkSession, "copies").write(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    """Documents without near copies: of each component the rows with the smallest doc_id stay.
+
+    A document that has several texts stays if one of them does.
+    """
+    found = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("copy"))
+    gone = Workspace(docs.sparkSession, "copies").write(found.where("copy").select("doc_id"), "gone")
     return docs.join(broadcast_if_few(gone), "doc_id", "left_anti")

@@ -12,8 +12,10 @@ written partition, so no length is gathered in one task.
 
 Defined cases: a null or empty text is a document of one token (the closing
 id); a document longer than a sequence is cut into full sequences with the
-short piece first; repeated rows are packed as documents of their own; an empty
-table gives no rows.
+short piece first, however long; repeated rows are packed as documents of their
+own; of bins that fit equally well the one made first is taken, and pieces of
+one length are placed in the order of their written partitions; an empty table
+gives no rows.  Columns beyond key and text are not read.
 """
 
 from __future__ import annotations
