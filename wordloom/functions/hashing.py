@@ -48,5 +48,5 @@ def group_digest(members: Column, joiner: str = ":", digits: int = 16) -> Column
 
 
 def set_fingerprint(members: Column) -> Column:
-    """SHA-256 of the sorted members, one a line."""
+    """SHA-256 of the sorted members, one a line; a digest of a sequence needs all members in one task."""
     return F.sha2(F.array_join(F.array_sort(members), "\n"), 256)

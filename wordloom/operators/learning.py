@@ -29,7 +29,11 @@ def review(state: Column, quality: Column, now_ms: Column) -> Column:
 
 
 def fold_reviews(events: DataFrame, keys: list[str], at: str = "at_ms", quality: str = "quality", tie: str = "event_id") -> DataFrame:
-    """The state of each key after all its reviews, in order of time and tie."""
+    """The state of each key after all its reviews, in order of time and tie.
+
+    A fold needs a key's reviews in order in one task; a key is one word of one
+    reader.
+    """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(quality).alias("q"))))
     held = events.where(F.col(at).isNotNull() & F.col(quality).isNotNull()).groupBy(*keys).agg(ordered.alias("log"))
     state = F.aggregate("log", first_state(F.get("log", F.lit(0))["at"]), lambda s, e: review(s, e["q"], e["at"]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import piece
+from wordloom.plans.staging import Workspace
 
 # Categories of samples, in the order in which they are served.
 CATEGORIES = ("multiple-meaning", "multiple-pos", "overlap", "floating-boundary", "person-name", "book-title", "fixed-phrase", "single-sense")
@@ -86,11 +87,35 @@ def new_candidates(candidates: DataFrame, samples: DataFrame, fingerprint: str =
     return named.join(samples.select("id").distinct(), "id", "left_anti")
 
 
+def _ranked(pool: DataFrame, order: list[str], group: str) -> DataFrame:
+    """Adds __i, the 0-based rank of each row in its group, and __n, the group's size.
+
+    Rows are written in a range partition over (group, order); a rank is the
+    place inside the part plus the rows of the group in the parts before, so a
+    group of any size is ranked by many tasks.
+    """
+    work = Workspace(pool.sparkSession, "ranks")
+    keys = [F.col(c) for c in (group, *order)]
+    parts = work.write(pool.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "parts")
+    counts = parts.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__m"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.withColumn("__off", F.coalesce(F.sum("__m").over(before), F.lit(0))).withColumn("__n", F.sum("__m").over(Window.partitionBy(group))).drop("__m")
+    place = F.row_number().over(Window.partitionBy("__part", group).orderBy(*order))
+    ranked = parts.withColumn("__k", place).join(sums, [group, "__part"])
+    return ranked.withColumn("__i", F.col("__k") - 1 + F.col("__off")).drop("__part", "__k", "__off")
+
+
 def annotation_pack(pool: DataFrame, limit: int, order: list[str], n_categories: int) -> DataFrame:
-    """At most ``limit`` samples, systematic per category with quota ceil(limit / categories), then the first others."""
-    everywhere = pool.withColumn("__all", F.lit(0))
-    picked = systematic(everywhere, ["__all"], F.lit(-(-limit // max(1, n_categories))), order).withColumn("__stage", F.lit(0))
-    rest = everywhere.join(picked.select(*order), order, "left_anti").withColumn("pick", F.lit(0).cast("long")).withColumn("__stage", F.lit(1))
+    """At most ``limit`` samples, systematic per category with quota ceil(limit / categories), then the first others.
+
+    No category is null.  ``order`` is a total order, but for equal rows.
+    """
+    quota = F.lit(-(-limit // max(1, n_categories)))
+    rows = _ranked(pool, order, "category")
+    pick = F.ceil(F.col("__i") * quota / F.col("__n")).cast("long")
+    hit = (pick < F.least(quota, F.col("__n"))) & (F.floor(pick * F.col("__n") / quota) == F.col("__i"))
+    picked = rows.where(hit).withColumn("pick", pick).drop("__i", "__n").withColumn("__stage", F.lit(0))
+    rest = pool.join(picked.select(*order).distinct(), order, "left_anti").withColumn("pick", F.lit(0).cast("long")).withColumn("__stage", F.lit(1))
     both = picked.unionByName(rest.select(picked.columns))
     top = both.orderBy("__stage", F.when(F.col("__stage") == 0, F.col("category")), "pick", *order).limit(limit)
-    return top.drop("__all", "__stage", "pick")
+    return top.drop("__stage", "pick")
