@@ -474,7 +474,8 @@ def paired_texts(rows):
             gone = set()
             for j in near:
                 shared = html_text.shared_lines([x for _, x in lines], [x for _, x in mine[j][2]])
-                if sum(len(lines[n][1]) for n in shared) < 0.8 * sum(len(x) for _, x in lines):
+                left = [len(x) * (role != OUT) for role, x in lines]
+                if sum(left[n] for n in shared) < 0.8 * sum(left):
                     gone = {n for n in shared if lines[n][0] != KEEP}
                     break
             out[i] = ("\n".join(x for n, (role, x) in enumerate(lines) if role != OUT and n not in gone), len(gone))

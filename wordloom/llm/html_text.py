@@ -13,10 +13,10 @@ A page becomes lines, one per block element, and structure gives each a role:
 Differencing runs on every page.  The pages of a host are ordered by (path, key),
 each is paired with the page before or after it whose path shares the longer
 prefix, and the lines of both are aligned by longest common subsequence.  Shared
-lines are deleted unless they are KEEP.  A neighbour that shares nearly all of a
-page (COPY of its characters) is a copy and tells nothing: the other neighbour is
-taken, and where both are copies no line is deleted.  Of the lines that are not
-shared, structure leaves out those that are OUT.
+lines are deleted unless they are KEEP.  A neighbour that shares nearly all of
+what structure would leave of a page (COPY of its characters) is a copy and tells
+nothing: the other neighbour is taken, and where both are copies no line is
+deleted.  Of the lines that are not shared, structure leaves out those that are OUT.
 
 Lines travel as 64-bit digests with role and size.  The order is a range
 partition over (host, path, key, digest), so no host and no path is gathered in
@@ -50,7 +50,7 @@ from wordloom.plans.names import fresh
 from wordloom.plans.staging import Workspace
 
 KEEP, OPEN, OUT = 0, 1, 2
-#: Share of a page's characters from which on a neighbour is a copy of it.
+#: Share of the characters of a page's KEEP and OPEN lines from which on a neighbour is a copy of it.
 COPY = 0.8
 #: Pairs of equal lines up to which an alignment is found directly.
 MATCHES = 1 << 20
@@ -291,10 +291,10 @@ def _gone(page: dict, before: dict | None, after: dict | None) -> list[int]:
     are as near; copies of the page are passed over.
     """
     near = sorted((x for x in (before, after) if x is not None), key=lambda x: -_prefix(page["path"], x["path"]))
-    whole = sum(page["sizes"])
+    left = [0 if role == OUT else size for role, size in zip(page["roles"], page["sizes"], strict=True)]
     for other in near:
         shared = shared_lines(page["codes"], other["codes"])
-        if sum(page["sizes"][i] for i in shared) < COPY * whole:
+        if sum(left[i] for i in shared) < COPY * sum(left):
             return sorted(i for i in shared if page["roles"][i] != KEEP)
     return []
 
