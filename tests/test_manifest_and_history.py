@@ -48,6 +48,21 @@ def test_interval_tests_equal_brute_force(spark, exact):
     assert matching.outside(frame(matches), frame(ranges).limit(0), KEYS, allow_exact=exact).count() == len(matches)
 
 
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(8)
+    segments, at = [], 0
+    for k in range(40):
+        size = rng.randint(1, 10)
+        segments.append((rng.randint(0, 1), f"t{size}", at, at + size))
+        at += size + rng.randint(0, 2)
+    matches = [(d, (s := rng.randint(0, at)), s + rng.randint(1, 6), "m") for d in (0, 1) for _ in range(120)]
+    terms = spark.createDataFrame([(f"t{n}",) for n in (3, 5, 6, 9)], "zh string")
+    got = matching.not_contained(spark.createDataFrame(matches, "doc_id int, start int, end int, text string"), spark.createDataFrame(segments, "doc_id int, text string, start int, end int"), terms, KEYS)
+    held = [x for x in segments if x[1] in ("t3", "t5", "t6")]
+    want = [m for m in matches if not any(d == m[0] and a <= m[1] and e >= m[2] and (a, e) != m[1:3] for d, _, a, e in held)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_default_policy(spark):
     modes = {r.zh: r.mode for r in lexicon.with_mode(spark.createDataFrame([("给小",), ("把手",), ("选择",)], "zh string"), lexicon.default_policy(spark)).collect()}
     assert modes == {"给小": "blocked", "把手": "contextual", "选择": "stable"}

@@ -94,7 +94,8 @@ def outside(matches: DataFrame, ranges: DataFrame, keys: list[str], allow_exact:
     largest end of all ranges that start before a match ends.
     """
     if allow_exact:
-        at = _positions(matches, *keys, "start", "end").distinct()
+        near = matches.join(ranges.select(*keys).distinct(), keys, "left_semi")  # few documents have such ranges
+        at = _positions(near, *keys, "start", "end").distinct()
         held = _positions(ranges.select(*keys, "start", "end", F.col("start").alias("rs"), F.col("end").alias("re")), *keys, "rs", "re").distinct()
         hit = at.join(held, [*keys, "pos"]).where("NOT (start = rs AND end = re)")
         return matches.join(hit.select(*keys, "start", "end").distinct(), [*keys, "start", "end"], "left_anti")
@@ -107,11 +108,20 @@ def outside(matches: DataFrame, ranges: DataFrame, keys: list[str], allow_exact:
 
 
 def not_contained(matches: DataFrame, segments: DataFrame, terms: DataFrame, keys: list[str], most: int = 8, term: str = "zh") -> DataFrame:
-    """Matches that lie strictly inside no dictionary segment of at most so many characters."""
+    """Matches that lie strictly inside no dictionary segment of at most so many characters.
+
+    Segments of a document don't overlap, so the last one that starts no later
+    than a match is the only one that can hold it.
+    """
     long = segments.where(F.col("end") - F.col("start") <= most).join(terms.select(F.col(term).alias("text")).distinct(), "text", "left_semi")
-    held = _positions(long.select(*keys, "start", "end", F.col("start").alias("rs"), F.col("end").alias("re")), *keys, "rs", "re")
-    hit = matches.select(*keys, "start", "end", F.col("start").alias("pos")).join(held, [*keys, "pos"]).where("re >= end AND (rs < start OR re > end)")
-    return matches.join(hit.select(*keys, "start", "end").distinct(), [*keys, "start", "end"], "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in matches.columns])
+    asked = matches.select(*keys, F.col("start").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("struct<s:int,e:int>").alias("__seg"), row.alias("__row"))
+    span = F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"))
+    held = long.select(*keys, F.col("start").alias("__at"), F.lit(0).alias("__kind"), span.alias("__seg"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
+    last = F.last("__seg", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    placed = asked.unionByName(held).withColumn("__seg", last).where("__kind = 1")
+    inside = (F.col("__seg.e") >= F.col("__row.end")) & ((F.col("__seg.s") < F.col("__row.start")) | (F.col("__seg.e") > F.col("__row.end")))
+    return placed.where(~F.coalesce(inside, F.lit(False))).select("__row.*")
 
 
 def containing(points: DataFrame, intervals: DataFrame, keys: list[str], value: str = "text", out: str = "sentence") -> DataFrame:

@@ -120,7 +120,7 @@ def q_listed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fragment_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "part").select(F.substring("p_brand", 1, 2).alias("zh"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("meaning"))
-    return lexicon.fragment_warnings(entries, ["STEEL", "LARGE.", "BRASS"]).select("zh", "ord")
+    return lexicon.fragment_warnings(entries, ["STANDARD", "LARGE", "SMALL."]).select("zh", "ord")
 
 
 def q_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ SELECT *, {_RATIO.format('correct_segments', 'actual_replacements')} AS segmenta
     "q_sample_contexts": "WITH s AS (SELECT doc_id, text, greatest(0, doc_id % 200 - 80)::INTEGER AS context_start, least(length(text), doc_id % 200 + 83)::INTEGER AS context_end FROM documents) SELECT doc_id, context_start, context_end, md5(substr(text, context_start + 1, greatest(0, context_end - context_start))) AS digest FROM s",
     "q_repartition": f"SELECT doc_id, quality, 'g' || doc_id % 11 AS group_id, {_SPLIT8.format(chr(39) + 'g' + chr(39) + ' || doc_id % 11')} AS split FROM labels",
     "q_listed_ids": "SELECT p_brand || ':' || p_type || ':' || pos AS candidate_id, count(*)::BIGINT AS n FROM part, (VALUES ('noun'), ('verb')) AS v(pos) GROUP BY 1",
-    "q_fragment_warnings": "SELECT substr(p_brand, 1, 2) AS zh, p_partkey AS ord FROM part WHERE contains(p_type, 'STEEL') OR contains(p_type, 'LARGE.') OR contains(p_type, 'BRASS')",
+    "q_fragment_warnings": "SELECT substr(p_brand, 1, 2) AS zh, p_partkey AS ord FROM part WHERE contains(p_type, 'STANDARD') OR contains(p_type, 'LARGE') OR contains(p_type, 'SMALL.')",
     "q_modes": f"WITH {SQL_LOW}, {SQL_LEX} SELECT DISTINCT zh, CASE length(zh) WHEN 7 THEN 'blocked' WHEN 6 THEN 'contextual' ELSE 'stable' END AS mode FROM lex",
     "q_grouped_senses": f"WITH {SQL_LOW}, {SQL_LEX} SELECT zh, count(*)::BIGINT AS n, string_agg(en, '|' ORDER BY ord) AS en FROM lex GROUP BY zh",
     "q_max_key_length": f"WITH {SQL_LOW}, {SQL_LEX} SELECT greatest(coalesce(max(length(zh)), 2), 2)::INTEGER AS longest FROM lex",
