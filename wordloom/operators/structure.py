@@ -8,6 +8,7 @@ UDF gives the spans; it reads a text once and cuts at known places.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -49,18 +50,52 @@ class Codes:
         return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
 
 
-def _lists(rows: list[list[tuple[int, int]]], texts: list[str | None], reach: int) -> pa.Array:
-    """One list of spans per text, with up to ``reach`` characters on either side."""
+def _spans(rows: list[list[tuple[int, int]]], texts: list[str | None], reach: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """How many spans each text has, and the columns of SPAN of all of them."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     flat = np.fromiter(chain.from_iterable(chain.from_iterable(rows)), np.int64, 2 * int(sizes.sum())).reshape(-1, 2)
     held, own = Codes(texts), np.repeat(np.arange(len(rows)), sizes)
     low, high = held.starts[own], held.ends[own]
     starts, ends = flat[:, 0] + low, flat[:, 1] + low
     sides = [held.cut(np.maximum(low, starts - reach), starts), held.cut(ends, np.minimum(high, ends + reach))]
-    columns = [held.cut(starts, ends), pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32()), *sides]
+    return sizes, [held.cut(starts, ends), pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32()), *sides]
+
+
+def _lists(rows: list[list[tuple[int, int]]], texts: list[str | None], reach: int) -> pa.Array:
+    """One list of spans per text, with up to ``reach`` characters on either side."""
+    sizes, columns = _spans(rows, texts, reach)
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.StructArray.from_arrays(columns, names=SPAN.names))
 
 
+#: Characters of text whose spans are made at once.
+SLICE = 1 << 20
+
+
+def span_rows(docs: DataFrame, keys: list[str], pattern: str, text: str = "text", reach: int = 0, context: bool = False) -> DataFrame:
+    """Rows (keys, idx, text, start, end[, left, right]) of the matches of a pattern, in batches of bounded size."""
+    compiled = re.compile(pattern, re.DOTALL)
+    width = 5 if context else 3
+    source = docs.select(*keys, F.col(text).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo = 0
+            while lo < batch.num_rows:
+                texts, held = [], 0
+                while lo + len(texts) < batch.num_rows and held < SLICE:
+                    texts.append(batch["__text"][lo + len(texts)].as_py())
+                    held += len(texts[-1] or "")
+                sizes, columns = _spans([[m.span() for m in compiled.finditer(x or "")] for x in texts], texts, reach)
+                own = pa.array(np.repeat(np.arange(lo, lo + len(texts)), sizes))
+                idx = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([*(batch[k].take(own) for k in keys), pa.array(idx, pa.int32()), *columns[:width]], [*keys, "idx", *SPAN.names[:width]])
+                lo += len(texts)
+
+    named = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+    sides = ", left string, right string" if context else ""
+    return source.mapInArrow(run, f"{named}, idx int, text string, start int, `end` int{sides}")
+
+
 def match_spans(pattern: str, reach: int = 0):
     """A column function: array of SPAN for the matches of a pattern; empty for null."""
     compiled = re.compile(pattern, re.DOTALL)
@@ -120,13 +155,13 @@ def _class(characters: str) -> str:
 def sentences(docs: DataFrame, keys: list[str], text: str = "text", ends: str = SENTENCE_END) -> DataFrame:
     """Rows (keys, text trimmed, start, end untrimmed): ends stay with their sentence, blank ones go."""
     stop = _class(ends)
-    found = spans(docs, keys, match_spans(f"[^{stop}]*[{stop}]+|[^{stop}]+\\Z")(F.col(text)))
+    found = span_rows(docs, keys, f"[^{stop}]*[{stop}]+|[^{stop}]+\\Z", text)
     return found.select(*keys, trim_all(F.col("text")).alias("text"), "start", "end").where(F.col("text") != "")
 
 
 def paragraphs(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Rows (keys, start, end, cjk_chars): runs of lines without an empty line; else the whole text."""
-    found = spans(docs, keys, match_spans(r"[^\n]+(?:\n(?!\n)[^\n]+)*")(F.col(text))).where(trim_all(F.col("text")) != "")
+    found = span_rows(docs, keys, r"[^\n]+(?:\n(?!\n)[^\n]+)*", text).where(trim_all(F.col("text")) != "")
     body = F.coalesce(F.col(text), F.lit(""))
     blank = docs.where(trim_all(body) == "").select(*keys, F.lit(0).alias("start"), F.length(body).alias("end"), F.lit(0).alias("cjk_chars"))
     return found.select(*keys, "start", "end", count_cjk(F.col("text")).alias("cjk_chars")).unionByName(blank)
@@ -181,7 +216,7 @@ def words(docs: DataFrame, keys: list[str], text: str = "text", pattern: str = "
     Stands where a platform's word segmenter would; any table of these columns
     can take its place.
     """
-    return spans(docs, keys, match_spans(pattern, reach)(F.col(text)), context=True)
+    return span_rows(docs, keys, pattern, text, reach, context=True)
 
 
 def occurrences(docs: DataFrame, keys: list[str], terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
