@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +12,11 @@ from .hashing import fnv_hex
 from .text import normalize_context, substr
 
 # Fragments and phrases that are never replaced, and the prefix exceptions.
-BLOCKED = "空中 一阵 无论 一般 一夜 过去 的时 也就 下来 一把 一套 一大 有礼 才能 由于 令人 天花 根据 出声 走向 招呼 专业 直升".split()
-FRAGMENT_PREFIX, FRAGMENT_ALLOWED = "使", "使用 使命 使劲 使动".split()
+BLOCKED = (
+    "空中", "一阵", "无论", "一般", "一夜", "过去", "的时", "也就", "下来", "一把", "一套", "一大",
+    "有礼", "才能", "由于", "令人", "天花", "根据", "出声", "走向", "招呼", "专业", "直升",
+)
+FRAGMENT_PREFIX, FRAGMENT_ALLOWED = "使", ("使用", "使命", "使劲", "使动")
 
 
 def candidate_id(zh: Column, en: Column, pos: Column) -> Column:
@@ -18,8 +24,8 @@ def candidate_id(zh: Column, en: Column, pos: Column) -> Column:
 
 
 def is_blocked_term(zh: Column) -> Column:
-    listed = zh.isin(BLOCKED)
-    fragment = zh.startswith(FRAGMENT_PREFIX) & ~zh.isin(FRAGMENT_ALLOWED)
+    listed = zh.isin(*BLOCKED)
+    fragment = zh.startswith(FRAGMENT_PREFIX) & ~zh.isin(*FRAGMENT_ALLOWED)
     particle = zh.startswith("的") & (F.length(zh) == 2) & (zh != "的确")
     return listed | fragment | particle
 
@@ -55,20 +61,23 @@ def correction_key(zh: Column, sentence: Column) -> Column:
     return F.concat_ws(":", zh, fnv_hex(normalize_context(sentence, zh)))
 
 
+# Surroundings (up to 18 characters before the term, 2 after) in which a term is part of something else.
+# TERM stands for the term itself.
+TERM = "{词}"
+_NUMBER = "零一二三四五六七八九十百千万两几数\\d"
+_UNIT = "本个岁米天年人页章件条只张册斤倍层排套种名位"
+UNSAFE = (
+    ("地点", f"\\{TERM}点头"),
+    ("得到", f"不\\{TERM}了"),
+    ("后来", f"饭\\{TERM}"),
+    ("样子", f"[{_NUMBER}]+(?:[、至到\\-—~～]?[{_NUMBER}]+)?(?:[{_UNIT}]|公里|上下|左右|来|多|余|出头|出头些)?的\\{TERM}"),
+    ("样子", f"(?:大概|大约|约有|差不多|上下|左右)[^，。！？；;]{{0,10}}的\\{TERM}"),
+    ("样子", f"(?:不久|好久|刚刚|刚才|似乎|可能|估计|仿佛|看起来|像是)[^，。！？；;]{{0,8}}的\\{TERM}"),
+)
+
+
 def is_unsafe_in_context(term: Column, left: Column, right: Column) -> Column:
-    """Terms that their neighbours (18 characters before, 2 after) show to be part of something else."""
-    number = "零一二三四五六七八九十百千万两几数\\d"
-    unit = "本个岁米天年人页章件条只张册斤倍层排套种名位"
-    amount = f"[{number}]+(?:[、至到\\-—~～]?[{number}]+)?(?:[{unit}]|公里|上下|左右|来|多|余|出头|出头些)?的\\z"
-    guess = "(?:大概|大约|约有|差不多|上下|左右)[^，。！？；;]{0,10}的\\z"
-    vague = "(?:不久|好久|刚刚|刚才|似乎|可能|估计|仿佛|看起来|像是)[^，。！？；;]{0,8}的\\z"
-    by_term = {
-        "地点": right.startswith("点头"),
-        "得到": left.endswith("不") & right.startswith("了"),
-        "后来": left.endswith("饭"),
-        "样子": left.rlike(amount) | left.rlike(guess) | left.rlike(vague),
-    }
-    unsafe = F.lit(False)
-    for word, sign in by_term.items():
-        unsafe = unsafe | ((term == word) & sign)
-    return F.coalesce(unsafe, F.lit(False))
+    """Whether what stands on both sides shows a term to be part of something else."""
+    around = F.concat(F.coalesce(left, F.lit("")), F.lit(TERM), F.coalesce(right, F.lit("")))
+    found = [(term == word) & around.rlike(pattern) for word, pattern in UNSAFE]
+    return F.coalesce(reduce(or_, found), F.lit(False))
