@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import LOWER, UPPER
 from wordloom.plans.staging import Workspace
 
-from . import bpe, html_text, jaccard_join, license_scan, line_dedup, packing, pii, quality_rules, topk, warc
+from . import bpe, conversation_repair, decontaminate, html_text, jaccard_join, lexical_rank, license_scan, line_dedup, packing, pii, quality_rules, topk, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -74,7 +75,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_encode_decode, op3_quality_rules, rule_ablation, op4_best_fit_packing, op5_exact_top_k, op6_license_scan, op7_html_extraction, op8_warc_round_trip, op9_pii, op10_line_dedup)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = _table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("overlap")
+    found = decontaminate.find_overlaps(docs, _table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join(out["items"], ","), 256)
+    return found.select("doc_id", out["n_words"].alias("n_words"), out["n_hit"].alias("n_hit"), F.size(out["items"]).cast("long").alias("n_items"), ids.alias("items_sha256"), (out["n_hit"] > 0).alias("contaminated"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_book(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_encode_decode, op3_quality_rules, rule_ablation, op4_best_fit_packing, op5_exact_top_k, op6_license_scan, op7_html_extraction, op8_warc_round_trip, op9_pii, op10_line_dedup, op11_decontamination, op12_lexical_search, op13_conversation_repair)}
 
 _WORD_SPLIT = r"regexp_split_to_array(t, '[\x20\x09-\x0D]+')"
 _DOCS = "SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents"
@@ -171,5 +187,69 @@ FROM g LEFT JOIN m ON g.payload_digest = m.payload_digest
 """
 
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _op11_sql() -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item_id, {_TERMS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[pos + 1:pos + k], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS pos FROM i WHERE len(w) > 0)),
+dw AS (SELECT rid, pos, k, array_to_string(w[pos + 1:pos + k], ' ') AS g FROM (SELECT rid, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT rid, pos, dw.k, item_id FROM dw JOIN win ON dw.k = win.k AND dw.g = win.g),
+n AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(pos, pos + k)) AS p FROM (SELECT DISTINCT rid, pos, k FROM hit)) GROUP BY rid),
+s AS (SELECT rid, count(*) FILTER (item_id IS NOT NULL) AS n, coalesce(string_agg(item_id, ',' ORDER BY item_id), '') AS ids FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(s.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN s USING (rid)
+"""
+
+
+def _op12_sql() -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+z AS (SELECT count(*)::BIGINT AS cn, sum(len(w))::BIGINT AS cl FROM d WHERE len(w) > 0),
+q AS (SELECT qid, item_id, term, count(*)::BIGINT AS c FROM (SELECT row_number() OVER () AS qid, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * cn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, z GROUP BY term, cn),
+s AS (SELECT qid, item_id, rid, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * cn) // cl))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), z GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def _op13_sql() -> str:
+    """Forwards: for each state after each row the cheapest repair as a struct of cost, audit and text, whose order is the wanted one."""
+    then = lambda s, cost, letter, role="", text="''": f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'r': " + (f"{s}.r || CASE WHEN {s}.r = '' THEN '' ELSE chr(10) END || {role} || ':' || {text}}}" if role else f"{s}.r}}")
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    far = "{'c': 1000000000000::BIGINT, 'a': '', 'r': ''}"
+    if_ = lambda test, x: f"CASE WHEN {test} THEN {x} ELSE {far} END"
+    keep = lambda s, initial: if_(f"ini = '{initial}' AND fault IN (0, 3)", then(s, "late", "K", "role", "text"))
+    role = lambda s, to: if_("fault IN (0, 3)", then(s, "3 + late", "R", f"'{to}'", "text"))
+    gone = lambda s: then(s, 4, "D")
+    return rf"""
+WITH RECURSIVE src AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(id, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 20 AS d FROM src),
+dam AS (SELECT k, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM crc WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM dam),
+f AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS was, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '(?s)[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault FROM o),
+g AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS late FROM f),
+walk AS (SELECT k, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, {far} AS s1, {{'c': 3::BIGINT, 'a': 'I', 'r': 'user:'}} AS s2, {{'c': 6::BIGINT, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:'}} AS s3 FROM (SELECT DISTINCT k FROM g)
+  UNION ALL SELECT k, i, t0, t1, u2, {least("t3", then("u2", 3, "I", "'assistant'"))} FROM (
+    SELECT *, {least("t2", then("t0", 3, "I", "'user'"), then("t1", 3, "I", "'user'"), then("t3", 3, "I", "'user'"))} AS u2 FROM (
+      SELECT walk.k, g.i, {gone("s0")} AS t0, {least(gone("s1"), keep("s0", "s"))} AS t1,
+        {least(gone("s2"), keep("s0", "u"), keep("s1", "u"), keep("s3", "u"), role("s0", "user"), role("s1", "user"), role("s3", "user"))} AS t2,
+        {least(gone("s3"), keep("s2", "a"), role("s2", "assistant"))} AS t3
+      FROM walk JOIN g ON g.k = walk.k AND g.i = walk.i + 1))),
+best AS (SELECT k, max_by({least("s0", "s3")}, i) AS b FROM walk GROUP BY k),
+h AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (was || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT k, conv_id FROM src) LEFT JOIN h USING (k) LEFT JOIN best USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3_sql(), "rule_ablation": _ablation_sql(), "op5_exact_top_k": _op5_sql(), "op6_license_scan": _op6_sql(), "op8_warc_round_trip": _op8_sql(), "op10_line_dedup": _op10_sql()}
+    return {"op3_quality_rules": _op3_sql(), "rule_ablation": _ablation_sql(), "op5_exact_top_k": _op5_sql(), "op6_license_scan": _op6_sql(), "op8_warc_round_trip": _op8_sql(), "op10_line_dedup": _op10_sql(), "op11_decontamination": _op11_sql(), "op12_lexical_search": _op12_sql(), "op13_conversation_repair": _op13_sql()}
