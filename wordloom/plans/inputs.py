@@ -49,8 +49,9 @@ def low_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_LOW = f"low AS (SELECT doc_id, lang, source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents)"
 SQL_SEG = """plist AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+|[^a-z]+') AS l FROM low),
 parts AS (SELECT doc_id, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS k FROM plist),
-placed AS (SELECT doc_id, text, k, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM parts),
-seg AS (SELECT doc_id, text, start::INTEGER AS start, (start + length(text))::INTEGER AS "end" FROM placed WHERE regexp_matches(text, '^[a-z]'))"""
+placed AS (SELECT doc_id, text, k, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  coalesce(right(lag(text) OVER o, 1), '') AS lc, left(concat(lead(text) OVER o, lead(text, 2) OVER o), 4) AS nx FROM parts WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+seg AS (SELECT doc_id, text, start::INTEGER AS start, (start + length(text))::INTEGER AS "end", lc, nx, left(nx, 1) AS rc FROM placed WHERE regexp_matches(text, '^[a-z]'))"""
 
 
 def tokens(docs: DataFrame) -> DataFrame:

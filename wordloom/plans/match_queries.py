@@ -279,19 +279,17 @@ QUERIES = {f.__name__: f for f in (
 
 _HARD = r"[\s，。！？；：、“”‘’（）《》【】\-—…,.!?;:()\[\]{}\"'']"
 _BASE = f"WITH {SQL_LOW}, {SQL_SEG}, {SQL_LEX}, terms AS (SELECT DISTINCT zh FROM lex), m AS (SELECT seg.* FROM seg SEMI JOIN terms ON seg.text = terms.zh)"
-_EDGE = f"""e AS (SELECT m.*, low.text AS body, CASE WHEN m.start = 0 THEN '' ELSE substr(low.text, m.start, 1) END AS lc, substr(low.text, m."end" + 1, 1) AS rc FROM m JOIN low USING (doc_id)),
-b AS (SELECT e.*, 2 - (CASE WHEN lc = '' OR regexp_matches(lc, '{_HARD}') THEN 1 ELSE 0 END) - (CASE WHEN rc = '' OR regexp_matches(rc, '{_HARD}') THEN 1 ELSE 0 END) AS bc FROM e)"""
-_SENSE = """s AS (SELECT b.*, length(text) % 2 = 0 AS two, length(text) % 2 = 0 AND substr(body, b."end" + 1, 4) = ' the' AS ctx FROM b),
+_EDGE = f"b AS (SELECT m.*, 2 - (CASE WHEN lc = '' OR regexp_matches(lc, '{_HARD}') THEN 1 ELSE 0 END) - (CASE WHEN rc = '' OR regexp_matches(rc, '{_HARD}') THEN 1 ELSE 0 END) AS bc FROM m)"
+_SENSE = """s AS (SELECT b.*, length(text) % 2 = 0 AS two, length(text) % 2 = 0 AND nx = ' the' AS ctx FROM b),
 c AS (SELECT s.*, CASE WHEN ctx THEN 'the ' || text ELSE reverse(text) END AS en, CASE WHEN ctx THEN 'context' ELSE 'priority' END AS reason FROM s)"""
 _RANGES = """rl AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+ [a-z]+,|[a-z]+|[^a-z]') AS l FROM low), rp AS (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM rl),
 ro AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM rp), rg AS (SELECT doc_id, e - length(p) AS s, e FROM ro WHERE contains(p, ' ') AND length(p) > 1)"""
 _SENTENCES = r"""sl AS (SELECT doc_id, regexp_extract_all(text, '(?s)[^.!?]*[.!?]+|[^.!?]+') AS l FROM low), sp AS (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM sl),
-so AS (SELECT doc_id, regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '') AS sentence, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) - length(p) AS s FROM sp)""".replace("\\\\", "\\")
+so AS MATERIALIZED (SELECT doc_id, regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '') AS sentence, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) - length(p) AS s FROM sp)""".replace("\\\\", "\\")
 _SCORE = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(concat(text, '-', en, '-', start), ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295)"
 _OFFERED = rf"""{_BASE}, {_EDGE}, {_RANGES}, {_SENTENCES},
-good AS (SELECT doc_id, b.text, reverse(b.text) AS en, part_of_speech, start, b."end", bc, {_SCORE.replace('en,', 'reverse(b.text),').replace('concat(text', 'concat(b.text')} AS score FROM b JOIN lex ON b.text = zh AND ord = 1
-  WHERE bc <= 1 AND NOT (length(b.text) % 2 = 0 AND substr(body, b."end" + 1, 4) = ' the')
-    AND NOT EXISTS (SELECT 1 FROM rg WHERE rg.doc_id = b.doc_id AND b.start < rg.e AND b."end" > rg.s)),
+bf AS MATERIALIZED (SELECT b.* FROM b ASOF LEFT JOIN rg ON rg.doc_id = b.doc_id AND b."end" > rg.s WHERE bc <= 1 AND (rg.e IS NULL OR rg.e <= b.start) AND NOT (length(b.text) % 2 = 0 AND nx = ' the')),
+good AS MATERIALIZED (SELECT doc_id, bf.text, reverse(bf.text) AS en, part_of_speech, start, bf."end", bc, {_SCORE.replace('en,', 'reverse(bf.text),').replace('concat(text', 'concat(bf.text')} AS score FROM bf JOIN lex ON bf.text = zh AND ord = 1),
 pl AS (SELECT doc_id, regexp_extract_all(text, '
 
 +|[^
@@ -300,17 +298,18 @@ pl AS (SELECT doc_id, regexp_extract_all(text, '
 ]+)*|
 ') AS l FROM low), pp AS (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM pl),
 po AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM pp),
-pn AS (SELECT doc_id, e - length(p) AS s, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS paragraph FROM po WHERE regexp_matches(p, '\S')),
-located AS (SELECT g.*, coalesce(sentence, '') AS sentence, paragraph FROM good g LEFT JOIN so ON so.doc_id = g.doc_id AND g.start >= so.s AND g."end" <= so.e
-  LEFT JOIN pn ON pn.doc_id = g.doc_id AND g.start >= pn.s AND g."end" <= pn.e),
+pn AS MATERIALIZED (SELECT doc_id, e - length(p) AS s, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS paragraph FROM po WHERE regexp_matches(p, '\S')),
+phrased AS (SELECT g.*, CASE WHEN g."end" <= so.e THEN sentence ELSE '' END AS sentence FROM good g ASOF LEFT JOIN so ON so.doc_id = g.doc_id AND g.start >= so.s),
+located AS (SELECT g.*, CASE WHEN g."end" <= pn.e THEN paragraph END AS paragraph FROM phrased g ASOF LEFT JOIN pn ON pn.doc_id = g.doc_id AND g.start >= pn.s),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, paragraph ORDER BY bc, -length(text), score, start) AS r FROM located),
 offered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph IS NULL, r, paragraph, start) AS turn FROM ranked)"""
-_POOL = f"""{_OFFERED},
-ids AS (SELECT doc_id, turn, dense_rank() OVER (PARTITION BY doc_id ORDER BY text)::INTEGER AS t, dense_rank() OVER (PARTITION BY doc_id ORDER BY CASE WHEN sentence = '' THEN 'range-' || start ELSE sentence END)::INTEGER AS s FROM offered),
-runs AS (SELECT doc_id, list({{'kept': []::STRUCT(t INTEGER, s INTEGER, k INTEGER)[], 't': t, 's': s, 'k': turn::INTEGER}} ORDER BY turn) AS l FROM ids GROUP BY doc_id),
-folds AS (SELECT doc_id, list_reduce(list_prepend({{'kept': []::STRUCT(t INTEGER, s INTEGER, k INTEGER)[], 't': 0, 's': 0, 'k': 0}}, l), lambda a, x: {{'kept': CASE WHEN len(list_filter(a.kept, lambda y: y.t = x.t)) < 2 AND len(list_filter(a.kept, lambda y: y.s = x.s)) < 2
-  THEN list_append(a.kept, {{'t': x.t, 's': x.s, 'k': x.k}}) ELSE a.kept END, 't': x.t, 's': x.s, 'k': x.k}}).kept AS kept FROM runs),
-taken AS (SELECT doc_id, kept[i].k AS turn, i AS pool_rank, len(kept) AS n FROM (SELECT doc_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM folds)),
+_POOL = f"""{_OFFERED.replace("WITH ", "WITH RECURSIVE ", 1)},
+ids AS (SELECT doc_id, turn, dense_rank() OVER (ORDER BY doc_id, text) AS t, dense_rank() OVER (ORDER BY doc_id, CASE WHEN sentence = '' THEN 'range-' || start ELSE sentence END) AS s FROM offered),
+greedy AS (SELECT doc_id, turn, t, s, 0 AS state, 0 AS round FROM ids
+  UNION ALL SELECT doc_id, turn, t, s, CASE WHEN state <> 0 THEN state WHEN yt >= 2 OR ys >= 2 THEN 2 WHEN mt < 2 AND ms < 2 THEN 1 ELSE 0 END, round + 1
+  FROM (SELECT *, count(*) FILTER (state = 1) OVER a AS yt, count(*) FILTER (state = 1) OVER b AS ys, count(*) FILTER (state < 2) OVER a AS mt, count(*) FILTER (state < 2) OVER b AS ms, bool_or(state = 0) OVER () AS open FROM greedy
+    WINDOW a AS (PARTITION BY t ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY s ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE open),
+taken AS (SELECT doc_id, turn, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS pool_rank, count(*) OVER (PARTITION BY doc_id) AS n FROM greedy WHERE round = (SELECT max(round) FROM greedy) AND state = 1),
 pool AS (SELECT o.*, pool_rank, n FROM offered o JOIN taken USING (doc_id, turn))"""
 _SHOWN = f"{_POOL}, shown AS (SELECT * FROM pool WHERE pool_rank <= greatest(1, floor(n * (2.0::DOUBLE / 3) + 0.5::DOUBLE)))"
 _BLANK = "CASE WHEN instr({0}, {1}) > 0 THEN substr({0}, 1, instr({0}, {1}) - 1) || '____' || substr({0}, instr({0}, {1}) + length({1})) ELSE {0} END"
@@ -381,8 +380,7 @@ SELECT doc_id, number::INTEGER AS number, start, {_BLANK.format('half', 'en')} A
 """,
     "q_boundary_confidence": f"{_BASE}, {_EDGE} SELECT doc_id, bc::INTEGER AS boundary_confidence, count(*)::BIGINT AS n FROM b GROUP BY 1, 2",
     "q_candidate_select": f"{_BASE}, {_EDGE}, {_SENSE} SELECT doc_id, reason, 'high' AS confidence, count(*)::BIGINT AS n, sum(length(en))::BIGINT AS letters FROM c GROUP BY 1, 2",
-    "q_context_rules": f"""{_BASE}, {_EDGE}, w AS (SELECT *, substr(body, b."end" + 1, 4) AS r FROM b),
-k AS (SELECT *, length(text) = 6 AND (starts_with(r, ' of') OR starts_with(r, ' and')) AS ok FROM w WHERE length(text) <> 7)
+    "q_context_rules": f"""{_BASE}, {_EDGE}, k AS (SELECT *, length(text) = 6 AND (starts_with(nx, ' of') OR starts_with(nx, ' and')) AS ok FROM b WHERE length(text) <> 7)
 SELECT doc_id, count(*)::BIGINT AS n, count(*) FILTER (ok)::BIGINT AS evident, sum(start)::BIGINT AS starts FROM k WHERE length(text) <> 6 OR ok GROUP BY doc_id""",
     "q_category_for": f"""{_BASE}, {_EDGE}, f AS (SELECT zh, count(DISTINCT part_of_speech) AS p, count(DISTINCT en) AS n FROM lex GROUP BY zh),
 o AS (SELECT DISTINCT zh FROM (SELECT zh, unnest(range(1, length(zh))) AS n FROM terms) WHERE substr(zh, 1, n) IN (SELECT zh FROM terms)),
@@ -393,7 +391,7 @@ SELECT doc_id, category, count(*)::BIGINT AS n FROM k GROUP BY 1, 2""",
 ro AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM rp), rg AS (SELECT doc_id, e - length(p) AS s, e FROM ro WHERE contains(p, ' ') AND length(p) > 1)
 SELECT doc_id, count(*)::BIGINT AS n, sum(start)::BIGINT AS starts FROM m WHERE NOT EXISTS (SELECT 1 FROM rg WHERE rg.doc_id = m.doc_id AND m.start < rg.e AND m."end" > rg.s) GROUP BY doc_id""",
     "q_asof_sentence": f"""{_BASE}, sl AS (SELECT doc_id, regexp_extract_all(text, '(?s)[^.!?]*[.!?]+|[^.!?]+') AS l FROM low), sp AS (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM sl),
-so AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM sp),
+so AS MATERIALIZED (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM sp),
 j AS (SELECT m.doc_id, m.start, regexp_replace(regexp_replace(p, '^\\s+', ''), '\\s+$', '') AS sentence FROM m LEFT JOIN so ON so.doc_id = m.doc_id AND m.start >= e - length(p) AND m."end" <= e)
 SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT sentence)::BIGINT AS sentences, sum(length(sentence))::BIGINT AS letters FROM j GROUP BY doc_id""",
     "q_overlap_components": """
