@@ -18,9 +18,6 @@ from wordloom.llm.queries import tokenizer_path
 from wordloom.plans.names import fresh
 from wordloom.plans.staging import Workspace, scope
 
-#: A text that lost lines stays only with at least so many words, as the rule few_words asks of every text.
-LEAST_WORDS = 50
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy rejects go; a null or empty text is rejected."""
@@ -28,17 +25,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go.
+    """Lines that an earlier document holds go, and so do documents that are left without a word.
 
-    A copy of earlier documents is left with no line or with a few; it goes as a
-    whole if fewer than LEAST_WORDS words are left.  Documents without a shared
-    line stay as they are, short ones too (a null text as an empty one), and so
-    do rows without a doc_id.
+    What is left of a document stays, however short: it may hold the only copy
+    of a line that others lost.  Documents without a shared line stay as they
+    are (a null text as an empty one), and so do rows without a doc_id.
     """
     before, dropped = fresh(docs.columns, "lines_before", "lines_dropped")
     clean = line_dedup.dedup_lines(docs, counts=(before, dropped))
-    whole = (F.col(dropped) == 0) | (F.size(quality_rules.words_of(F.col("text"))) >= LEAST_WORDS)
-    return clean.where(whole).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = (F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return clean.where(held).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
 import random
 import re
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wordloom.llm import bpe, pii
+from wordloom.llm import bpe, line_dedup, pii
 from wordloom.llm.queries import tokenizer_path
 
+DATA = Path("/root/testdata/sf0.01")
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -53,25 +57,45 @@ def test_stages_and_run(spark, tmp_path):
     assert re.match("quality", corpus_pipeline.STAGES[0][0]) and len(corpus_pipeline.STAGES) == 5
 
 
-def test_lines_take_whole_copies_and_leave_the_rest(spark, tmp_path):
+def test_lines_lose_no_text(spark):
     rng = random.Random(3)
     say = lambda n: " ".join(f"u{rng.randint(0, 5000)}" for _ in range(n))
-    first, second, shared = say(80), say(70), say(60)
+    first, second, third, shared = say(60), say(20), say(20), say(60)
     rows = [
-        (1, first + "\n" + second),
-        (2, second + "\n" + first),  # all of its lines are in 1
-        (3, first + "\n" + say(20)),  # a rest of 20 words
-        (4, first + "\n" + say(55)),  # a rest of 55 words
-        (5, shared), (6, shared + "\n" + say(90)),
+        (1, first), (2, first + "\n" + second), (3, second + "\n" + third), (4, third + "\n\nyes"),  # a chain of short rests
+        (5, shared), (6, shared + "\n" + say(90)), (9, "\n" + shared + "\n \n"),  # 9 is left without a word
         (7, "short but alone"), (8, None), (None, first),
     ]
     table = spark.createDataFrame([(i, t, 7, 8, 9) for i, t in rows], "doc_id long, text string, __row int, lines_before int, Lines_Dropped int")
     got = {r.doc_id: r for r in corpus_pipeline.lines(spark, table, "").collect()}
-    assert set(got) == {1, 4, 5, 6, 7, 8, None} and got[8].text == "" and got[None].text == first
-    assert got[1].text == rows[0][1] and got[4].text == rows[3][1].split("\n")[1] and got[6].text == rows[5][1].split("\n")[1]
+    assert {i: r.text for i, r in got.items()} == {1: first, 2: second, 3: third, 4: "\nyes", 5: shared, 6: rows[5][1].split("\n")[1], 7: rows[7][1], 8: "", None: first}
     assert all((r["__row"], r.lines_before, r["Lines_Dropped"]) == (7, 8, 9) for r in got.values())
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_every_line_of_the_corpus_stays_once(spark, tmp_path):
+    work = str(tmp_path / "good")
+    corpus_pipeline.quality(spark, spark.read.parquet(f"{DATA}/documents.parquet"), str(DATA)).write.parquet(work)
+    good = spark.read.parquet(work)
+    key = line_dedup.line_key(line_dedup.stripped(F.col("line")))
+    keys = lambda docs: {r[0] for r in docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(line_dedup.stripped(F.col("line"))) >= 10).select(key).distinct().collect()}
+    assert keys(corpus_pipeline.lines(spark, good, str(DATA))) == keys(good)
+
+
+def test_near_copies_leave_one_of_a_group(spark, tmp_path):
+    rng = random.Random(5)
+    say = lambda n: [f"n{rng.randint(0, 5000)}" for _ in range(n)]
+    groups = [say(300) for _ in range(5)]
+    rows = [(10 * g + i, " ".join("edit" if j == 17 * i else w for j, w in enumerate(words))) for g, words in enumerate(groups) for i in range(1, 5)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    lined = stages["lines"](spark, table, "")
+    assert lined.count() == 20  # every text is one line of its own
+    assert {r.doc_id for r in stages["near_copies"](spark, lined, "").collect()} == {1, 11, 21, 31, 41}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 11, 21, 31, 41}
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
