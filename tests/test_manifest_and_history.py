@@ -2,11 +2,13 @@
 
 import os
 import random
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wordloom.operators import corpus_dedup, learning, lexicon, matching, quality, sampling
+from wordloom.operators import automaton, corpus_dedup, learning, lexicon, matching, quality, resolve, sampling, scan
 from wordloom.plans.inputs import spread
 from wordloom.plans.names import fresh
 from wordloom.plans.staging import Workspace, scope
@@ -20,35 +22,83 @@ def docs(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def test_substrings_at_starts_and_their_contexts(spark, monkeypatch):
-    monkeypatch.setattr(matching, "STARTS", 7)
+@pytest.mark.parametrize("bounds", [{}, {"most_terms": 5, "most_starts": 20}])
+def test_dictionary_search_equals_brute_force(spark, bounds):
     rng = random.Random(4)
-    texts = ["".join(rng.choice("ab é中😀") for _ in range(n)) for n in (0, 1, 5, 60, 200)] + [None]
-    table = docs(spark, *texts)
-    want = {(i, s, s + n, t[s : s + n]) for i, t in enumerate(texts) if t for s in range(len(t)) if t[s] in "ab中" for n in (2, 3, 4) if s + n <= len(t)}
-    grams = matching.ngrams(table, KEYS, 4, 2, start_class="[ab中]")
-    assert {(r.doc_id, r.start, r.end, r.text) for r in grams.collect()} == want
-    starts = spark.createDataFrame([(3, 0), (3, 11), (3, 11), (4, 150), (4, 199), (9, 1)], "doc_id long, start int")
-    some = {(r.doc_id, r.start, r.end, r.text) for r in matching.ngrams(table, KEYS, 4, 2, start_class="[ab中]", starts=starts).collect()}
-    assert some == {w for w in want if w[:2] in {(3, 0), (3, 11), (4, 150), (4, 199)}}
-    around = matching.with_context(grams, table, KEYS, reach=5).collect()
-    assert len(around) == len(want)
-    assert all((r.left, r.right) == (texts[r.doc_id][max(0, r.start - 5) : r.start], texts[r.doc_id][r.end : r.end + 5]) for r in around)
-    assert grams.limit(0).count() == 0 and matching.ngrams(table.limit(0), KEYS, 4).count() == 0
-
-
+    say = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["", *[say("ab é中😀", n) for n in (1, 5, 60, 200)], None, "", "abababab" * 20]
+    terms = sorted({say("abé中😀", rng.randint(1, 5)) for _ in range(60)} | {"ab", "abab", "abababa", "aba"})
+    table, lexicon = docs(spark, *texts), spark.createDataFrame([(t,) for t in [*terms, "ab"]], "zh string")
+    want = {(i, s, s + len(x), x, t[max(0, s - 5) : s], t[s + len(x) : s + len(x) + 5]) for i, t in enumerate(texts) if t for x in terms if len(x) > 1 for s in range(len(t)) if t[s] in "ab中" and t.startswith(x, s)}
+    rows = lambda found: [(r.doc_id, r.start, r.end, r.text, r.left, r.right) for r in found.collect()]
+    got = rows(automaton.find(table, KEYS, lexicon, start_class="[ab中]", reach=5, **bounds))
+    assert len(got) == len(want) and set(got) == want
+    longest = rows(automaton.find(table, KEYS, lexicon, start_class="[ab中]", reach=5, longest=True, **bounds))
+    ends = {}
+    for w in want:
+        ends[w[:2]] = max(ends.get(w[:2], w), w, key=lambda x: x[2])
+    assert len(longest) == len(ends) and set(longest) == set(ends.values())
+    assert automaton.find(table, KEYS, lexicon.limit(0), **bounds).count() == 0 and automaton.find(table.limit(0), KEYS, lexicon, **bounds).count() == 0
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most_terms": 2}])
+def test_dictionary_words_equal_brute_force(spark, bounds):
+    texts = ["ab", "ab cd,ab", "", None, "xab", "é ab中cd", "ab"]
+    lexicon = spark.createDataFrame([("ab",), ("cd",), ("é",), ("",), ("zz",)], "zh string")
+    got = {(r.doc_id, r.start, r.end, r.text, r.left, r.right) for r in automaton.find_words(docs(spark, *texts), KEYS, lexicon, reach=2, **bounds).collect()}
+    assert got == {(i, m.start(), m.end(), m[0], t[max(0, m.start() - 2) : m.start()], t[m.end() : m.end() + 2]) for i, t in enumerate(texts) if t for m in re.finditer("[a-z]+", t) if m[0] in ("ab", "cd")}
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 18])
+def test_running_aggregates_equal_windows(spark, block):
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 3), rng.randint(0, 90), i, rng.choice([None, rng.randint(0, 50)])) for i in range(400)] + [(9, 5, -1, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, at int, n int, v int").repartition(5)
+    for before in (False, True):
+        got = scan.running(table, KEYS, ["at", "n"], {"top": ("max", F.col("v")), "total": ("sum", F.col("v")), "last": ("last", F.col("v"))}, before=before, block=block)
+        want = {}
+        for d, at, n, v in rows:
+            held = [(a, k, x) for e, a, k, x in rows if e == d and ((a, k) < (at, n) if before else (a, k) <= (at, n))]
+            known = [x for _, _, x in sorted(held) if x is not None]
+            want[d, at, n] = (v, max(known, default=None), sum(known), known[-1] if known else None)
+        assert {(r.doc_id, r.at, r.n): (r.v, r.top, r.total or 0, r.last) for r in got.collect()} == want
+
+
+def test_one_huge_document_is_many_tasks(spark):
+    spans = spark.range(300_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 7).cast("int").alias("start"), (F.col("id") * 7 + 3 + F.col("id") % 11).cast("int").alias("end"))
+    parts = resolve.overlap_components(spans, KEYS, block=1 << 15).cache()
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    plain = spans.withColumn("new", (reach <= F.col("start")).cast("int")).withColumn("component", F.sum("new").over(order) - 1)
+    assert parts.select("start", "end", "component").exceptAll(plain.select("start", "end", "component")).count() == 0 and parts.count() == 300_000
+    parts.unpersist()
+    tops = spans.select(F.max("end").over(order).alias("top")).agg(F.sum("top")).first()[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for tasks in (1, 4, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            dealt = scan.running(spans, KEYS, ["start"], {"top": ("max", F.col("end"))}, block=1 << 15)
+            got = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("top").alias("tops")).collect()
+            assert len(got) >= min(tasks, 20) and sum(r.n for r in got) == 300_000 and sum(r.tops for r in got) == tops
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("block", [4, 1 << 18])
 @pytest.mark.parametrize("exact", [False, True])
-def test_interval_tests_equal_brute_force(spark, exact):
+def test_interval_tests_equal_brute_force(spark, exact, block):
     rng = random.Random(6)
     span = lambda: (rng.randint(0, 2), (s := rng.randint(0, 60)), s + rng.randint(1, 6))
     matches, ranges = [span() for _ in range(150)], [span() for _ in range(25)]
     frame = lambda rows: spark.createDataFrame(rows, "doc_id int, start int, end int")
-    got = sorted(tuple(r) for r in matching.outside(frame(matches), frame(ranges), KEYS, allow_exact=exact).collect())
+    got = sorted(tuple(r) for r in matching.outside(frame(matches), frame(ranges), KEYS, allow_exact=exact, block=block).collect())
     assert got == sorted(m for m in matches if not any(m[0] == d and m[1] < e and m[2] > s and not (exact and (s, e) == m[1:]) for d, s, e in ranges))
     assert matching.outside(frame(matches), frame(ranges).limit(0), KEYS, allow_exact=exact).count() == len(matches)
 
 
-def test_containment_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_containment_equals_brute_force(spark, block):
     rng = random.Random(8)
     segments, at = [], 0
     for k in range(40):
@@ -57,7 +107,7 @@ def test_containment_equals_brute_force(spark):
         at += size + rng.randint(0, 2)
     matches = [(d, (s := rng.randint(0, at)), s + rng.randint(1, 6), "m") for d in (0, 1) for _ in range(120)]
     terms = spark.createDataFrame([(f"t{n}",) for n in (3, 5, 6, 9)], "zh string")
-    got = matching.not_contained(spark.createDataFrame(matches, "doc_id int, start int, end int, text string"), spark.createDataFrame(segments, "doc_id int, text string, start int, end int"), terms, KEYS)
+    got = matching.not_contained(spark.createDataFrame(matches, "doc_id int, start int, end int, text string"), spark.createDataFrame(segments, "doc_id int, text string, start int, end int"), terms, KEYS, block=block)
     held = [x for x in segments if x[1] in ("t3", "t5", "t6")]
     want = [m for m in matches if not any(d == m[0] and a <= m[1] and e >= m[2] and (a, e) != m[1:3] for d, _, a, e in held)]
     assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import corpus_dedup, learning, lexicon, matching, quality, resolve, sampling, selection, structure
+from wordloom.operators import automaton, corpus_dedup, learning, lexicon, matching, quality, resolve, sampling, selection, structure
 from wordloom.operators.components import connected_components
 from wordloom.plans.staging import Workspace
 from wordloom.sources import files
@@ -88,9 +88,9 @@ def test_compounds_and_uncertain_starts(spark):
     segments = spark.createDataFrame([(0, 0, 3, "意大利"), (0, 3, 4, "人"), (0, 4, 6, "大利")], "doc_id long, start int, end int, text string")
     assert {r.start: r.compound for r in matching.forms_compound(segments, terms, KEYS).collect()}[0] is True
     assert {r.start for r in matching.uncertain_starts(segments, terms, KEYS, 4).collect()} == {0, 1, 2, 3}
-    grams = matching.ngrams(docs(spark, "意大利人"), KEYS, 4)
-    assert {(r.start, r.text) for r in matching.longest_matches(grams, terms, KEYS).collect()} == {(0, "意大利人"), (1, "大利")}
-    held = matching.not_contained(grams.where("text IN ('大利')"), segments.withColumn("text", F.lit("意大利人")), terms, KEYS)
+    found = automaton.find(docs(spark, "意大利人"), KEYS, terms)
+    assert {(r.start, r.text) for r in found.collect()} == {(0, "意大利人"), (1, "大利")}
+    held = matching.not_contained(found.where("text IN ('大利')"), segments.withColumn("text", F.lit("意大利人")), terms, KEYS)
     assert held.count() == 0
 
 

@@ -1,140 +1,83 @@
-"""Term matching: segments and n-grams joined to the dictionary, guards, sense selection.
+"""Term matching: segments joined to the dictionary, guards, sense selection.
 
-Interval tests are equi-joins on exploded positions of the short match spans,
-never theta joins.  Per-document keys are carried by every child table.
+Interval tests are running aggregates along a document (``scan.running``), never
+theta joins.  Per-document keys are carried by every child table.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.context import has_evidence, rule_matches
-from wordloom.functions.text import REACH, WINDOW, boundary_confidence
+from wordloom.functions.text import WINDOW, boundary_confidence
 
+from .scan import BLOCK, running
 
 def match_segments(segments: DataFrame, terms: DataFrame, term: str = "zh") -> DataFrame:
     """Segments that are dictionary terms (equi-join on their text)."""
     return segments.join(terms.select(F.col(term).alias("text")).distinct(), "text", "left_semi").withColumn("source", F.lit("segment"))
 
 
-#: Starts whose substrings are made at once.
-STARTS = 1 << 15
-
-
-def ngrams(docs: DataFrame, keys: list[str], longest: int, shortest: int = 2, text: str = "text", start_class: str = "[\\u4E00-\\u9FFF]", starts: DataFrame | None = None) -> DataFrame:
-    """Rows (keys, start, end, text): every substring of the given lengths at each allowed start.
-
-    ``starts`` (keys, start) restricts where substrings begin.  They are cut in
-    Arrow batches of bounded size, so a text of any length takes its length
-    times the number of lengths.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    from .structure import Codes
-
-    body = docs.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text"))
-    held = body.withColumn("__starts", F.lit(None).cast("array<int>")) if starts is None else body.join(starts.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("start").cast("int"))).alias("__starts")), keys)
-    allowed = re.compile(start_class)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.arange(shortest, longest + 1)
-        for batch in batches:
-            for i, (body, listed) in enumerate(zip(batch["__text"], batch["__starts"], strict=True)):
-                codes = Codes([body.as_py()])
-                letters, place = np.unique(codes.codes, return_inverse=True)
-                fine = np.array([bool(allowed.fullmatch(chr(c))) for c in letters], bool)[place]
-                at = np.flatnonzero(fine) if not listed.is_valid else (x := listed.values.to_numpy())[fine[x]]
-                for lo in range(0, len(at), STARTS):
-                    part = np.repeat(at[lo : lo + STARTS], len(sizes))
-                    end = part + np.tile(sizes, len(part) // len(sizes))
-                    inside = end <= len(codes.codes)
-                    part, end = part[inside].astype(np.int64), end[inside].astype(np.int64)
-                    own = pa.array(np.full(len(part), i))
-                    yield pa.RecordBatch.from_arrays([*(batch[k].take(own) for k in keys), pa.array(part, pa.int32()), pa.array(end, pa.int32()), codes.cut(part, end)], [*keys, "start", "end", "text"])
-
-    named = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in keys)
-    return held.select(*keys, "__text", "__starts").mapInArrow(run, f"{named}, start int, end int, text string")
-
-
-def with_context(matches: DataFrame, docs: DataFrame, keys: list[str], text: str = "text", reach: int = REACH) -> DataFrame:
-    """Adds left and right, up to ``reach`` characters on either side of each match.
-
-    A document meets its matches as one array, so no match carries its document.
-    """
-    from .structure import sides_of
-
-    row = F.struct(*[F.col(f"`{c}`") for c in matches.columns if c not in keys])
-    held = matches.groupBy(*keys).agg(F.collect_list(row).alias("__rows"))
-    both = held.join(docs.select(*keys, F.col(text).alias("__text")), keys)
-    cut = sides_of(reach)(F.col("__text"), F.transform("__rows", lambda r: r["start"]), F.transform("__rows", lambda r: r["end"]))
-    each = both.select(*keys, F.explode(F.arrays_zip(F.col("__rows").alias("r"), cut.alias("c"))).alias("x"))
-    return each.select(*keys, "x.r.*", F.col("x.c.left").alias("left"), F.col("x.c.right").alias("right")).select(*matches.columns, "left", "right")
-
-
-def longest_matches(grams: DataFrame, terms: DataFrame, keys: list[str], term: str = "zh") -> DataFrame:
-    """The longest dictionary term at each start."""
-    found = grams.join(terms.select(F.col(term).alias("text")).distinct(), "text", "left_semi")
-    return found.groupBy(*keys, "start").agg(F.max_by("text", "end").alias("text"), F.max("end").alias("end"))
+def _row(rows: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns])
 
 
-def _positions(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.where("end > start").select(*columns, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
+def _along(points: DataFrame, at: Column, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Points (with their row as ``__row``) and marks (keys, __at and a struct ``__mark``) on one axis, marks first."""
+    asked = points.select(*keys, at.cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(marks.schema["__mark"].dataType).alias("__mark"), _row(points).alias("__row"))
+    return marks.select(*keys, F.col("__at").cast("long").alias("__at"), F.lit(0).alias("__kind"), "__mark", F.lit(None).cast(asked.schema["__row"].dataType).alias("__row")).unionByName(asked)
 
 
-def outside(matches: DataFrame, ranges: DataFrame, keys: list[str], allow_exact: bool = False) -> DataFrame:
+def outside(matches: DataFrame, ranges: DataFrame, keys: list[str], allow_exact: bool = False, block: int = BLOCK) -> DataFrame:
     """Matches that overlap no range; with ``allow_exact``, a range of just the match's span is no hindrance.
 
     A range overlaps a match if it starts before the match ends and ends after
-    the match starts.  So one window in the order of these places tells it: the
-    largest end of all ranges that start before a match ends.
+    the match starts.  So the largest end of all ranges that start before a match
+    ends tells it; with ``allow_exact`` the second largest too, which is the
+    largest of each range's end and the largest end before it, whichever is less.
     """
-    if allow_exact:
-        near = matches.join(ranges.select(*keys).distinct(), keys, "left_semi")  # few documents have such ranges
-        at = _positions(near, *keys, "start", "end").distinct()
-        held = _positions(ranges.select(*keys, "start", "end", F.col("start").alias("rs"), F.col("end").alias("re")), *keys, "rs", "re").distinct()
-        hit = at.join(held, [*keys, "pos"]).where("NOT (start = rs AND end = re)")
-        return matches.join(hit.select(*keys, "start", "end").distinct(), [*keys, "start", "end"], "left_anti")
-    row = F.struct(*[F.col(f"`{c}`") for c in matches.columns])
-    asked = matches.select(*keys, (F.col("end") - 1).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("int").alias("__end"), row.alias("__row"))
-    held = ranges.where("end > start").select(*keys, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.col("end").cast("int").alias("__end"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
-    reach = F.max("__end").over(Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
-    free = asked.unionByName(held).withColumn("__end", reach).where("__kind = 1 AND (__end IS NULL OR __end <= __row.start OR __row.end <= __row.start)")
-    return free.select("__row.*")
-
-
-def not_contained(matches: DataFrame, segments: DataFrame, terms: DataFrame, keys: list[str], most: int = 8, term: str = "zh") -> DataFrame:
+    row = F.col("__row")
+    mark = F.struct(F.col("end").cast("long").alias("e"), F.col("start").cast("long").alias("s"))
+    marks = ranges.where("end > start").select(*keys, F.col("start").alias("__at"), mark.alias("__mark"))
+    both = _along(matches, F.col("end") - 1, marks.distinct() if allow_exact else marks, keys).withColumn("__e", F.col("__mark.e"))
+    order = ["__at", "__kind", "__e"]
+    empty = row["end"] <= row["start"]
+    if not allow_exact:
+        met = running(both, keys, order, {"__most": ("max", F.col("__mark"))}, block=block)
+        return met.where((F.col("__kind") == 1) & (F.col("__most").isNull() | (F.col("__most.e") <= row["start"]) | empty)).select("__row.*")
+    led = running(both, keys, order, {"__led": ("max", F.col("__mark"))}, before=True, block=block)
+    less = F.when(F.col("__mark").isNotNull() & F.col("__led").isNotNull(), F.least("__mark", "__led"))
+    met = running(led.withColumn("__less", less), keys, order, {"__most": ("max", F.col("__mark")), "__next": ("max", F.col("__less"))}, block=block)
+    same = (F.col("__most.e") == row["end"]) & (F.col("__most.s") == row["start"])
+    other = F.when(same, F.col("__next")).otherwise(F.col("__most"))
+    return met.where((F.col("__kind") == 1) & (other.isNull() | (other["e"] <= row["start"]) | empty)).select("__row.*")
+
+
+def not_contained(matches: DataFrame, segments: DataFrame, terms: DataFrame, keys: list[str], most: int = 8, term: str = "zh", block: int = BLOCK) -> DataFrame:
     """Matches that lie strictly inside no dictionary segment of at most so many characters.
 
     Segments of a document don't overlap, so the last one that starts no later
     than a match is the only one that can hold it.
     """
     long = segments.where(F.col("end") - F.col("start") <= most).join(terms.select(F.col(term).alias("text")).distinct(), "text", "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in matches.columns])
-    asked = matches.select(*keys, F.col("start").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("struct<s:int,e:int>").alias("__seg"), row.alias("__row"))
     span = F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"))
-    held = long.select(*keys, F.col("start").alias("__at"), F.lit(0).alias("__kind"), span.alias("__seg"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
-    last = F.last("__seg", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
-    placed = asked.unionByName(held).withColumn("__seg", last).where("__kind = 1")
+    placed = running(_along(matches, F.col("start"), long.select(*keys, F.col("start").alias("__at"), span.alias("__mark")), keys), keys, ["__at", "__kind"], {"__seg": ("last", F.col("__mark"))}, block=block)
     inside = (F.col("__seg.e") >= F.col("__row.end")) & ((F.col("__seg.s") < F.col("__row.start")) | (F.col("__seg.e") > F.col("__row.end")))
-    return placed.where(~F.coalesce(inside, F.lit(False))).select("__row.*")
+    return placed.where("__kind = 1").where(~F.coalesce(inside, F.lit(False))).select("__row.*")
 
 
-def containing(points: DataFrame, intervals: DataFrame, keys: list[str], value: str = "text", out: str = "sentence") -> DataFrame:
-    """Adds the interval that holds each point span, or "" (an as-of look-up by window).
+def containing(points: DataFrame, intervals: DataFrame, keys: list[str], value: str = "text", out: str = "sentence", block: int = BLOCK) -> DataFrame:
+    """Adds the interval that holds each point span, or "" (an as-of look-up along the document).
 
-    Intervals of a document don't overlap; one sort per document serves all
-    spans, instead of a theta join.
+    Intervals of a document don't overlap; one sort serves all spans, instead of
+    a theta join.
     """
-    held = intervals.select(*keys, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col(value).alias("v"), F.col("end").alias("e")).alias("__iv"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("__row"))
-    asked = points.select(*keys, F.col("start").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(held.schema["__iv"].dataType).alias("__iv"), F.struct(*points.columns).alias("__row"))
-    seen = F.last("__iv", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = held.unionByName(asked).withColumn("__iv", seen).where("__kind = 1")
-    return found.select("__row.*", F.when(F.col("__row.end") <= F.col("__iv.e"), F.col("__iv.v")).otherwise(F.lit("") if held.schema["__iv"].dataType["v"].dataType.simpleString() == "string" else F.lit(None)).alias(out))
+    span = F.struct(F.col(value).alias("v"), F.col("end").alias("e"))
+    both = _along(points, F.col("start"), intervals.select(*keys, F.col("start").alias("__at"), span.alias("__mark")), keys)
+    found = running(both, keys, ["__at", "__kind"], {"__iv": ("last", F.col("__mark"))}, block=block).where("__kind = 1")
+    empty = F.lit("") if intervals.schema[value].dataType.simpleString() == "string" else F.lit(None)
+    return found.select("__row.*", F.when(F.col("__row.end") <= F.col("__iv.e"), F.col("__iv.v")).otherwise(empty).alias(out))
 
 
 def with_boundaries(matches: DataFrame) -> DataFrame:

@@ -13,13 +13,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from wordloom.functions.text import REACH, count_cjk, substr, trim_all
 
+from .scan import running
+
 # Headings and sentence ends.
 NUMERALS = "零一二三四五六七八九十百千万\\d"
 CJK_HEADING = f"第[ \\t]*[{NUMERALS}]+[ \\t]*[章节回卷部篇]|序章|序幕|楔子|引子|尾声|后记|番外(?:[{NUMERALS}]+)?(?:篇|章)?"
@@ -108,23 +110,6 @@ def match_spans(pattern: str, reach: int = 0):
     return found
 
 
-def sides_of(reach: int):
-    """A column function (text, starts, ends): what stands on either side of each span, as array<struct<left, right>>."""
-    kind = StructType([StructField("left", StringType()), StructField("right", StringType())])
-
-    @arrow_udf(ArrayType(kind))
-    def cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        held = Codes(text.to_pylist())
-        sizes = np.diff(starts.offsets.to_numpy())
-        own = np.repeat(np.arange(len(sizes)), sizes)
-        low, high = held.starts[own], held.ends[own]
-        first, last = starts.flatten().to_numpy() + low, ends.flatten().to_numpy() + low
-        sides = pa.StructArray.from_arrays([held.cut(np.maximum(low, first - reach), first), held.cut(last, np.minimum(high, last + reach))], names=kind.names)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), sides)
-
-    return cut
-
-
 @arrow_udf(ArrayType(SPAN))
 def literal_spans(text: pa.Array, term: pa.Array) -> pa.Array:
     """The non-overlapping occurrences of a term; none for an empty term."""
@@ -228,11 +213,11 @@ def occurrences(docs: DataFrame, keys: list[str], terms: DataFrame, text: str =
     return spans(both, [*keys, term], literal_spans(F.col(text), F.col(term))).select(*keys, term, "start", "end")
 
 
-def paragraph_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
+def paragraph_tokens(tokens: DataFrame, keys: list[str], block: int = 1 << 14) -> DataFrame:
     """Rows (keys, paragraph, idx, part, kind, value): text tokens split at empty lines, others inline.
 
     ``tokens`` has keys, idx, kind and value; each break moves on to the next paragraph.
     """
     parts = tokens.select(*keys, "idx", "kind", F.posexplode(F.when(F.col("kind") == "text", F.split("value", "\\n{2,}")).otherwise(F.array("value"))).alias("part", "value"))
-    order = Window.partitionBy(*keys).orderBy("idx", "part")
-    return parts.withColumn("paragraph", F.sum((F.col("part") > 0).cast("int")).over(order)).where(F.col("value") != "").select(*keys, "paragraph", "idx", "part", "kind", "value")
+    counted = running(parts, keys, ["idx", "part"], {"paragraph": ("sum", (F.col("part") > 0).cast("int"))}, block=block)
+    return counted.where(F.col("value") != "").select(*keys, "paragraph", "idx", "part", "kind", "value")

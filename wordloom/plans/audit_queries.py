@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import split_name
-from wordloom.operators import corpus_dedup, learning, lexicon, matching, quality, sampling, structure
+from wordloom.operators import automaton, corpus_dedup, learning, lexicon, matching, quality, sampling, structure
 from wordloom.sources.files import decode_corpus, decode_novel
 
 from .inputs import NOW_MS, SQL_LEX, SQL_LOW, SQL_REV, SQL_SEG, lexicon as derived_lexicon, low_docs, reviews, spread, table
@@ -151,7 +151,7 @@ def q_contained_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms inside words that lie strictly inside no term of at most eight letters."""
     docs = low_docs(spark, sf_dir)
     terms = derived_lexicon(docs)
-    hits = matching.ngrams(docs, KEYS, 6, 4, start_class="[a-z]").join(terms.select(F.col("zh").alias("text")).distinct(), "text", "left_semi")
+    hits = automaton.find(docs, KEYS, terms, start_class="[a-z]").where("length(text) <= 6")
     return matching.not_contained(hits, structure.words(docs, KEYS, reach=0), terms, KEYS).select("doc_id", "start", F.col("end").alias("stop"), "text")
 
 

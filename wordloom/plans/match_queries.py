@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.context import candidate_id
 from wordloom.functions.text import REACH, ascii_lower
-from wordloom.operators import lexicon, matching, reader, resolve, selection, structure
+from wordloom.operators import automaton, lexicon, matching, reader, resolve, selection, structure
 from wordloom.plans.staging import Workspace
 
 from .inputs import SQL_LEX, SQL_LOW, SQL_SEG, lexicon as derived_lexicon, low_docs, table
@@ -46,7 +46,7 @@ def q_overlap_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = low_docs(spark, sf_dir)
-    found = matching.match_segments(structure.words(docs, KEYS, reach=0), derived_lexicon(docs))
+    found = automaton.find_words(docs, KEYS, derived_lexicon(docs))
     per_term = found.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))
     return per_term.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("terms"), F.sum("starts").alias("starts"))
 
@@ -62,22 +62,22 @@ def q_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest lexicon term at each start inside the words of benchmark items."""
     docs = low_docs(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), ascii_lower(F.col("text")).alias("text"))
-    grams = matching.ngrams(items, KEYS, 8, 4, start_class="[a-z]")
-    return matching.longest_matches(grams, derived_lexicon(docs), KEYS).select(F.col("doc_id").alias("item_id"), "start", "text", F.col("end").alias("stop"))
+    found = automaton.find(items, KEYS, derived_lexicon(docs), start_class="[a-z]", longest=True)
+    return found.select(F.col("doc_id").alias("item_id"), "start", "text", F.col("end").alias("stop"))
 
 
 def q_longest_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest lexicon term at each start inside the words of every document."""
     docs = low_docs(spark, sf_dir)
-    grams = matching.ngrams(docs, KEYS, 8, 4, start_class="[a-z]")
-    return matching.longest_matches(grams, derived_lexicon(docs), KEYS).select("doc_id", "start", "text", F.col("end").alias("stop"))
+    return automaton.find(docs, KEYS, derived_lexicon(docs), start_class="[a-z]", longest=True).select("doc_id", "start", "text", F.col("end").alias("stop"))
 
 
 def _bounded(spark: SparkSession, sf_dir: str, reach: int = REACH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = low_docs(spark, sf_dir)
-    entries = Workspace(spark, "lexicon").write(_entries(docs), "entries")
-    found = matching.match_segments(structure.words(docs, KEYS, reach=reach), entries)
-    return docs, entries, found
+    """The documents, written once for all that reads them; the lexicon; the words that are terms, with ``reach`` characters on either side."""
+    work = Workspace(spark, "bounded")
+    docs = work.write(low_docs(spark, sf_dir), "docs")
+    entries = work.write(_entries(docs), "entries")
+    return docs, entries, automaton.find_words(docs, KEYS, entries, reach=reach).withColumn("source", F.lit("segment"))
 
 
 def q_boundary_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
