@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-TABLE_WORDS, KEPT_WORDS = 500_000, 300_000
+TABLE_WORDS, KEPT_WORDS = 200_000, 100_000
 #: Words are looked up for about so many characters of text at once.
 SLICE = 1 << 19
 

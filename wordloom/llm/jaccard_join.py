@@ -114,7 +114,7 @@ def _sketch_passes(pairs_a: np.ndarray, pairs_b: np.ndarray, sizes: np.ndarray,
         for k, i in enumerate(used):
             rows[k] = _fold(np.frombuffer(sketches[i], _U)[None], words)[0]
         most = (a[at] + b[at]) // 9
-        step = max(1, (1 << 22) // int(words))
+        step = max(1, (1 << 20) // int(words))
         for lo in range(0, len(at), step):
             x, y = place[lo : min(lo + step, len(at))], place[len(at) + lo : len(at) + min(lo + step, len(at))]
             keep[at[lo : lo + step]] = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64) <= most[lo : lo + step]
