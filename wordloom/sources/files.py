@@ -69,6 +69,12 @@ def fingerprint(name: Column, size: Column, modified_ms: Column, text: Column) -
     return F.concat(F.lit("novel-"), fnv_hex(F.concat_ws("|", name, size.cast("string"), modified_ms.cast("string"), F.left(text, F.lit(512)), tail)))
 
 
+def finished(raw: DataFrame) -> DataFrame:
+    """Rows of read files (path, file_name, file_size, modified_ms, sha256, raw) with text, fingerprint and error."""
+    error = F.when(F.col("raw").isNull(), "unknown encoding").when(trim_all(F.col("raw")) == "", "empty file")
+    return raw.select("path", "file_name", "file_size", "modified_ms", "sha256", normalize_novel(F.col("raw")).alias("text"), fingerprint(F.col("file_name"), F.col("file_size"), F.col("modified_ms"), F.col("raw")).alias("fingerprint"), error.alias("error"))
+
+
 def read_novels(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Rows (path, file_name, file_size, modified_ms, sha256, text, fingerprint, error) of the .txt files under a path.
 
@@ -76,9 +82,7 @@ def read_novels(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     named = files.withColumn("file_name", F.regexp_extract("path", "[^/]*\\z", 0)).where(is_text_file(F.col("file_name")))
-    raw = named.select("path", "file_name", F.col("length").alias("file_size"), F.unix_millis("modificationTime").alias("modified_ms"), F.sha2("content", 256).alias("sha256"), decode_novel("content").alias("raw"))
-    error = F.when(F.col("raw").isNull(), "unknown encoding").when(trim_all(F.col("raw")) == "", "empty file")
-    return raw.select("path", "file_name", "file_size", "modified_ms", "sha256", normalize_novel(F.col("raw")).alias("text"), fingerprint(F.col("file_name"), F.col("file_size"), F.col("modified_ms"), F.col("raw")).alias("fingerprint"), error.alias("error"))
+    return finished(named.select("path", "file_name", F.col("length").alias("file_size"), F.unix_millis("modificationTime").alias("modified_ms"), F.sha2("content", 256).alias("sha256"), decode_novel("content").alias("raw")))
 
 
 def changed_files(files: DataFrame, recorded: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
