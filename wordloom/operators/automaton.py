@@ -92,11 +92,11 @@ class Trie:
         base[one] = free - step[first[one]]
         return place, base, int(place.max(initial=0)) + 1
 
-    def hits(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, end) of every term that begins at one of ``starts`` and ends by its text's end."""
+    def walk(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, state) of every term that begins at one of ``starts`` and ends by its end."""
         letters = self.letter[np.minimum(codes, len(self.letter) - 1)]
         start, at, end, state = starts, starts, ends, np.zeros(len(starts), np.int64)
-        found = []
+        found = [(np.zeros(0, np.int64),) * 3]
         while len(at):
             on = at < end
             start, at, end, state = start[on], at[on], end[on], state[on]
@@ -105,13 +105,23 @@ class Trie:
             on = (letter > 0) & (self.check[child] == state)
             start, at, end, state = start[on], at[on] + 1, end[on], child[on]
             hit = self.ends[state]
-            found.append((start[hit], at[hit]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        start, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.append((start[hit], at[hit], state[hit]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def hits(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of those terms, in order."""
+        start, at, _ = self.walk(codes, starts, ends)
         order = np.lexsort((at, start))
         return start[order], at[order]
 
+    def states(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The state at which each whole term [start, end) ends; all are terms."""
+        letters, at, state = self.letter[codes], starts.copy(), np.zeros(len(starts), np.int64)
+        while (on := at < ends).any():
+            state[on] = self.base[state[on]] + letters[at[on]]
+            at[on] += 1
+        return state
+
 
 def _allowed(codes: np.ndarray, pattern: re.Pattern) -> np.ndarray:
     letters, place = np.unique(codes, return_inverse=True)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.context import candidate_id
 from wordloom.functions.text import REACH, ascii_lower
-from wordloom.operators import automaton, lexicon, matching, reader, resolve, selection, structure
+from wordloom.operators import automaton, lexicon, matching, reader, resolve, segmentation, selection, structure
 from wordloom.plans.staging import Workspace
 
-from .inputs import SQL_LEX, SQL_LOW, SQL_SEG, lexicon as derived_lexicon, low_docs, table
+from .inputs import LEAST_DOCS, SQL_LEX, SQL_LOW, SQL_SEG, lexicon as derived_lexicon, low_docs, table, tokens
 
 KEYS = ["doc_id"]
 PRODUCTION = "zh rlike '^[a-z]{2,8}$'"
@@ -231,6 +231,18 @@ def q_uncertain_starts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.uncertain_starts(structure.words(docs, KEYS), derived_lexicon(docs), KEYS, 8, script="[a-z]").select("doc_id", "start")
 
 
+def q_glued_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document found again after the spaces between them are taken out.
+
+    The dictionary has the words of 2 to 12 letters in at least LEAST_DOCS documents, with their uses.
+    """
+    docs = Workspace(spark, "glued").write(low_docs(spark, sf_dir).select("doc_id", "text"), "docs")
+    uses = tokens(docs).where("length(term) BETWEEN 2 AND 12").groupBy("term").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+    glued = docs.select("doc_id", F.regexp_replace("text", "(?<=[a-z]) (?=[a-z])", "").alias("text"))
+    found = segmentation.segments(glued, KEYS, uses, term="term", uses="uses", script="[a-z]", reach=0)
+    return found.where("text rlike '^[a-z]'").select("doc_id", "start", F.col("end").alias("stop"), "text")
+
+
 def q_find_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reader's whole search: overrides, blacklist, policy, title, both paths and the scan of documents without matches.
 
@@ -274,7 +286,7 @@ def q_candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     q_lexicon_dedup, q_lexicon_overrides, q_overlap_terms, q_token_match, q_blacklist_anti, q_longest_match, q_longest_match_documents, q_boundary_confidence, q_candidate_select, q_context_rules,
     q_category_for, q_interval_antijoin, q_asof_sentence, q_overlap_components, q_overlap_resolve, q_match_score, q_round_robin_rank, q_capped_pool, q_density_prefix,
-    q_safe_replacements, q_render_tokens, q_quiz_questions, q_uncertain_starts, q_uncertain_starts_documents, q_find_terms, q_match_diagnostics, q_sample_windows, q_candidate_ids,
+    q_safe_replacements, q_render_tokens, q_quiz_questions, q_uncertain_starts, q_uncertain_starts_documents, q_find_terms, q_glued_segments, q_match_diagnostics, q_sample_windows, q_candidate_ids,
 )}
 
 _HARD = r"[\s，。！？；：、“”‘’（）《》【】\-—…,.!?;:()\[\]{}\"'']"
