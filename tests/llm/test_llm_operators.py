@@ -229,8 +229,8 @@ def test_line_dedup_of_clashing_names_and_long_texts(spark):
     got = sorted(line_dedup.dedup_lines(table).collect())
     assert [(r.doc_id, r["__row"], r["__gone"], r.digest, r["__n_lines"], r["__n_dropped"]) for r in got] == [(1, 5, [1], "a", 20001, 0), (2, 6, None, None, 20001, 20001), (2, 6, None, None, 20001, 20001)]
     assert got[0].text == many and got[1].text == got[2].text == ""
-    with pytest.raises(ValueError, match="name the counts otherwise"):
-        line_dedup.dedup_lines(table.withColumnRenamed("digest", "__N_lines"))
+    odd = line_dedup.dedup_lines(table.withColumnRenamed("digest", "__N_lines"))
+    assert odd.columns[-2:] == ["___n_lines", "__n_dropped"] and sorted(r["___n_lines"] for r in odd.collect()) == [20001] * 3
     other = line_dedup.dedup_lines(table.withColumnRenamed("digest", "__n_lines"), counts=("before", "lost"))
     assert sorted(r.lost for r in other.collect()) == [0, 20001, 20001]
 

@@ -11,7 +11,10 @@ KEPT_WORDS used most, so memory does not grow with the corpus.  A table for the
 with a shuffle of positions was ruled out by measure; see README.
 
 Defined cases: null and empty texts have no ids and decode to ""; null id
-arrays decode to ""; unknown ids raise.
+arrays decode to ""; unknown ids raise; repeated rows are encoded one by one; an
+empty table gives no rows; a text is encoded whole, however long, in memory of
+some 20 times its size; ``encode`` and ``encode_decode`` read key and text alone,
+so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ of the canonical form.  Notices of one line match by the canonical form alone.
 Defined cases: a null, empty or all-punctuation text has an empty form and
 matches nothing; a text of one long line keeps its body though it begins with a
 copyright notice; repeated rows give repeated results; several known ids with
-one digest give the smallest id; texts are used whole, however long.  Only key
-and text are read.
+one digest give the smallest id; texts are used whole, however long; an empty
+table gives no rows.  Only key and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

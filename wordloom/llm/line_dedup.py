@@ -11,8 +11,8 @@ rows (same doc_id and text) are one document and are treated alike; rows with a
 null doc_id neither count nor lose lines; a document that loses every line
 keeps an empty text; lines of any length and texts of any number of lines are
 treated alike, and what travels of a line is its digest.  Other columns pass
-through untouched, whatever their names; a clash with the names of the two
-counts raises before any work.
+through untouched, whatever their names: where one is named as a count, the
+count's name gets underscores in front.  The counts are the last two columns.
 """
 
 from __future__ import annotations
@@ -52,8 +52,7 @@ def _put_together(lines: Column, gone: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("__n_lines", "__n_dropped")) -> DataFrame:
     """``docs`` with ``text`` cleaned; the numbers of lines before and of lines dropped (long) follow under the names of ``counts``."""
-    if len({c.lower() for c in (*docs.columns, *counts)}) < len(docs.columns) + 2:
-        raise ValueError(f"the input has a column named as one of {counts}; name the counts otherwise")
+    counts = tuple(fresh(docs.columns, *counts))
     row, gone_at = fresh((*docs.columns, *counts), "__row", "__gone")
     work = Workspace(docs.sparkSession, "lines")
     body, same = F.col(f"`{text}`"), F.xxhash64(F.col(f"`{text}`"))

@@ -12,7 +12,9 @@ are added spans.  Spans are in code points, end exclusive, ordered by kind as
 listed in KINDS, then by start.
 
 Defined cases: null and empty texts have no spans; repeated rows are handled
-one by one; ``redact`` leaves texts without spans unchanged, nulls included.
+one by one; an empty table gives no rows; texts are read whole, however long;
+``find_pii`` reads key and text alone, so other columns can't clash; ``redact``
+passes them through and leaves texts without spans unchanged, nulls included.
 """
 
 from __future__ import annotations
@@ -29,10 +31,16 @@ KINDS = (*BASE, "url", "secret", "account", "address")
 
 # Cues and schemes.
 SCHEMES = ("http://", "https://", "ftp://")
-SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
+SECRET_CUES = ("token", "secret", "password", "passwd", "passwort", "kennwort", "mot de passe", "contraseña", "api_key", "api-key", "api key", "apikey", "access_key", "access-key", "access key")
 ACCOUNT_CUES = ("iban", "account", "acct", "passport", "ssn")
 SHORT_STREET_CUES = (" st", " ave", " rd", " blvd", " ln", " dr")
-MONTHS = frozenset(("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"))
+MONTHS = frozenset((
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "januar", "februar", "märz", "mai", "juni", "juli", "oktober", "dezember",
+    "janvier", "février", "mars", "avril", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre",
+    "enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre",
+))
+YEAR_CUES = frozenset(("in", "since", "by", "until", "till", "from", "of", "year", "im", "seit", "jahr", "bis", "en", "depuis", "an", "année", "desde", "hasta", "año"))
 STREET_CUES = ("street", "avenue", "road", "boulevard", "straße", "strasse", "rue ", "calle ")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -43,7 +51,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s\"'<>]++")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_\-./+=]{12,})")
+_SECRET = re.compile(r"[\"']?(?:\s{0,3}[:=]\s{0,3}|\s{1,3}(?:is|ist|est|es)\s{1,3})[\"']?([A-Za-z0-9_\-./+=]{12,})")
 _ACCOUNT_GAP = re.compile(r"(?:\s{0,3}(?:no|nr|number|id)\b)?(?:\s{1,3}is\b)?[\s.:#=]{1,5}", re.IGNORECASE)
 _ACCOUNT = re.compile(r"[A-Za-z]{0,2}[0-9][A-Za-z0-9]{5,33}(?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
@@ -62,6 +70,7 @@ _LOW_NAME_AFTER = re.compile(rf"(?:{_SMALL} )*(?:[ld]['’])?{_WORD}")
 _HOUSE_BEFORE = re.compile(rf"{_NUMBER},? (?:(?:{_WORD} ){{1,3}}|{_PROPER} (?:(?:{_SMALL} )*{_PROPER} )+)\Z")
 _SHORT_BEFORE = re.compile(rf"{_NUMBER},? (?:{_PROPER} ){{1,5}}\Z")
 _HOUSE_AFTER = re.compile(rf"[^\W\d_]{{0,30}},? [0-9]{{1,5}}[a-z]?(?![A-Za-z0-9])|(?:(?:{_WORD} ){{0,2}}{_WORD}|{_STREET_NAME}),? [0-9]{{1,5}}[a-z]?(?![A-Za-z0-9])")
+_BARE_NUMBER = re.compile(r",? [0-9]")
 _PROPER_BEFORE = re.compile(rf"(?<![^\W_])(?:{_PROPER} )+\Z")
 _COMPOUND_BEFORE = re.compile(r"(?<![^\W_])[^\W\d_]{1,40}(?:-[^\W\d_]{1,40}){0,5}-?\Z")
 # Letters that a street's name and number may take on either side of the cue.
@@ -104,6 +113,15 @@ def _account(text: str, end: int, only_iban: bool) -> tuple[int, int] | None:
     return None
 
 
+def _is_date(text: str, low: int, found: re.Match) -> bool:
+    """Whether the number of a find is a day before a month or a year after a word of time: 5 December the road, in 2019 Wall Street."""
+    words = found[0].replace(",", " ").split()
+    if len(words) > 1 and words[1].rstrip(".").lower() in MONTHS:
+        return True
+    before = text[max(low, found.start() - 12) : found.start()].split()
+    return len(words[0]) == 4 and words[0][:2] in ("18", "19", "20", "21") and bool(before) and before[-1].lower() in YEAR_CUES
+
+
 def _address(text: str, low: int, start: int, end: int) -> tuple[int, int] | None:
     """The street address around a cue: number and street, street and name, or street and number."""
     compound = text[start].lower() == "s" and text[start + 3].lower() == "a"  # Straße
@@ -115,8 +133,10 @@ def _address(text: str, low: int, start: int, end: int) -> tuple[int, int] | Non
     if m := _NUMBER_BEFORE.search(text, left, start):
         if after := _NAME_AFTER.match(text, end, right) or spaced and _LOW_NAME_AFTER.match(text, end, right):
             return m.start(), after.end() - (text[after.end() - 1] == ".")
-    if m := _HOUSE_BEFORE.search(text, left, start):
+    if (m := _HOUSE_BEFORE.search(text, left, start)) and not _is_date(text, low, m):
         return m.start(), end - spaced
+    if not compound and not spaced and text[start].islower() and _BARE_NUMBER.match(text, end, right):
+        return None  # the road 66
     if after := _HOUSE_AFTER.match(text, end, right):
         if compound and (m := _COMPOUND_BEFORE.search(text, left, start) or _PROPER_BEFORE.search(text, left, start)):
             start = m.start()
@@ -130,7 +150,7 @@ def _short_address(text: str, low: int, start: int, end: int) -> tuple[int, int]
         return None
     m = _SHORT_BEFORE.search(text, max(low, start - _NEAR), start + 1)
     # a number and a month are a date: on 12 May St. Peter
-    return (m.start(), end) if m and m[0].split()[-1] not in MONTHS else None
+    return (m.start(), end) if m and m[0].split()[-1].lower() not in MONTHS and not _is_date(text, low, m) else None
 
 
 def _automaton():
@@ -185,7 +205,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 got = (start, end + len(m[0].rstrip(".,;:!?)]}")))
         elif kind == "secret":
             if (m := _SECRET.match(text, end)) and any(c in "0123456789" for c in m[1]):
-                got = m.span(1)
+                got = m.start(1), m.start(1) + len(m[1].rstrip("."))
         elif kind == "account":
             got = _account(text, end, cue == "iban")
         elif parser == "short address":

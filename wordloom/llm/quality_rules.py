@@ -5,7 +5,8 @@ measurements.  Policies are versioned masks over those bits: applying one, or
 asking what a rule costs, reads the ledger and never the texts again.
 
 Defined cases: a null or word-less text measures 0 everywhere and fails
-``few_words``; repeated rows are judged one by one; all other columns of the
+``few_words``; repeated rows are judged one by one; an empty table gives an empty
+ledger and an empty ablation; all other columns of the
 input are left out of the ledger.  The work of a row grows as n log n with its
 words, whatever they are.
 """

@@ -72,7 +72,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
-    return clean.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    before, dropped = clean.columns[-2:]
+    return clean.select("doc_id", F.col(before).alias("n_lines"), F.col(dropped).alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ Defined cases: null vectors, and vectors with a null, NaN or infinite
 component, take no part; vectors of other lengths, empty ones too, count missing
 components as 0; an empty table gives no rows; repeated ids are candidates of
 their own, and a query meets every row whose id differs from its own; null ids
-take no part.  Columns beyond key and vector are not read.
+take no part; where scores could exceed 64 bits (the largest norm of a query times
+that of a row), the operator raises before any score is made.  Columns beyond
+key and vector are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from wordloom.plans.staging import Workspace
 
 QUERY_BLOCK, ROW_BLOCK = 32_768, 16_384
-#: Weights that a block holds at most (a longer vector is a block of its own).
+#: Weights that a block holds on average at most.
 CELLS = 1 << 22
 
 
@@ -37,7 +39,8 @@ def weights(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector: s
     value = F.col(vector)
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     usable = value.isNotNull() & F.forall(value, lambda x: F.coalesce(fine(x), F.lit(False))) & F.col(key).isNotNull()
-    return vectors.where(usable).select(F.col(key), F.transform(value, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("terms"))
+    whole = lambda x: F.when(F.abs(x) < float(1 << 62), F.floor(x).cast("long")).otherwise(F.raise_error(F.lit("a weight exceeds 62 bits")).cast("long"))
+    return vectors.where(usable).select(F.col(key), F.transform(value, lambda x: whole(F.lit(scale) * x.cast("double"))).alias("terms"))
 
 
 class Postings:
@@ -86,7 +89,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, ke
     work = Workspace(vectors.sparkSession, "topk")
     rows = work.write(weights(vectors.where(F.col(key).isNotNull()), scale, key, vector).withColumn("asks", F.coalesce(is_query, F.lit(False))), "weights")
     asked = rows.where("asks").select(F.col(key).alias("id"), "terms").distinct()
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("cells"), F.count_if("asks").alias("m"), F.sum(F.when(F.col("asks"), F.size("terms"))).alias("asked")).first()
+    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double")))
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("cells"), F.count_if("asks").alias("m"), F.sum(F.when(F.col("asks"), F.size("terms"))).alias("asked"), F.max(norm).alias("norm"), F.max(F.when(F.col("asks"), norm)).alias("asked_norm")).first()
+    if (counts.norm or 0) * (counts.asked_norm or 0) >= 1 << 62:  # no sum of products is larger, nor is a part of it
+        raise OverflowError(f"scores of vectors with norms up to {counts.asked_norm} and {counts.norm} may exceed 64 bits")
     row_blocks = max(-(-counts.n // ROW_BLOCK), -(-(counts.cells or 0) // CELLS), 1)
     query_blocks = max(-(-counts.m // QUERY_BLOCK), -(-(counts.asked or 0) // CELLS), 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -246,21 +246,23 @@ def read(archives: DataFrame, content: str = "content") -> DataFrame:
     framing or digest raises.
     """
     every = records(archives, content)
-    plain = every.where("segment = 0").select("record_id", *_HEAD, "block")
+    plain = every.where("segment = 0").select("record_id", *_HEAD, F.array("block").alias("blocks"))
     parts = every.where("segment > 0").groupBy("origin").agg(
         F.max_by(F.struct(*_HEAD), -F.col("segment")).alias("head"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         F.max("total").alias("total"),
     )
-    block = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["block"])), ""))
-    sound = F.coalesce((F.col("total") == F.octet_length("block")) & (F.element_at("parts", -1)["segment"] == F.size("parts")), F.lit(False))
-    joined = parts.withColumn("block", block).select(F.col("origin").alias("record_id"), "head.*", F.when(sound, F.col("block")).otherwise(F.raise_error(F.lit("segments are missing"))).alias("block"))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["block"]))
+    sound = F.coalesce((F.col("total") == length) & (F.element_at("parts", -1)["segment"] == F.size("parts")), F.lit(False))
+    blocks = F.when(sound, F.transform("parts", lambda x: x["block"])).otherwise(F.raise_error(F.lit("segments are missing")))
+    joined = parts.select(F.col("origin").alias("record_id"), "head.*", blocks.alias("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, payloads = [], [], []
-            for kind, stated, media, block in zip(batch["record_type"].to_pylist(), batch["payload_digest"].to_pylist(), batch["content_type"].to_pylist(), batch["block"], strict=True):
-                fields, payload = _message(block.as_py()) if (media or "").lower().startswith("application/http") else ({}, block.as_py())
+            for kind, stated, media, block in zip(batch["record_type"].to_pylist(), batch["payload_digest"].to_pylist(), batch["content_type"].to_pylist(), batch["blocks"], strict=True):
+                whole = b"".join(block.as_py())
+                fields, payload = _message(whole) if (media or "").lower().startswith("application/http") else ({}, whole)
                 if kind == "revisit":
                     length = fields.get("content-length", "")
                     sizes.append(int(length) if length.isdigit() else None)
