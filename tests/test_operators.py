@@ -220,8 +220,8 @@ def test_sketches_pairs_and_groups(spark):
     rows = {r.doc_id: r.signature for r in sketches.collect()}
     grams = {sum(ord(c) * pow(16777619, 19 - k, 2**32) for k, c in enumerate(base[i : i + 20])) % 2**32 for i in range(len(base) - 19)}
     assert rows[0] == sorted(grams)[:256] and rows[3] == [] and rows[4] == []
-    pairs = {(r.a, r.b) for r in corpus_dedup.near_pairs(sketches, "doc_id").collect()}
-    assert pairs == {(0, 1), (0, 2), (1, 2)}
+    pairs = {(r.a, r.b) for r in corpus_dedup.near_links(sketches, "doc_id").collect()}
+    assert pairs == {(0, 1), (0, 2)}
     groups = {r.doc_id: r.group_id for r in corpus_dedup.groups(table, "doc_id", corpus_dedup.near_links(sketches, "doc_id"), "seed").collect()}
     assert groups[0] == groups[1] == groups[2] and len(set(groups.values())) == 4
 

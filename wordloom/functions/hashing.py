@@ -45,8 +45,3 @@ def split_name(text: Column, hex_digits: int) -> Column:
 def group_digest(members: Column, joiner: str = ":", digits: int = 16) -> Column:
     """A name for a set of members that doesn't depend on their order."""
     return F.substring(F.sha2(F.array_join(F.array_sort(members), joiner), 256), 1, digits)
-
-
-def set_fingerprint(members: Column) -> Column:
-    """SHA-256 of the sorted members, one a line; a digest of a sequence needs all members in one task."""
-    return F.sha2(F.array_join(F.array_sort(members), "\n"), 256)

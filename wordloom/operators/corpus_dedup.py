@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from wordloom.functions.hashing import group_digest, split_name
+from wordloom.functions.hashing import split_name
 from wordloom.functions.numbers import ratio
 from wordloom.functions.text import nfkc
-from wordloom.operators.components import connected_components
 from wordloom.plans.staging import Workspace
 
+from .components import connected_components
+from .digests import ordered_digest
+
 # Fixed values of the sketch.
 WIDTH, SIZE, BASE, THRESHOLD = 20, 256, 16777619, 0.9
 #: Hashes of more files than this are matched in salted slices.
@@ -48,19 +50,25 @@ def bottom_k(text: pd.Series) -> pd.Series:
 def candidate_pairs(sketches: DataFrame, key: str, threshold: float = THRESHOLD, signature: str = "signature") -> DataFrame:
     """Rows (a, b), a < b: every pair of sketches that can reach the threshold.
 
-    To share c of its n hashes with a larger sketch, the smaller one must share
-    one of its first n - c + 1, so only these probe the hashes of the larger.
-    A hash that many files hold is dealt out by a salt on one side and copied to
-    all salts on the other, so no task gets all of its pairs.
+    The hashes of a sketch are put in one order for all, the rarest first.  To
+    share c of its n hashes with a larger sketch, the smaller one must share one
+    of its first n - c + 1, and the larger one of its first m - c + 1, and enough
+    hashes must follow both places.  Hashes of one file alone come first and
+    match nothing, so most files have nothing left to probe with, and common
+    hashes probe last.  A hash that many files hold is dealt out by a salt on one
+    side and copied to all salts on the other, so no task gets all of its pairs.
     """
-    each = sketches.select(F.col(key).alias("id"), F.size(signature).alias("n"), F.col(signature).alias("s"))
-    held = each.select("id", "n", F.explode("s").alias("h"))
-    first = F.col("n") - F.floor(F.col("n") * F.lit(threshold)).cast("int") + 1
-    probe = each.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("s", F.lit(1), F.least(first, F.col("n")))).alias("h"))
-    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / HOT).cast("int").alias("salts"))
-    left = probe.join(counts, "h").select("h", "x", "nx", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    right = held.join(counts, "h").select("h", "id", "n", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
-    pairs = left.join(right, ["h", "salt"]).where("nx < n OR (nx = n AND x < id)")
+    held = sketches.select(F.col(key).alias("id"), F.size(signature).alias("n"), F.explode(signature).alias("h"))
+    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    order = Window.partitionBy("id")
+    shared = held.join(counts, "h").withColumn("pos", F.row_number().over(order.orderBy("m", "h")) + F.col("n") - F.count(F.lit(1)).over(order))
+    least = lambda n: F.floor(n * F.lit(threshold)).cast("int")
+    salts = F.ceil(F.col("m") / HOT).cast("int")
+    probe = shared.where(F.col("pos") <= F.col("n") - least(F.col("n")) + 1)
+    left = probe.select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    right = shared.select("h", "id", "n", "pos", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    needed = least(F.col("nx"))
+    pairs = left.join(right, ["h", "salt"]).where("nx < n OR (nx = n AND x < id)").where((F.col("pos") <= F.col("n") - needed + 1) & (1 + F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("pos")) >= needed))
     return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
@@ -75,8 +83,10 @@ def similar_sketches(sketches: DataFrame, key: str, threshold: float = THRESHOLD
 def _nodes(sketches: DataFrame, key: str, signature: str) -> tuple[DataFrame, DataFrame]:
     """The first file of each sketch (key, signature), and the other files with theirs (id, node); empty sketches go."""
     full = sketches.where(F.size(signature) > 0)
-    nodes = full.groupBy(signature).agg(F.min(key).alias(key))
-    copies = full.select(F.col(key).alias("id"), signature).join(nodes.withColumnRenamed(key, "node"), signature).where("id <> node").select("id", "node")
+    named = full.select(F.col(key).alias("id"), F.sha2(F.array_join(F.col(signature).cast("array<string>"), ","), 256).alias("__digest"))
+    firsts = named.groupBy("__digest").agg(F.min("id").alias("node"))
+    copies = named.join(firsts, "__digest").where("id <> node").select("id", "node")
+    nodes = full.join(firsts.select(F.col("node").alias(key)), key, "left_semi").select(signature, key)
     return nodes, copies
 
 
@@ -86,31 +96,16 @@ def near_links(sketches: DataFrame, key: str, threshold: float = THRESHOLD, sign
     return similar_sketches(nodes, key, threshold, signature).unionByName(copies.select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
-def near_pairs(sketches: DataFrame, key: str, threshold: float = THRESHOLD, signature: str = "signature") -> DataFrame:
-    """Rows (a, b, similarity), a < b: all pairs of files, copies too.
-
-    Files with equal sketches are one node of the join and their pairs follow by
-    membership, so the result grows with the square of the number of copies;
-    ``near_links`` says the same without that.
-    """
-    nodes, copies = _nodes(sketches, key, signature)
-    member = copies.unionByName(nodes.select(F.col(key).alias("id"), F.col(key).alias("node")))
-    found = similar_sketches(nodes, key, threshold, signature)
-    across = found.join(member.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("node").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "similarity")
-    same = member.join(member.select("node", F.col("id").alias("y")), "node").where("id < y").select(F.col("id").alias("x"), "y", F.lit(1.0).alias("similarity"))
-    return across.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-
-
 def groups(files: DataFrame, key: str, links: DataFrame, seed: str | None = None, prefix: str = "book-") -> DataFrame:
     """Rows (key, root, group_id, split): components, named by their members, and their split.
 
-    The name depends on membership alone, as the digest of all sorted members; a
-    group's ids meet in one task for that.  A file without links is a group.
+    The name depends on membership alone, as the digest of all sorted members,
+    which stream through one task.  A file without links is a group.
     """
     work = Workspace(files.sparkSession, "groups")
     roots = connected_components(links, work)
     member = files.select(F.col(key).alias("node")).distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = member.groupBy("root").agg(F.concat(F.lit(prefix), group_digest(F.collect_list(F.col("node").cast("string")))).alias("group_id"))
+    named = ordered_digest(member, ["root"], "node", ":", 16, "group_id").withColumn("group_id", F.concat(F.lit(prefix), "group_id"))
     name = F.col("group_id") if seed is None else F.concat_ws(":", F.lit(seed), "group_id")
     return member.join(named, "root").select(F.col("node").alias(key), "root", "group_id", split_name(name, 2 if seed is None else 8).alias("split"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wordloom.functions.numbers import ratio, wilson95
+from wordloom.plans.staging import Workspace
+
+from .sampling import ranked
 
 
 def judged(labels: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -32,10 +35,34 @@ _RATIOS = {
 }
 
 
+def _sums() -> list[Column]:
+    return [(F.count(F.lit(1)) if flag is None else F.count_if(F.col(flag))).alias(name) for name, flag in _COUNTS.items()]
+
+
 def report(outcomes: DataFrame, by: list[str] | None = None, intervals: bool = True) -> DataFrame:
     """Counts, ratios and 95 % intervals in one aggregation, over all or per group."""
-    counts = [(F.count(F.lit(1)) if flag is None else F.count_if(F.col(flag))).alias(name) for name, flag in _COUNTS.items()]
-    sums = (outcomes.groupBy(*by) if by else outcomes.groupBy()).agg(*counts)
+    return _figures((outcomes.groupBy(*by) if by else outcomes.groupBy()).agg(*_sums()), intervals)
+
+
+def reports(outcomes: DataFrame, genres: DataFrame, key: str) -> DataFrame:
+    """The reports over all, per split and category, and per genre (column level), as grouping sets of one aggregation.
+
+    An outcome is one row without a genre and one for each of its genres, so a
+    level takes the rows that are its own.  Without outcomes there are no rows.
+    """
+    own = genres.select(key, F.array_distinct("genres").alias("__genres"))
+    none = F.array(F.lit(None).cast("string"))
+    each = outcomes.join(own, key, "left").withColumn("genre", F.explode(F.concat(none, F.coalesce(F.array_compact("__genres"), F.array().cast("array<string>")))))
+    each = each.withColumn("__whole", F.col("genre").isNull())
+    whole, split, category, genre = (F.col(c) for c in ("__whole", "split", "category", "genre"))
+    sums = each.groupingSets([[whole], [whole, split, category], [whole, genre]], whole, split, category, genre).agg(F.grouping("split").alias("__no_split"), F.grouping("genre").alias("__no_genre"), *_sums())
+    level = F.when(F.col("__no_genre") == 0, "genre").when(F.col("__no_split") == 0, "category").otherwise("all")
+    named = sums.withColumn("level", level).where(F.col("__whole") == (F.col("level") != "genre"))
+    return _figures(named.select("level", "split", "category", "genre", *_COUNTS))
+
+
+def _figures(sums: DataFrame, intervals: bool = True) -> DataFrame:
+    """Sums with their ratios and intervals."""
     keeps = F.col("total") - F.col("expected_replacements")
     out = sums.select("*", *[ratio(F.col(a), F.col(b)).alias(name) for name, (a, b) in _RATIOS.items()], ratio(F.col("correct_keeps"), keeps).alias("abstention_accuracy"))
     if intervals:
@@ -184,9 +211,35 @@ def require_coverage(samples: DataFrame, least: int, splits: list[str], categori
     return sums.withColumn("reviewed", F.when(fine, F.col("reviewed")).otherwise(F.raise_error(F.lit("the reviewed samples do not cover what is required"))))
 
 
+#: The collation of proposals: Chinese words by their sound.
+LOCALE = "zh"
+
+
 def proposal(promoted: DataFrame) -> DataFrame:
-    """Promotions in the order of a proposal: most support first, then by id."""
-    return promoted.orderBy(F.desc("development_support"), "candidate_id")
+    """Promotions with ``place`` (long, from 1): most support first, then by id in the order of the locale.
+
+    Ids that the locale holds equal go by their characters.  Places come from a
+    range partition, so no task holds all promotions.
+    """
+    order = ["__support", "__sound", "candidate_id"]
+    ready = promoted.withColumn("__support", -F.col("development_support")).withColumn("__sound", F.collate("candidate_id", LOCALE)).withColumn("__all", F.lit(1))
+    placed = ranked(ready, order, "__all").withColumn("place", F.col("__i") + 1)
+    return placed.select(*promoted.columns, "place").orderBy("place")
+
+
+def observed_diagnostics(matches: DataFrame, work: Workspace, name: str = "matches") -> tuple[DataFrame, DataFrame]:
+    """The written matches, and ``diagnostics`` of them gathered while they were written."""
+    sources, reasons, edges = ("segment", "scan", "both"), ("correction", "context", "priority", "ambiguous"), range(3)
+    cells = [(s, r, b) for s in sources for r in reasons for b in edges]
+    met = Observation(f"{name}-diagnostics")
+    here = lambda s, r, b: (F.col("source") == s) & (F.col("reason") == r) & (F.col("boundary_confidence") == b)
+    counts = [F.count_if(here(*c)).alias(f"n{i}") for i, c in enumerate(cells)] + [F.count_if(here(*c) & (F.col("confidence") == "high")).alias(f"h{i}") for i, c in enumerate(cells)]
+    written = work.write(matches.observe(met, F.count(F.lit(1)).alias("rows"), *counts), name)
+    figures = met.get
+    if figures["rows"] != sum(figures[f"n{i}"] for i in range(len(cells))):
+        raise ValueError("a match has a source, reason or boundary that is not known")
+    rows = [(*c, figures[f"n{i}"], figures[f"h{i}"]) for i, c in enumerate(cells) if figures[f"n{i}"]]
+    return written, matches.sparkSession.createDataFrame(rows, "source string, reason string, boundary_confidence int, n long, n_high long")
 
 
 def gate(one_report: DataFrame, least: dict[str, float]) -> DataFrame:

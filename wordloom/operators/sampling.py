@@ -87,7 +87,7 @@ def new_candidates(candidates: DataFrame, samples: DataFrame, fingerprint: str =
     return named.join(samples.select("id").distinct(), "id", "left_anti")
 
 
-def _ranked(pool: DataFrame, order: list[str], group: str) -> DataFrame:
+def ranked(pool: DataFrame, order: list[str], group: str) -> DataFrame:
     """Adds __i, the 0-based rank of each row in its group, and __n, the group's size.
 
     Rows are written in a range partition over (group, order); a rank is the
@@ -111,7 +111,7 @@ def annotation_pack(pool: DataFrame, limit: int, order: list[str], n_categories:
     No category is null.  ``order`` is a total order, but for equal rows.
     """
     quota = F.lit(-(-limit // max(1, n_categories)))
-    rows = _ranked(pool, order, "category")
+    rows = ranked(pool, order, "category")
     pick = F.ceil(F.col("__i") * quota / F.col("__n")).cast("long")
     hit = (pick < F.least(quota, F.col("__n"))) & (F.floor(pick * F.col("__n") / quota) == F.col("__i"))
     picked = rows.where(hit).withColumn("pick", pick).drop("__i", "__n").withColumn("__stage", F.lit(0))

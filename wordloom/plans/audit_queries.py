@@ -176,7 +176,7 @@ _RATIO = "round(CASE WHEN {1} = 0 THEN 0 ELSE {0}::DOUBLE / {1} END, 9)"
 _TRIM = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 
 ORACLES = {
-    "q_proposal": quality_oracles["q_promotion_status"],
+    "q_proposal": f"SELECT *, row_number() OVER (ORDER BY development_support DESC, candidate_id COLLATE zh, candidate_id)::BIGINT AS place FROM ({quality_oracles['q_promotion_status']}) AS p",
     "q_feedback": rf"""
 WITH {SQL_LOW}, f AS (SELECT regexp_extract(text, '[a-z]{{3,}}') AS w, left(text, 300) AS s, left(text, 200) AS g FROM low WHERE regexp_matches(text, '[a-z]{{3,}}'))
 SELECT w || ':' || reverse(w) || ':' || regexp_replace(regexp_replace(replace(s, w, '{{词}}'), '\s+', '', 'g'), '[“”‘’]', '"', 'g') AS key, w AS text, reverse(w) AS en, left({_TRIM.format('g')}, 120) AS suggestion, {NOW_MS}::BIGINT AS created_at, 'pending' AS status FROM f

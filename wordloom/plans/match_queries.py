@@ -269,6 +269,14 @@ def q_match_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics(chosen)
 
 
+def q_match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same figures, gathered while the matches are written."""
+    from wordloom.operators.quality import observed_diagnostics
+
+    _, chosen = _selected(spark, sf_dir)
+    return observed_diagnostics(chosen, Workspace(spark, "metrics"))[1]
+
+
 def q_sample_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 80 characters around every occurrence of each document's first word of three letters or more."""
     docs = low_docs(spark, sf_dir)
@@ -286,7 +294,7 @@ def q_candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     q_lexicon_dedup, q_lexicon_overrides, q_overlap_terms, q_token_match, q_blacklist_anti, q_longest_match, q_longest_match_documents, q_boundary_confidence, q_candidate_select, q_context_rules,
     q_category_for, q_interval_antijoin, q_asof_sentence, q_overlap_components, q_overlap_resolve, q_match_score, q_round_robin_rank, q_capped_pool, q_density_prefix,
-    q_safe_replacements, q_render_tokens, q_quiz_questions, q_uncertain_starts, q_uncertain_starts_documents, q_find_terms, q_glued_segments, q_match_diagnostics, q_sample_windows, q_candidate_ids,
+    q_safe_replacements, q_render_tokens, q_quiz_questions, q_uncertain_starts, q_uncertain_starts_documents, q_find_terms, q_glued_segments, q_match_diagnostics, q_match_metrics, q_sample_windows, q_candidate_ids,
 )}
 
 _HARD = r"[\s，。！？；：、“”‘’（）《》【】\-—…,.!?;:()\[\]{}\"'']"
@@ -428,6 +436,7 @@ w AS (SELECT item_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS k FROM i),
 SELECT DISTINCT item_id, (s + d)::INTEGER AS start FROM (SELECT *, unnest(range(0, length(w))) AS d FROM s WHERE regexp_matches(w, '^[a-z]') AND length(w) <= 8 AND w NOT IN (SELECT zh FROM t))
 """,
     "q_match_diagnostics": f"{_BASE}, {_EDGE}, {_SENSE} SELECT 'segment' AS source, reason, bc::INTEGER AS boundary_confidence, count(*)::BIGINT AS n, count(*)::BIGINT AS n_high FROM c GROUP BY 2, 3",
+    "q_match_metrics": f"{_BASE}, {_EDGE}, {_SENSE} SELECT 'segment' AS source, reason, bc::INTEGER AS boundary_confidence, count(*)::BIGINT AS n, count(*)::BIGINT AS n_high FROM c GROUP BY 2, 3",
     "q_sample_windows": f"""
 WITH {SQL_LOW}, f AS (SELECT doc_id, text, regexp_extract(text, '[a-z]{{3,}}') AS term FROM low WHERE regexp_matches(text, '[a-z]{{3,}}')),
 l AS (SELECT doc_id, term, string_split(text, term) AS l FROM f), p AS (SELECT doc_id, term, len(l) AS m, unnest(l) AS t, unnest(range(0, len(l))) AS k FROM l),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions.hashing import set_fingerprint, split_name
+from wordloom.functions.hashing import split_name
 from wordloom.functions.numbers import wilson95
 from wordloom.operators import corpus_dedup, quality, sampling
+from wordloom.operators.digests import ordered_digest
 from wordloom.plans.staging import Workspace
 
 from .inputs import spread, table
@@ -58,6 +59,12 @@ def q_genre_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(quality.by_genre(_outcomes(spark, sf_dir), genres, "id")).select("genre", "total", "actual_replacements", "correct_replacements", "replacement_precision", "replacement_coverage")
 
 
+def q_report_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over all, per split and category, and per genre, from one aggregation."""
+    genres = spread(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("genres"))
+    return _rounded(quality.reports(_outcomes(spark, sf_dir), genres, "id"))
+
+
 def q_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark, sf_dir, "documents")
     return quality.leaks(docs.select("source", split_name(F.col("doc_id").cast("string"), 2).alias("split")), "source")
@@ -121,7 +128,7 @@ def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_group_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("fp"))
-    return docs.groupBy("source").agg(set_fingerprint(F.collect_list("fp")).alias("fingerprint"))
+    return ordered_digest(docs, ["source"], "fp", out="fingerprint")
 
 
 def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +182,7 @@ def q_book_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_eval_report, q_eval_by_category, q_wilson, q_genre_report, q_leak_check, q_top_errors, q_per_candidate, q_predictions, q_missing_sources, q_merge_labels, q_promotion_status, q_candidate_audit, q_pair_counts,
+    q_eval_report, q_eval_by_category, q_wilson, q_genre_report, q_report_levels, q_leak_check, q_top_errors, q_per_candidate, q_predictions, q_missing_sources, q_merge_labels, q_promotion_status, q_candidate_audit, q_pair_counts,
     q_split_counts, q_group_fingerprint, q_bottomk_sketch, q_near_dup_pairs, q_components, q_systematic_sample, q_stratified_sample, q_hash_ordered_sample,
     q_annotation_pack, q_book_groups,
 )}
@@ -250,6 +257,11 @@ SELECT count(*) FILTER (NOT blocked)::BIGINT AS effective, coalesce(sum(n - 1),
 """,
     "q_pair_counts": "WITH c AS (SELECT l_suppkey AS book, l_linestatus AS text, l_returnflag AS en, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, text, en) AS rank FROM c QUALIFY rank <= 8",
     "q_split_counts": f"{_OUT} SELECT split, category, count(*)::BIGINT AS n FROM l GROUP BY 1, 2",
+    "q_report_levels": f"""{_OUT}, g AS (SELECT doc_id AS id, lang AS genre FROM documents UNION SELECT doc_id, source FROM documents),
+t AS (SELECT 'all' AS level, NULL::VARCHAR AS split, NULL::VARCHAR AS category, NULL::VARCHAR AS genre, {_CNT} FROM o
+  UNION ALL SELECT 'category', split, category, NULL, {_CNT} FROM o GROUP BY split, category
+  UNION ALL SELECT 'genre', NULL, NULL, genre, {_CNT} FROM o JOIN g USING (id) GROUP BY genre)
+SELECT *, {_RATIOS}, {_CI} FROM t""",
     "q_group_fingerprint": "SELECT source, sha256(string_agg(sha256(text), chr(10) ORDER BY sha256(text))) AS fingerprint FROM documents GROUP BY 1",
     "q_systematic_sample": f"{_CAND}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY start) - 1 AS r, count(*) OVER (PARTITION BY doc_id, category) AS n FROM c), i AS (SELECT unnest(range(0, 3)) AS i) SELECT doc_id, category, start, min(i)::BIGINT AS pick FROM n JOIN i ON i < n AND r = i * n // 3 GROUP BY ALL",
     "q_hash_ordered_sample": f"""{_CAND}, h AS (SELECT *, sha256(concat_ws(':', 'batch', category, start, start + 2, category)) AS own, sha256(concat_ws(':', 'batch', 'remainder', start, start + 2, category)) AS a FROM c),
