@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from wordloom.plans.workers import lean
+
 TABLE_WORDS, KEPT_WORDS = 200_000, 100_000
 #: Words are looked up for about so many characters of text at once.
 SLICE = 1 << 19
@@ -220,7 +222,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([batch[0].slice(at, len(texts)), _lists(*table_for(path).encode(texts))], [key, "ids"])
 
     source = docs.select(F.col(key), F.col(text))
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>")
+    return source.mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,7 +236,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([batch[0].slice(at, len(texts)), _lists(ids, sizes), back.decode(np.split(ids, np.cumsum(sizes)[:-1]))], [key, "ids", "decoded"])
 
     source = docs.select(F.col(key), F.col(text))
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
+    return source.mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def pieces_of(path: str) -> tuple[list[str], bool]:
@@ -273,4 +275,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
                 rows = (np.array(row.as_py() or [], np.int64) for row in batch[ids])
                 yield pa.RecordBatch.from_arrays([*batch.columns, back.decode(rows)], [*batch.schema.names, out])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add(out, StringType()))
+    return encoded.mapInArrow(lean(run), StructType([*encoded.schema.fields]).add(out, StringType()))

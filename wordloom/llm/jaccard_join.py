@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from wordloom.operators.components import connected_components
 from wordloom.plans.staging import BROADCAST_IDS, Workspace, broadcast_if_few
+from wordloom.plans.workers import lean
 
 from .partenum import signatures
 from .shingles import mix, shingles
@@ -204,7 +205,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # leaders (b) repeat: that join has plain exchanges on both sides, so a hot leader's pairs can be split
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(lean(_verified), "a long, b long")
 
 
 @dataclass
@@ -239,7 +240,7 @@ def _hot_signatures(signed: Callable[[DataFrame], DataFrame], texts: DataFrame,
 def _sign(docs: DataFrame, key: str, text: str) -> _Buckets:
     work = Workspace(docs.sparkSession, "jaccard")
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    light = work.write(source.mapInArrow(_fingerprints, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
+    light = work.write(source.mapInArrow(lean(_fingerprints), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
     own, names = F.struct("n_shingles", "h1", "h2"), None
     unlike = light.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("doc_id")
     unlike = work.write(unlike, "unlike")
@@ -248,7 +249,7 @@ def _sign(docs: DataFrame, key: str, text: str) -> _Buckets:
         source = source.join(broadcast_if_few(unlike).withColumn("odd", F.lit(True)), "doc_id", "left").select(node.alias("doc_id"), "text", F.col("doc_id").alias("real"))
         names = work.write(source.where("doc_id <> real").select("doc_id", "real").distinct(), "names")
         source = source.drop("real")
-        light = work.write(source.mapInArrow(_fingerprints, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
+        light = work.write(source.mapInArrow(lean(_fingerprints), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
     named = light.where("n_shingles > 0 and doc_id is not null")
     sets = work.write(named.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a hot class can be split in the join
     members = work.write(named.join(sets, ["n_shingles", "h1", "h2"]).select("doc_id", "rep", F.col("n_shingles").alias("n")), "members")
@@ -256,7 +257,7 @@ def _sign(docs: DataFrame, key: str, text: str) -> _Buckets:
 
     copies = work.write(members.where("doc_id <> rep").select("doc_id").distinct(), "copies")
     texts = source.where("doc_id is not null")
-    signed = lambda part: part.join(broadcast_if_few(copies), "doc_id", "left_anti").mapInArrow(_signed, "sig long, doc_id long")
+    signed = lambda part: part.join(broadcast_if_few(copies), "doc_id", "left_anti").mapInArrow(lean(_signed), "sig long, doc_id long")
     hot = _hot_signatures(signed, texts, work)
     # A hot signature is dealt out by a salt; a first window finds the smallest class of each salt, ...
     rows = signed(texts).withColumnRenamed("doc_id", "rep")
@@ -292,7 +293,7 @@ def _bucket_pairs(found: _Buckets, label: DataFrame | None) -> DataFrame:
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     hot = hot.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "label", "n", "block", "sketch").select(columns)
     hot = hot.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-    likely = usual.mapInArrow(_buckets, "a long, b long").union(hot.mapInArrow(_buckets, "a long, b long"))
+    likely = usual.mapInArrow(lean(_buckets), "a long, b long").union(hot.mapInArrow(lean(_buckets), "a long, b long"))
     return work.write(likely.distinct(), "likely")
 
 
@@ -313,7 +314,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     work, nodes = found.work, found.nodes
     star = found.shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     ends = [nodes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ab"]
-    star = work.write(star.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long"), "star")
+    star = work.write(star.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(_likely), "a long, b long"), "star")
     first = connected_components(_links(found, star), work)
     more = _links(found, _bucket_pairs(found, first.select(F.col("node").alias("rep"), "root")))
     whole = connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), work)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.plans.staging import Workspace
+from wordloom.plans.workers import lean
 
 from .bpe import slices, table_for
 
@@ -143,7 +144,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows[0]), part), pa.int32())], [key, "piece", "start", "length", "ids_crc32", "nth", "ids", "part"])
 
     source = docs.select(F.col(key), F.col(text))
-    made = source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, nth long, ids binary, part int")
+    made = source.mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, nth long, ids binary, part int")
     return made if keep_ids else made.drop("ids")
 
 
@@ -168,7 +169,7 @@ def place(cut: DataFrame, limits: Limits | None = None) -> DataFrame:
 
     ranked = cut.join(before, ["part", "length"])
     schema = StructType([*ranked.schema.fields]).add("sequence_id", LongType()).add("offset", LongType())
-    return ranked.mapInArrow(run, schema).drop("part", "nth", "before")
+    return ranked.mapInArrow(lean(run), schema).drop("part", "nth", "before")
 
 
 def pack(docs: DataFrame, path: str, limits: Limits | None = None, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.plans.workers import lean
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "secret", "account", "address")
 
@@ -254,7 +256,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(found, _SPANS)], [key, "spans"])
 
     source = docs.select(F.col(key), F.col(text))
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, spans array<struct<kind: string, start: int, `end`: int>>")
+    return source.mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, spans array<struct<kind: string, start: int, `end`: int>>")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -266,7 +268,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             clean = pa.array([mask(t, find(t)) for t in batch[at].to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), clean)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def spans_text(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
