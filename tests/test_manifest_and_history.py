@@ -49,7 +49,7 @@ def test_dictionary_words_equal_brute_force(spark, bounds):
     assert got == {(i, m.start(), m.end(), m[0], t[max(0, m.start() - 2) : m.start()], t[m.end() : m.end() + 2]) for i, t in enumerate(texts) if t for m in re.finditer("[a-z]+", t) if m[0] in ("ab", "cd")}
 
 
-@pytest.mark.parametrize("block", [1, 7, 1 << 18])
+@pytest.mark.parametrize("block", [1, 7, 1 << 18, None])
 def test_running_aggregates_equal_windows(spark, block):
     rng = random.Random(9)
     rows = [(rng.randint(0, 3), rng.randint(0, 90), i, rng.choice([None, rng.randint(0, 50)])) for i in range(400)] + [(9, 5, -1, 1)]
@@ -85,7 +85,7 @@ def test_one_huge_document_is_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("block", [4, 1 << 18])
+@pytest.mark.parametrize("block", [4, None])
 @pytest.mark.parametrize("exact", [False, True])
 def test_interval_tests_equal_brute_force(spark, exact, block):
     rng = random.Random(6)
@@ -97,7 +97,7 @@ def test_interval_tests_equal_brute_force(spark, exact, block):
     assert matching.outside(frame(matches), frame(ranges).limit(0), KEYS, allow_exact=exact).count() == len(matches)
 
 
-@pytest.mark.parametrize("block", [3, 1 << 18])
+@pytest.mark.parametrize("block", [3, None])
 def test_containment_equals_brute_force(spark, block):
     rng = random.Random(8)
     segments, at = [], 0

@@ -29,7 +29,7 @@ def _along(points: DataFrame, at: Column, marks: DataFrame, keys: list[str]) ->
     return marks.select(*keys, F.col("__at").cast("long").alias("__at"), F.lit(0).alias("__kind"), "__mark", F.lit(None).cast(asked.schema["__row"].dataType).alias("__row")).unionByName(asked)
 
 
-def outside(matches: DataFrame, ranges: DataFrame, keys: list[str], allow_exact: bool = False, block: int = BLOCK) -> DataFrame:
+def outside(matches: DataFrame, ranges: DataFrame, keys: list[str], allow_exact: bool = False, block: int | None = BLOCK) -> DataFrame:
     """Matches that overlap no range; with ``allow_exact``, a range of just the match's span is no hindrance.
 
     A range overlaps a match if it starts before the match ends and ends after
@@ -54,7 +54,7 @@ def outside(matches: DataFrame, ranges: DataFrame, keys: list[str], allow_exact:
     return met.where((F.col("__kind") == 1) & (other.isNull() | (other["e"] <= row["start"]) | empty)).select("__row.*")
 
 
-def not_contained(matches: DataFrame, segments: DataFrame, terms: DataFrame, keys: list[str], most: int = 8, term: str = "zh", block: int = BLOCK) -> DataFrame:
+def not_contained(matches: DataFrame, segments: DataFrame, terms: DataFrame, keys: list[str], most: int = 8, term: str = "zh", block: int | None = BLOCK) -> DataFrame:
     """Matches that lie strictly inside no dictionary segment of at most so many characters.
 
     Segments of a document don't overlap, so the last one that starts no later
@@ -67,7 +67,7 @@ def not_contained(matches: DataFrame, segments: DataFrame, terms: DataFrame, key
     return placed.where("__kind = 1").where(~F.coalesce(inside, F.lit(False))).select("__row.*")
 
 
-def containing(points: DataFrame, intervals: DataFrame, keys: list[str], value: str = "text", out: str = "sentence", block: int = BLOCK) -> DataFrame:
+def containing(points: DataFrame, intervals: DataFrame, keys: list[str], value: str = "text", out: str = "sentence", block: int | None = BLOCK) -> DataFrame:
     """Adds the interval that holds each point span, or "" (an as-of look-up along the document).
 
     Intervals of a document don't overlap; one sort serves all spans, instead of

@@ -213,7 +213,7 @@ def occurrences(docs: DataFrame, keys: list[str], terms: DataFrame, text: str =
     return spans(both, [*keys, term], literal_spans(F.col(text), F.col(term))).select(*keys, term, "start", "end")
 
 
-def paragraph_tokens(tokens: DataFrame, keys: list[str], block: int = 1 << 14) -> DataFrame:
+def paragraph_tokens(tokens: DataFrame, keys: list[str], block: int | None = 1 << 14) -> DataFrame:
     """Rows (keys, paragraph, idx, part, kind, value): text tokens split at empty lines, others inline.
 
     ``tokens`` has keys, idx, kind and value; each break moves on to the next paragraph.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.context import candidate_id
 from wordloom.functions.text import REACH, ascii_lower
-from wordloom.operators import automaton, lexicon, matching, reader, resolve, segmentation, selection, structure
+from wordloom.operators import automaton, lexicon, matching, reader, resolve, scan, segmentation, selection, structure
 from wordloom.plans.staging import Workspace
 
 from .inputs import LEAST_DOCS, SQL_LEX, SQL_LOW, SQL_SEG, lexicon as derived_lexicon, low_docs, table, tokens
@@ -125,13 +125,13 @@ def _ranges(docs: DataFrame) -> DataFrame:
 
 def q_interval_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, found = _bounded(spark, sf_dir, reach=0)
-    kept = matching.outside(found, _ranges(docs), KEYS)
+    kept = matching.outside(found, _ranges(docs), KEYS, block=scan.width(docs))
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))
 
 
 def q_asof_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, found = _bounded(spark, sf_dir, reach=0)
-    inside = matching.containing(found, structure.sentences(docs, KEYS, ends=".!?"), KEYS)
+    inside = matching.containing(found, structure.sentences(docs, KEYS, ends=".!?"), KEYS, block=scan.width(docs))
     return inside.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sentence").alias("sentences"), F.sum(F.length("sentence")).alias("letters"))
 
 
@@ -162,20 +162,21 @@ def q_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _safe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Safe matches with their sentences: the reader's pipeline up to the gate."""
     docs, entries, found = _bounded(spark, sf_dir)
-    open_ = matching.outside(found, _ranges(docs), KEYS)
+    block = scan.width(docs)
+    open_ = matching.outside(found, _ranges(docs), KEYS, block=block)
     chosen = matching.select_sense(matching.with_boundaries(open_), entries).drop("window")
     worth = resolve.score(F.col("confidence"), F.col("source"), F.col("boundary_confidence"), F.length("text"))
-    best = resolve.resolve(chosen.withColumn("worth", worth), KEYS)
+    best = resolve.resolve(chosen.withColumn("worth", worth), KEYS, block=block)
     approved = entries.where("ord = 1").select("candidate_id")
     good = selection.safe(best.withColumn("context_evidence", F.lit(False)), approved)
     # sentences are looked up last, for what is shown alone: nothing before depends on them
-    placed = matching.containing(good, structure.sentences(docs, KEYS, ends=".!?"), KEYS)
+    placed = matching.containing(good, structure.sentences(docs, KEYS, ends=".!?"), KEYS, block=block)
     return docs, Workspace(spark, "safe").write(placed, "safe")
 
 
 def _offered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, good = _safe(spark, sf_dir)
-    return docs, selection.round_robin(good, structure.paragraphs(docs, KEYS), KEYS)
+    return docs, selection.round_robin(good, structure.paragraphs(docs, KEYS), KEYS, scan.width(docs))
 
 
 def q_round_robin_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +210,7 @@ def q_safe_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_render_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, shown = _shown(spark, sf_dir)
-    return selection.render(docs, shown, KEYS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "replacement").alias("replaced"), F.sum(F.when(F.col("kind") == "text", F.length("value")).otherwise(F.col("end") - F.col("start"))).alias("covered"))
+    return selection.render(docs, shown, KEYS, block=scan.width(docs)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "replacement").alias("replaced"), F.sum(F.when(F.col("kind") == "text", F.length("value")).otherwise(F.col("end") - F.col("start"))).alias("covered"))
 
 
 def q_quiz_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
