@@ -16,10 +16,10 @@ KEYS = ["doc_id"]
 
 
 def q_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first word as a replacement in its first 300 characters."""
+    """Each document's first word as a replacement in the sentence that holds it."""
     word = F.regexp_extract("text", "[a-z]{3,}", 0)
     docs = low_docs(spark, sf_dir).where(word != "")
-    rows = docs.select(word.alias("text"), F.reverse(word).alias("en"), F.lit("m").alias("meaning"), F.lit("noun").alias("part_of_speech"), F.left("text", F.lit(300)).alias("sentence"), F.lit("wrong").alias("reason"), F.concat(F.lit(" \n"), F.left("text", F.lit(200))).alias("suggestion"))
+    rows = docs.select(word.alias("text"), F.reverse(word).alias("en"), F.lit("m").alias("meaning"), F.lit("noun").alias("part_of_speech"), F.regexp_extract("text", "(?s)[^.!?]*[a-z]{3,}[^.!?]*", 0).alias("sentence"), F.lit("wrong").alias("reason"), F.concat(F.lit(" \n"), F.left("text", F.lit(200))).alias("suggestion"))
     return learning.feedback(rows, F.lit(NOW_MS)).select("key", "text", "en", "suggestion", "created_at", "status")
 
 
@@ -178,7 +178,7 @@ _TRIM = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 ORACLES = {
     "q_proposal": f"SELECT *, row_number() OVER (ORDER BY development_support DESC, candidate_id COLLATE zh, candidate_id)::BIGINT AS place FROM ({quality_oracles['q_promotion_status']}) AS p",
     "q_feedback": rf"""
-WITH {SQL_LOW}, f AS (SELECT regexp_extract(text, '[a-z]{{3,}}') AS w, left(text, 300) AS s, left(text, 200) AS g FROM low WHERE regexp_matches(text, '[a-z]{{3,}}'))
+WITH {SQL_LOW}, f AS (SELECT regexp_extract(text, '[a-z]{{3,}}') AS w, regexp_extract(text, '(?s)[^.!?]*[a-z]{{3,}}[^.!?]*') AS s, left(text, 200) AS g FROM low WHERE regexp_matches(text, '[a-z]{{3,}}'))
 SELECT w || ':' || reverse(w) || ':' || regexp_replace(regexp_replace(replace(s, w, '{{词}}'), '\s+', '', 'g'), '[“”‘’]', '"', 'g') AS key, w AS text, reverse(w) AS en, left({_TRIM.format('g')}, 120) AS suggestion, {NOW_MS}::BIGINT AS created_at, 'pending' AS status FROM f
 """,
     "q_quiz_history": f"SELECT conv_id, count(*)::BIGINT AS questions, count(*) FILTER (turn % 2 = 0 AND text IS NOT NULL)::BIGINT AS correct, {NOW_MS}::BIGINT AS created_at, md5(string_agg(text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1",
