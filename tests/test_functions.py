@@ -114,3 +114,8 @@ def test_review_steps(spark):
         assert got.pop("ease") == pytest.approx(state["ease"])
         assert got == {k: v for k, v in state.items() if k != "ease"}
         expr = F.struct(F.lit(state["ease"]).alias("ease"), *[F.lit(state[k]).cast("long").alias(k) for k in ("interval", "repetitions", "due_at", "updated_at")])
+
+
+def test_han_characters(spark):
+    rows = spark.createDataFrame([("中",), ("鿿",), ("一",), ("a",), ("。",), ("",), ("㐀",)], "c string")
+    assert [r.x for r in rows.select(text.is_cjk(F.col("c")).alias("x")).collect()] == [True, True, True, False, False, False, False]

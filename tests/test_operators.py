@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import automaton, corpus_dedup, learning, lexicon, matching, quality, resolve, sampling, selection, structure
+from wordloom.operators import automaton, corpus_dedup, digests, learning, lexicon, matching, quality, resolve, sampling, selection, structure
 from wordloom.operators.components import connected_components
 from wordloom.plans.staging import Workspace
 from wordloom.sources import files
@@ -257,6 +257,48 @@ def test_report_golden(spark):
     assert quality.top_errors(quality.per_candidate(outcomes)).first().predicted_id == "p:z:verb"
 
 
+def test_reports_of_all_levels_equal_the_single_ones(spark):
+    rng = random.Random(4)
+    rows = [(str(i), rng.choice(["dev", "blind"]), rng.choice("ab"), rng.choice(["replace", "keepChinese"]), rng.choice(["x:y:noun", None]), rng.choice(["noun", None])) for i in range(80)]
+    labels = spark.createDataFrame(rows, "id string, split string, category string, expected_decision string, expected_candidate_id string, expected_part_of_speech string")
+    said = spark.createDataFrame([(str(i), rng.choice(["replace", "keepChinese"]), rng.choice(["x:y:noun", "x:z:noun"]), "noun", rng.random() < 0.7, 0) for i in range(0, 80, 2)], "id string, decision string, candidate_id string, part_of_speech string, segmentation_correct boolean, ord int")
+    genres = spark.createDataFrame([(str(i), [["war"], ["war", "love", "war"], [], None][i % 4]) for i in range(76)], "id string, genres array<string>")
+    outcomes = quality.judged(labels, said)
+    got = quality.reports(outcomes, genres, "id").collect()
+    figures = lambda r: {k: v for k, v in r.asDict().items() if k not in ("level", "split", "category", "genre")}
+    assert [figures(r) for r in got if r.level == "all"] == [quality.report(outcomes).first().asDict()]
+    assert {(r.split, r.category): figures(r) for r in got if r.level == "category"} == {(r.split, r.category): figures(r) for r in quality.report(outcomes, ["split", "category"]).collect()}
+    assert {r.genre: r.total for r in got if r.level == "genre"} == {r.genre: r.total for r in quality.by_genre(outcomes, genres.where("genres IS NOT NULL"), "id").collect()}
+
+
+def test_proposals_go_by_sound(spark):
+    rows = spark.createDataFrame([("中:a", "t", 5), ("阿:a", "t", 5), ("波:a", "t", 5), ("波:A", "t", 7), ("云:a", "t", 1)], "candidate_id string, term string, development_support long")
+    assert [(r.place, r.candidate_id) for r in quality.proposal(rows).collect()] == [(1, "波:A"), (2, "阿:a"), (3, "波:a"), (4, "中:a"), (5, "云:a")]
+
+
+def test_digests_stream_their_members(spark):
+    import hashlib
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *map(str, range(3000))])) for _ in range(9000)] + [("empty", None)]
+    table = spark.createDataFrame(rows, "g string, m string").repartition(5)
+    got = {r.g: r.digest for r in digests.ordered_digest(table, ["g"], "m", ":", 16).collect()}
+    want = {g: hashlib.sha256(":".join(sorted(m for k, m in rows if k == g and m is not None)).encode()).hexdigest()[:16] for g in {k for k, _ in rows}}
+    assert got == want and digests.ordered_digest(table.limit(0), ["g"], "m").count() == 0
+
+
+def test_pairs_equal_brute_force_and_common_hashes_rarely_probe(spark):
+    rng = random.Random(13)
+    base = [sorted(rng.sample(range(3000), 40)) for _ in range(6)]
+    rows = [(i, sorted({*range(10000, 10030), *[x for x in base[i % 6] if rng.random() > 0.04], *rng.sample(range(5000, 9000), rng.randint(0, 4))})) for i in range(60)] + [(60, []), (61, [1]), (62, [1])]
+    sketches = spark.createDataFrame(rows, "doc_id long, signature array<long>")
+    got = {(r.a, r.b) for r in corpus_dedup.similar_sketches(sketches, "doc_id", 0.9).collect()}
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and s and t and len({*s} & {*t}) / min(len(s), len(t)) >= 0.9}
+    assert got == want
+    tried = corpus_dedup.candidate_pairs(sketches, "doc_id", 0.9).count()
+    assert tried <= 3 * len(want)
+
+
 def test_predictions_merge_and_promotions(spark):
     samples = spark.createDataFrame([("a", 0, 2, "replace"), ("b", 0, 2, "keepChinese"), ("c", 5, 7, "keepChinese")], "id string, start int, end int, expected_decision string")
     matches = spark.createDataFrame([("a", 0, 2, "w:x:n", "n"), ("b", 1, 3, "w:y:n", "n")], "id string, start int, end int, candidate_id string, part_of_speech string")
