@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wordloom.functions.context import candidate_id
-from wordloom.operators import lexicon, matching
+from wordloom.operators import automaton, lexicon, matching, segmentation, selection, structure
 from wordloom.plans import inputs
 
 
@@ -33,3 +33,43 @@ def test_senses_are_joined_without_a_shuffle_of_the_matches(spark):
         assert {(r.en, r.reason) for r in chosen.collect()} == {("the abcd", "context")}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_hits_inside_listed_words_are_left_out_where_the_text_is(spark):
+    docs = spark.createDataFrame([(1, "abcdef cdef-xabcdef abcd"), (2, "cdef"), (3, ""), (4, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("abcd",), ("cdef",), ("abcdef",)], "zh string")
+    plain = automaton.find(docs, ["doc_id"], terms, start_class="[a-z]")
+    slow = matching.not_contained(plain, structure.words(docs, ["doc_id"], reach=0), terms, ["doc_id"], 8)
+    want = sorted(slow.collect())
+    for most_terms in (100, 1):
+        found = automaton.find(docs, ["doc_id"], terms, start_class="[a-z]", whole=8, most_terms=most_terms)
+        assert sorted(found.select(slow.columns).collect()) == want and len(want) == 7
+    fast = automaton.find(docs, ["doc_id"], terms, start_class="[a-z]", whole=8)
+    assert "Exchange" not in _plan(fast)
+
+
+def test_words_beyond_the_former_bound_are_segmented(spark):
+    words = spark.range(250_000).select(F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij").alias("zh"), F.lit(9).alias("uses"))
+    docs = spark.createDataFrame([(1, "acdefgabcdef")], "doc_id long, text string")
+    found = segmentation.segments(docs, ["doc_id"], words, uses="uses", script="[a-z]", reach=0)
+    assert [r.text for r in found.orderBy("start").collect()] == ["acdefg", "abcdef"]
+
+
+def test_located_words_and_rendered_tokens(spark):
+    docs = spark.createDataFrame([(1, "abcd wxyz, abcd. \n\nAbcd? abcd. abcd"), (2, "none")], "doc_id long, text string")
+    terms = spark.createDataFrame([("abcd",), ("wxyz",)], "zh string")
+    found = automaton.find_words(docs, ["doc_id"], terms, located=structure.Located("[a-z]+ [a-z]+,", ".!?"))
+    rows = sorted((r.start, r.place, r.paragraph) for r in found.collect())
+    assert rows == [(11, 0, 1), (25, 24, 2), (31, 30, 2)]
+    said = selection.phrased(docs, found, ["doc_id"], ".!?")
+    assert sorted((r.start, r.sentence) for r in said.collect()) == [(11, "abcd wxyz, abcd."), (25, "abcd."), (31, "abcd")]
+    tokens = selection.render(docs, found.withColumn("en", F.lit("X")), ["doc_id"])
+    assert [(r.idx, r.value) for r in tokens.where("doc_id = 1").orderBy("idx").collect()] == [(0, "abcd wxyz, "), (1, "X"), (2, ". \n\nAbcd? "), (3, "X"), (4, ". "), (5, "X")]
+    assert [(r.idx, r.value) for r in tokens.where("doc_id = 2").collect()] == [(0, "none")]
+
+
+def test_turns_read_one_exchange(spark):
+    rows = spark.createDataFrame([(1, 5, 1, "abcd"), (1, 9, 1, "abcd"), (1, 20, 2, "wxyz"), (1, 30, None, "wxyz")], "doc_id long, start int, paragraph int, text string")
+    ranked = selection.turns(rows, ["doc_id"], [F.col("start")])
+    assert [r.start for r in ranked.orderBy("turn").collect()] == [5, 20, 9, 30]
+    assert selection.turns(rows, ["doc_id"], [F.col("start")])._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
