@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import FUNCTION_CHARS, boundary_confidence
-from wordloom.operators import matching, protected, structure
+from wordloom.operators import matching, protected, scan, structure
 from wordloom.plans.staging import Workspace
 
 from .inputs import SQL_LOW, low_docs
@@ -64,10 +64,11 @@ def q_han_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_han_unprotected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of the terms that overlap no compound but their own span and no label."""
     docs = _docs(spark, sf_dir)
+    block = scan.width(docs)
     rows = _matches(docs, 0).select("doc_id", "start", "end", "text")
     labels = protected.protected_ranges(docs, KEYS).where("kind = 'label'")
     compounds = protected.compound_ranges(docs, KEYS, compounds=list(COMPOUNDS))
-    kept = matching.outside(matching.outside(rows, labels, KEYS), compounds, KEYS, allow_exact=True)
+    kept = matching.outside(matching.outside(rows, labels, KEYS, block=block), compounds, KEYS, allow_exact=True, block=block)
     return kept.select("doc_id", "start", "text")
 
 
