@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wordloom.functions.context import candidate_id
-from wordloom.operators import automaton, lexicon, matching, segmentation, selection, structure
+from wordloom.operators import automaton, lexicon, matching, reader, segmentation, selection, structure
 from wordloom.plans import inputs
 
 
@@ -73,3 +73,24 @@ def test_turns_read_one_exchange(spark):
     ranked = selection.turns(rows, ["doc_id"], [F.col("start")])
     assert [r.start for r in ranked.orderBy("turn").collect()] == [5, 20, 9, 30]
     assert selection.turns(rows, ["doc_id"], [F.col("start")])._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+
+
+def test_the_reader_over_runs_shuffles_no_match_and_equals_the_general_way(spark):
+    texts = [
+        ("abcd", "abcdwx abcd the end. xabcd cdwxyz; cdwx abcdefghij! no stop abcd"), ("t", "zzabcdzz"), ("none", "nothing here"), ("x", ""), ("y", None), ("cdwx", "cdwx only"),
+        ("q", "word " * 2000 + "abcdwxyz xcdwxx " * 2500), ("h", "他按住太阳能。研究人员说：太阳 能 研究 生"), ("阳", "太阳，能，太阳"),
+    ]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, title string, text string").repartition(2)
+    words = ("abcd", "cdwx", "wxyz", "abcdwxyz", "bcdw", "abcdefghij", "word", "太阳", "太阳能", "研究", "研究生", "人员", "能太阳")
+    entries = spark.createDataFrame([(w, w[::-1], "noun", w, "/x/", 1, [], [], i) for i, w in enumerate(words)] + [("cdwx", "other", "verb", "o", "", 1, [("rightPrefix", " only")], [], 99)], lexicon.ENTRY)
+    policy = spark.createDataFrame([("wxyz", "blocked", None), ("bcdw", "contextual", [("rightPrefix", "x")])], "term string, mode string, allow array<struct<kind:string,value:string>>")
+    for script, ends in (("[a-z]", ".!?"), (reader.HAN_CLASS, structure.SENTENCE_END)):
+        given = dict(title="title", policy=policy, production=F.lit(True), script=script, ends=ends)
+        slow = reader.find_terms(docs, ["doc_id"], entries, segments=structure.words(docs, ["doc_id"], pattern=f"(?:{script})+"), **given)
+        fast = reader.find_terms(docs, ["doc_id"], entries, by_script=True, **given)
+        columns = sorted(slow.columns)
+        want = sorted(map(str, slow.select(columns).collect()))
+        assert columns == sorted(fast.columns) and len(want) >= 3
+        assert sorted(map(str, fast.select(columns).collect())) == want
+        last = fast._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in last and "MapInArrow" in last  # the resolutions follow the search without a window or a shuffle of matches
