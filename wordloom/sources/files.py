@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType, StructType
 
 from wordloom.functions.hashing import fnv_hex
 from wordloom.functions.text import normalize_novel, trim_all
+from wordloom.plans.workers import in_slices
 
 SUPPORTED = "(?i)\\.(txt|pdf)\\z"
 PAGE_ITEMS = "array<struct<str:string,eol:boolean>>"
@@ -53,14 +54,16 @@ def decode_bytes(raw: bytes | None, lenient: bool = False) -> str | None:
     return None
 
 
-@pandas_udf(StringType())
-def decode_novel(content: pd.Series) -> pd.Series:
-    return content.map(decode_bytes)
+def _decoder(lenient: bool):
+    @in_slices
+    def decode(content: pa.Array) -> pa.Array:
+        return pa.array([decode_bytes(raw.as_py(), lenient) for raw in content], pa.string())
 
+    return arrow_udf(decode, StringType())
 
-@pandas_udf(StringType())
-def decode_corpus(content: pd.Series) -> pd.Series:
-    return content.map(lambda raw: decode_bytes(raw, lenient=True))
+
+#: Column functions: files as text, strictly and leniently.
+decode_novel, decode_corpus = _decoder(False), _decoder(True)
 
 
 def fingerprint(name: Column, size: Column, modified_ms: Column, text: Column) -> Column:
