@@ -94,3 +94,36 @@ def test_the_reader_over_runs_shuffles_no_match_and_equals_the_general_way(spark
         assert sorted(map(str, fast.select(columns).collect())) == want
         last = fast._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in last and "MapInArrow" in last  # the resolutions follow the search without a window or a shuffle of matches
+
+
+def test_python_columns_come_in_slices_of_bounded_size(spark):
+    import pyarrow as pa
+
+    from wordloom.plans import workers
+
+    rows = [b"x" * 400, None, b"", b"x" * 700, b"x" * 3000, b"x"]
+    assert [len(part) for part in workers.slices(pa.array(rows), 1000)] == [3, 1, 1, 1]
+    assert [len(part) for part in workers.slices(pa.array([], pa.string()))] == [0]
+    most = []
+    cut = workers.in_slices(lambda part: most.append(part.nbytes) or part)
+    batch = pa.array(["y" * 200_000] * 50)
+    assert sum(len(x) for x in cut(iter([batch, batch]))) == 100 and len(most) == 20
+    docs = spark.createDataFrame([(i, "é́ﬁ" * i, bytearray(("é" * i).encode("gb18030"))) for i in range(300)] + [(300, None, None)], "doc_id long, text string, raw binary")
+    from wordloom.functions.text import nfkc
+    from wordloom.sources.files import decode_novel
+
+    found = docs.select("doc_id", nfkc("text").alias("n"), decode_novel("raw").alias("t")).orderBy("doc_id").collect()
+    assert [r.t for r in found] == [*["é" * i for i in range(300)], None] and found[2].n == "é́fi" * 2 and found[300].n is None
+
+
+def test_sentences_and_open_starts_are_told_where_the_text_is(spark):
+    docs = spark.createDataFrame([(1, "abcd wxyz. abcd!  abcd. Xabcd? abcdefghi ab"), (2, ""), (3, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("abcd",), ("wxyz",)], "zh string")
+    found = automaton.find_words(docs, ["doc_id"], terms, located=structure.Located("(?!)", ".!?"))
+    slow = matching.containing(found, structure.sentences(docs, ["doc_id"], ends=".!?"), ["doc_id"])
+    assert {(r.start, r.letters) for r in found.collect()} == {(r.start, len(r.sentence)) for r in slow.collect()} and found.count() == 5
+    starts = automaton.open_starts(docs, ["doc_id"], terms)
+    general = matching.uncertain_starts(structure.words(docs, ["doc_id"]), terms, ["doc_id"], 8, script="[a-z]")
+    assert sorted(starts.collect()) == sorted(general.select("doc_id", "start").collect()) and starts.count() == 2
+    assert "Exchange" not in _plan(starts)
+    assert automaton.open_starts(docs, ["doc_id"], terms, most_terms=1) is None
