@@ -127,3 +127,38 @@ def test_sentences_and_open_starts_are_told_where_the_text_is(spark):
     assert sorted(starts.collect()) == sorted(general.select("doc_id", "start").collect()) and starts.count() == 2
     assert "Exchange" not in _plan(starts)
     assert automaton.open_starts(docs, ["doc_id"], terms, most_terms=1) is None
+
+
+def test_sketches_sort_no_more_than_they_keep(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from wordloom.operators import corpus_dedup
+
+    def plain(text, width, size):
+        sums = set()
+        for i in range(len(text) - width + 1):
+            h = 0
+            for c in text[i : i + width]:
+                h = (h * corpus_dedup.BASE + ord(c)) & 0xFFFFFFFF
+            sums.add(h)
+        return sorted(sums)[:size]
+
+    rng = random.Random(7)
+    texts = ["", "abc", "a" * 500, "ab" * 900, "".join(rng.choice("abc太阳😀") for _ in range(1500)), "".join(rng.choice("abcdefgh") for _ in range(40)) * 30]
+    for text in texts:
+        for width, size in ((20, 256), (20, 8), (1, 4), (7, 16), (16, 5)):
+            assert corpus_dedup.sketch_of(text, width, size).tolist() == plain(text, width, size)
+    most, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **more: most.append(len(x)) or unique(x, **more))
+    corpus_dedup.sketch_of("".join(chr(97 + rng.randrange(26)) for _ in range(50_000)))
+    assert most == [512]
+
+
+def test_letters_are_told_in_the_pass_that_sketches(spark):
+    from wordloom.operators import corpus_dedup
+
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([None, "", "Ａb1, é́ ﬁ 太阳\n" * 40, "a b-c d_e " * 30, "㐀䷿鿿一" * 12, "short"])], "doc_id long, text string")
+    both = docs.select(corpus_dedup.letter_sketch("text").alias("a"), corpus_dedup.bottom_k(corpus_dedup.letters_only(F.col("text"))).alias("b"))
+    assert all(r.a == r.b for r in both.collect()) and both.where("size(a) > 0").count() == 3

@@ -7,17 +7,20 @@ and digits of a text.  A hash is the polynomial sum of its characters modulo
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType
 
 from wordloom.functions.hashing import split_name
 from wordloom.functions.numbers import ratio
 from wordloom.functions.text import nfkc
 from wordloom.plans.staging import Workspace
+from wordloom.plans.workers import in_slices
 
 from .components import connected_components
 from .digests import ordered_digest
@@ -32,19 +35,70 @@ def letters_only(text: Column) -> Column:
     return F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), "[^\\u4E00-\\u9FFFA-Za-z0-9]", "")
 
 
+def _window_sums(codes: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of all windows of so many characters, modulo 2^32: windows are doubled, and those of the width's binary digits joined."""
+    out, have = codes[:0], 0
+    part, size = codes.astype(np.uint32), 1  # the hashes of windows of ``size``
+
+    def joined(left: np.ndarray, right: np.ndarray, skip: int) -> np.ndarray:
+        n = max(len(codes) - skip - size + 1, 0)
+        return left[:n] * np.uint32(pow(BASE, size, 1 << 32)) + right[skip : skip + n]
+
+    while True:
+        if width & size:
+            out = joined(out, part, have) if have else part
+            have += size
+        if have == width:
+            return out
+        part, size = joined(part, part, size), 2 * size
+
+
+def _smallest(values: np.ndarray, size: int) -> np.ndarray:
+    """The smallest different values, in order; all are sorted only if there are few of them."""
+    most = 2 * size
+    while most < len(values):
+        found = np.unique(np.partition(values, most)[:most])
+        if len(found) > size:
+            return found[:size]
+        most *= 4
+    return np.unique(values)[:size]
+
+
+def _codes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _letter_codes(text: str | None) -> np.ndarray:
+    """The code points that ``letters_only`` leaves."""
+    codes = _codes(unicodedata.normalize("NFKC", text or ""))
+    keep = np.zeros(len(codes), bool)
+    for first, last in ("09", "AZ", "az", "\u4e00\u9fff"):
+        keep |= (codes >= ord(first)) & (codes <= ord(last))
+    return codes[keep]
+
+
 def sketch_of(text: str | None, width: int = WIDTH, size: int = SIZE) -> np.ndarray:
-    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return _sketch(_codes(text), width, size)
+
+
+def _sketch(codes: np.ndarray, width: int = WIDTH, size: int = SIZE) -> np.ndarray:
     if len(codes) < width:
         return np.empty(0, np.int64)
-    sums = np.zeros(len(codes) - width + 1, np.uint64)
-    for k in range(width):
-        sums = (sums * np.uint64(BASE) + codes[k : k + len(sums)]) & np.uint64(0xFFFFFFFF)
-    return np.unique(sums)[:size].astype(np.int64)
+    return _smallest(_window_sums(codes, width), size).astype(np.int64)
+
+
+@in_slices
+def _bottom_k(text: pa.Array) -> pa.Array:
+    return pa.array([sketch_of(x) for x in text.to_pylist()], pa.list_(pa.int64()))
+
+
+@in_slices
+def _letter_sketch(text: pa.Array) -> pa.Array:
+    return pa.array([_sketch(_letter_codes(x)) for x in text.to_pylist()], pa.list_(pa.int64()))
 
 
-@pandas_udf(ArrayType(LongType()))
-def bottom_k(text: pd.Series) -> pd.Series:
-    return text.map(sketch_of)
+#: Column functions: the sketch of each text, and that of its letters and digits alone, in one pass.
+bottom_k, letter_sketch = arrow_udf(_bottom_k, ArrayType(LongType())), arrow_udf(_letter_sketch, ArrayType(LongType()))
 
 
 def candidate_pairs(sketches: DataFrame, key: str, threshold: float = THRESHOLD, signature: str = "signature") -> DataFrame:

@@ -133,7 +133,7 @@ def q_group_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark, sf_dir, "documents")
-    return docs.select("doc_id", corpus_dedup.bottom_k(corpus_dedup.letters_only(F.col("text"))).alias("signature"))
+    return docs.select("doc_id", corpus_dedup.letter_sketch("text").alias("signature"))
 
 
 def q_bottomk_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
