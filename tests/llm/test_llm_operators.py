@@ -170,6 +170,21 @@ def test_word_table_stays_bounded(monkeypatch):
         assert len(table.place) < 100
 
 
+def test_words_enter_the_table_without_their_marks():
+    table = bpe.WordTable(tokenizer_path("byte_bpe_50k.json"))
+    assert table.cuts_marks and not bpe.WordTable(tokenizer_path("word_bpe_49k.json")).cuts_marks
+    marks = ".,;:!?#*$%&|<>()"
+    texts = [f"{x} word{m} word{m}{m} café{m}" for x in ("", "a") for m in marks] + ["×. ÷, ¿. é. it's.' a.b,c'd. 1.a,2 x\u00a0y. \n\n z. \t"]
+    ids, sizes = table.encode(texts[:-1])
+    assert sum(b"word" in w or b"caf" in w for w in table.place) == 2  # without the cut 48
+    want = [table.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [x for w in want[:-1] for x in w] and sizes.tolist() == list(map(len, want[:-1]))
+    for part in (texts, texts[::-1], [None, " ", "", "x ", " x"]):
+        ids, sizes = table.encode(part)
+        want = [table.tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == list(map(len, want))
+
+
 def count_repeats(words):
     at = {}
     for i in range(len(words) - 2):

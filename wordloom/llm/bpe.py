@@ -1,9 +1,10 @@
 """BPE encoding and decoding through distinct-word tables.
 
 Texts are split at points where no vocabulary of the kind in use can join what
-stands on both sides.  Each worker keeps a table of the distinct words that it
-has met; a word is encoded by the library once, when it enters the table, and
-every occurrence gets its ids by position from there (one gather per slice).
+stands on both sides; the points come from one look at all bytes of a slice, and
+Arrow tells its distinct words.  Each worker keeps a table of the distinct words
+that it has met; a word is encoded by the library once, when it enters the table,
+and every occurrence gets its ids by position from there (one gather per slice).
 Decoding goes the other way: ids are joined to their pieces by position.
 
 The table is bounded: once it holds TABLE_WORDS words it is cut to the
@@ -22,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -40,12 +42,22 @@ SLICE = 1 << 19
 #: White space beyond ASCII (and separators that look like it): such texts, and
 #: texts with an added token, are not cut for byte-level vocabularies.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_UNITS = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?=[\x20\x09-\x0D][^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
 
 
+def _class(members: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), list(members))
+
+
+_SPACE, _LETTER = _class(b"\x20\x09\x0a\x0b\x0c\x0d"), _class(string.ascii_letters.encode())
+#: Marks that byte-level vocabularies never join to a letter before them.
+_MARK = _class(b".,;:!?#*$%&|<>()")
+#: Second bytes, after C3, of the letters from U+00C0 to U+00FF.
+_SECOND = _class(bytes(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)))
+
 #: A word of letters (an optional space first), then perhaps closing marks.
 _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _PROBES = ("the", " the", "Word", " Straße,", "école.", " ÉCOLE", "ndwhst...", " thouinor", "a", " I", "Ñandú!?", "thhetionWHEN;")
+_MARKED = tuple(f"{word}{chr(mark)}{tail}" for word in ("the", " Straße", "é") for mark in np.flatnonzero(_MARK).tolist() for tail in ("", chr(mark), "next", " next", "'s", "1"))
 
 
 def _byte_letters() -> list[str]:
@@ -88,13 +100,17 @@ class WordTable:
         #: Vocabularies whose words drop white space split there; byte-level ones keep it in the words.
         self.drops_space = self.tokenizer.encode("a a", add_special_tokens=False).ids == 2 * self.tokenizer.encode("a", add_special_tokens=False).ids
         self.model = self.tokenizer.model
-        self.has_plain = False
+        self.has_plain = self.cuts_marks = False
         self.clear()
         try:  # the short way is taken only if it agrees with the library
             probes = [w for w in _PROBES if not (self.drops_space and w[0] == " ")]
             self.has_plain = self._plain(probes) == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes]
         except Exception:
             self.has_plain = False
+        if self.has_plain and not self.drops_space:
+            self.cuts_marks = True
+            self.cuts_marks = all(self.encode([x])[0].tolist() == self.tokenizer.encode(x, add_special_tokens=False).ids for x in _MARKED)
+            self.clear()
 
     def clear(self) -> None:
         self.place = _Places()
@@ -160,29 +176,58 @@ class WordTable:
             out.append([t.id for t in merge(letters)] + ends[marks])
         return out
 
-    def _units(self, text: str) -> list[bytes]:
-        data = text.encode("utf-8", "replace")
+    def _units(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The units of the texts one after the other, and how many each text has.
+
+        Vocabularies that drop white space get the words between it.  For others
+        a unit is a word with the space before it, or a run of white space less
+        the last character if a word follows; that one is a unit of its own
+        unless it is the word's space.
+        """
+        parts = [x.encode("utf-8", "replace") if x else b"" for x in texts]
+        data = b"".join(parts)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        starts = np.concatenate(([0], ends))[: len(ends)]
+        codes = np.frombuffer(data, np.uint8)
+        space, edge = _SPACE[codes], np.zeros(len(codes) + 1, bool)
+        if self.drops_space:  # bytes split at ASCII white space alone
+            edge[1:-1] = space[1:] != space[:-1]
+        else:
+            edge[: max(len(codes) - 1, 0)] = space[:-1] & ~space[1:]
+            edge[(ends - 1)[ends > starts]] = False  # white space that ends a text is one unit
+            edge[1:-1] |= (space[1:] & ~space[:-1]) | (~space[1:] & space[:-1] & (codes[:-1] != 0x20))
+            if self.cuts_marks:
+                letter = _LETTER[codes]
+                letter[1:] |= _SECOND[codes[1:]] & (codes[:-1] == 0xC3)
+                edge[1:-1] |= letter[:-1] & _MARK[codes[1:]]
+            for i, text in enumerate(texts):
+                if text and ((not text.isascii() and _ODD.search(text)) or any(x in text for x in self.added)):
+                    edge[starts[i] : ends[i]] = False  # such a text is one unit
+        edge[starts] = edge[-1] = True
+        at = np.flatnonzero(edge)
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+        first = at[:-1]
         if self.drops_space:
-            return data.split()  # bytes split at ASCII white space alone
-        if (not text.isascii() and _ODD.search(text)) or any(x in text for x in self.added):
-            return [data]
-        return _UNITS.findall(data)
+            word = ~space[first]
+            units, first = units.filter(pa.array(word)), first[word]
+        return units, np.searchsorted(first, ends) - np.searchsorted(first, starts)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
-        units = [self._units(x) if x else [] for x in texts]
+        units, held = self._units(texts)
         if len(self.place) > TABLE_WORDS:
             self._shrink()
-        held = sum(map(len, units))
-        codes = np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), np.int64, held)
+        met = units.dictionary_encode()
+        here, words = met.indices.to_numpy(), met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         if self.place.fresh:
             self._fill()
-        self.uses[: len(self.place)] += np.bincount(codes, minlength=len(self.place))
-        sizes = self.count[codes]
+        self.uses[places] += np.bincount(here, minlength=len(words))
+        sizes = self.count[places][here]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if held else 0
-        ids = self.flat[np.repeat(self.start[codes] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, units)])]
+        total = int(ends[-1]) if len(here) else 0
+        ids = self.flat[np.repeat(self.start[places][here] - (ends - sizes), sizes) + np.arange(total)]
+        bounds = np.concatenate(([0], ends))[np.cumsum([0, *held])]
         return ids, np.diff(bounds)
 
 
