@@ -35,6 +35,20 @@ def test_senses_are_joined_without_a_shuffle_of_the_matches(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
+def test_policy_of_few_terms_is_joined_without_a_shuffle_of_the_matches(spark):
+    rows = spark.range(40).select("id", F.when(F.col("id") < 30, "选择").otherwise("陌生").alias("text"), F.when(F.col("id") % 2 == 0, "的").otherwise("x").alias("left"), F.lit("").alias("right"))
+    policy = spark.createDataFrame([("选择", "contextual", [("leftSuffix", "的")]), ("陌生", "blocked", None)], "term string, mode string, allow array<struct<kind:string,value:string>>")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = matching.apply_policy(matching.with_boundaries(rows), policy)
+        plan = _plan(kept)
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert sorted(r.id for r in kept.collect()) == list(range(0, 30, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_hits_inside_listed_words_are_left_out_where_the_text_is(spark):
     docs = spark.createDataFrame([(1, "abcdef cdef-xabcdef abcd"), (2, "cdef"), (3, ""), (4, None)], "doc_id long, text string")
     terms = spark.createDataFrame([("abcd",), ("cdef",), ("abcdef",)], "zh string")
