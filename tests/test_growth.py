@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.context import candidate_id
 from wordloom.operators import automaton, lexicon, matching, reader, segmentation, selection, structure
-from wordloom.plans import inputs
+from wordloom.plans import han_queries, inputs
 
 
 def _plan(df) -> str:
@@ -49,6 +49,20 @@ def test_policy_of_few_terms_is_joined_without_a_shuffle_of_the_matches(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
+def test_han_rules_shuffles_no_match(spark, tmp_path):
+    texts = [(1, "erion xion es"), (2, "entx en"), (3, "leei ion"), (4, ""), (5, None)]
+    spark.createDataFrame([(i, "en", "s", x) for i, x in texts], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = han_queries.q_han_rules(spark, str(tmp_path))
+        plan = _plan(kept)
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert sorted((r.doc_id, r.start, r.text, r.context_evidence) for r in kept.collect()) == [(1, 1, "选择", True), (1, 6, "太阳", False), (2, 0, "时间", True)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_hits_inside_listed_words_are_left_out_where_the_text_is(spark):
     docs = spark.createDataFrame([(1, "abcdef cdef-xabcdef abcd"), (2, "cdef"), (3, ""), (4, None)], "doc_id long, text string")
     terms = spark.createDataFrame([("abcd",), ("cdef",), ("abcdef",)], "zh string")
